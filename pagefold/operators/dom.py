@@ -12,13 +12,29 @@ from pyspark.sql import functions as F
 
 from pagefold.functions.text import pystrip
 
-BY_PAGE = Window.partitionBy("page_id").orderBy("pre")
-RUNNING = BY_PAGE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = BY_PAGE.rowsBetween(Window.unboundedPreceding, -1)
 
-IS_ELEM = F.col("kind") == "elem"
-IS_STRING = F.col("kind").isin("text", "hidden", "comment", "doctype")
-IS_TEXT = F.col("kind") == "text"
+
+def by_page():
+    return Window.partitionBy("page_id").orderBy("pre")
+
+
+def running():
+    return by_page().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before():
+    return by_page().rowsBetween(Window.unboundedPreceding, -1)
+
+
+STRING_KINDS = ("text", "hidden", "comment", "doctype")
+
+
+def is_elem() -> Column:
+    return F.col("kind") == "elem"
+
+
+def is_string() -> Column:
+    return F.col("kind").isin(*STRING_KINDS)
 
 
 def attr(name: str) -> Column:
@@ -39,8 +55,8 @@ def inside_flag(pred: Column, include_self: bool = True) -> Column:
     Running max of ``last`` over matching elements in document order: a node
     is inside one iff that running max reaches its ``pre``.
     """
-    frame = RUNNING if include_self else BEFORE
-    return F.coalesce(F.max(F.when(IS_ELEM & pred, F.col("last"))).over(frame) >= F.col("pre"), F.lit(False))
+    frame = running() if include_self else before()
+    return F.coalesce(F.max(F.when(is_elem() & pred, F.col("last"))).over(frame) >= F.col("pre"), F.lit(False))
 
 
 def drop_subtrees(nodes: DataFrame, pred: Column) -> DataFrame:
@@ -51,7 +67,7 @@ def drop_subtrees(nodes: DataFrame, pred: Column) -> DataFrame:
 def first_match(nodes: DataFrame, pred: Column, name: str) -> DataFrame:
     """Per page, the first element (document order) matching ``pred``: (page_id, name_pre, name_last)."""
     return (
-        nodes.filter(IS_ELEM & pred)
+        nodes.filter(is_elem() & pred)
         .groupBy("page_id")
         .agg(F.min(F.struct("pre", "last")).alias("_m"))
         .select("page_id", F.col("_m.pre").alias(f"{name}_pre"), F.col("_m.last").alias(f"{name}_last"))

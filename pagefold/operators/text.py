@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.functions.text import clean_text, collapse_ws, pystrip
-from pagefold.operators.dom import IS_ELEM, IS_STRING, attr, first_match, has_class, ordered_join, subtree_text
+from pagefold.operators.dom import is_elem, is_string, attr, first_match, has_class, ordered_join, subtree_text
 
 
 def first_text(nodes: DataFrame, pred: Column, name: str, strip: bool = True) -> DataFrame:
@@ -48,11 +48,11 @@ def title_detail(pages: DataFrame, kept: DataFrame) -> DataFrame:
 def region_priority() -> Column:
     """B6 ranking: main, article, #content, .content, body, the whole document."""
     return (
-        F.when(IS_ELEM & (F.col("tag") == "main"), 1)
-        .when(IS_ELEM & (F.col("tag") == "article"), 2)
-        .when(IS_ELEM & F.coalesce(attr("id") == "content", F.lit(False)), 3)
-        .when(IS_ELEM & has_class("content"), 4)
-        .when(IS_ELEM & (F.col("tag") == "body"), 5)
+        F.when(is_elem() & (F.col("tag") == "main"), 1)
+        .when(is_elem() & (F.col("tag") == "article"), 2)
+        .when(is_elem() & F.coalesce(attr("id") == "content", F.lit(False)), 3)
+        .when(is_elem() & has_class("content"), 4)
+        .when(is_elem() & (F.col("tag") == "body"), 5)
         .when(F.col("kind") == "root", 6)
     )
 
@@ -78,7 +78,7 @@ def in_region(nodes: DataFrame, reg: DataFrame, include_self: bool = False) -> D
 def plain_text(nodes: DataFrame, reg: DataFrame) -> DataFrame:
     """Every string of the region (comments included), stripped, kept when longer
     than one character, joined by a space, whitespace runs collapsed, stripped."""
-    strings = in_region(nodes.filter(IS_STRING), reg).select("page_id", "pre", pystrip("text").alias("s"))
+    strings = in_region(nodes.filter(is_string()), reg).select("page_id", "pre", pystrip("text").alias("s"))
     strings = strings.filter(F.length("s") > 1)
     agg = strings.groupBy("page_id").agg(ordered_join(F.collect_list(F.struct("pre", "s")), " ").alias("_t"))
     return (

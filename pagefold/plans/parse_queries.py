@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.operators.dom import IS_ELEM, has_attr
+from pagefold.operators.dom import is_elem, has_attr
 from pagefold.operators.junk import strip_junk_generic
 from pagefold.operators.text import plain_text, region, title_generic
 from pagefold.plans.registry import register
@@ -26,7 +26,7 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = scan_pages(spark, sf_dir)
     nodes = corpus_nodes(spark, sf_dir, "generic")
     n_links = (
-        nodes.filter(IS_ELEM & (F.col("tag") == "a") & has_attr("href"))
+        nodes.filter(is_elem() & (F.col("tag") == "a") & has_attr("href"))
         .groupBy("page_id")
         .agg(F.count("*").alias("n_links"))
     )
@@ -52,3 +52,90 @@ register(
     f"""SELECT page_id, {_ORACLE_TITLE} AS title, length({_ORACLE_RAW_TEXT}) AS n_chars,
          CAST(len(regexp_extract_all(html,'<a href="([^"]*)"',1)) AS BIGINT) AS n_links FROM pages""",
 )(page_summary)
+
+
+# ---------------------------------------------------------------- URL columns
+from pagefold.functions import urls as U  # noqa: E402
+from pagefold.operators.links import categorize_links, link_scan  # noqa: E402
+
+_HOST = r"regexp_extract(url,'^https?://([^/?#]*)',1)"
+_PATH = r"regexp_extract(url,'^https?://[^/?#]*([^?#]*)',1)"
+_HREFS = r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html,'<a href="([^"]*)">',1)) AS href,
+  unnest(regexp_extract_all(html,'<a href="[^"]*">([^<]*)</a>',1)) AS atext FROM pages)"""
+
+
+@register("url_slug", f"""SELECT page_id, trim(lower(regexp_replace(regexp_replace(trim({_PATH},'/'),
+  '[^\\p{{L}}\\p{{N}}_\\-]','_','g'),'_+','_','g')),'_') AS slug FROM pages""")
+def q_url_slug(spark, sf_dir):
+    """C13 over the corpus."""
+    return scan_pages(spark, sf_dir).select("page_id", U.url_slug("url").alias("slug"))
+
+
+@register("url_filename", """SELECT page_id, left(replace(replace(replace(replace(replace(url,'https://',''),
+  'http://',''),'/','_'),'?','_'),'&','_'),100) AS filename FROM pages""")
+def q_url_filename(spark, sf_dir):
+    """C14 over the corpus."""
+    return scan_pages(spark, sf_dir).select("page_id", U.url_filename("url").alias("filename"))
+
+
+@register("in_scope", f"""SELECT page_id, ({_HOST} = 'thther.example.org' AND starts_with({_PATH}, '/en/')) AS in_scope
+  FROM pages""")
+def q_in_scope(spark, sf_dir):
+    """C12 with domain and prefix as parameters."""
+    return scan_pages(spark, sf_dir).select("page_id", U.in_scope("url", "thther.example.org", "/en/").alias("in_scope"))
+
+
+@register("normalize_url", _HREFS + """ SELECT page_id, href, rtrim(url,'/') || href AS norm_url FROM l""")
+def q_normalize_url(spark, sf_dir):
+    """C4 on every link of every page (page URL as base)."""
+    pages = scan_pages(spark, sf_dir)
+    links = link_scan(corpus_nodes(spark, sf_dir))
+    return links.join(pages, "page_id").select("page_id", "href", U.normalize_url("href", "url").alias("norm_url"))
+
+
+@register("resolve_url", _HREFS + """ SELECT page_id, href, regexp_extract(url,'^https?://[^/?#]*',0) || href AS abs_url,
+  replace(replace(atext,'&quot;','"'),'&amp;','&') AS text FROM l""")
+def q_resolve_url(spark, sf_dir):
+    """C1 + C5: every a[href] with its text and its URL resolved against the page URL."""
+    pages = scan_pages(spark, sf_dir)
+    links = link_scan(corpus_nodes(spark, sf_dir))
+    return links.join(pages, "page_id").select("page_id", "href", U.resolve_url("href", "url").alias("abs_url"), "text")
+
+
+_LINK_COUNTS = r"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html,'<a href="([^"]*)"',1)) AS href FROM pages),
+r AS (SELECT DISTINCT page_id, regexp_extract(url,'^https?://([^/?#]*)',1) AS host,
+        rtrim(regexp_extract(url,'^https?://[^/?#]*([^?#]*)',1),'/') AS ppath,
+        regexp_extract(url,'^https?://[^/?#]*',0)||href AS abs_url FROM l WHERE href LIKE '/%'),
+q AS (SELECT *, regexp_extract(abs_url,'^https?://([^/?#]*)',1) AS lhost,
+        rtrim(regexp_extract(abs_url,'^https?://[^/?#]*([^?#]*)',1),'/') AS lpath FROM r)
+SELECT page_id, count(*) AS n_all, count(*) FILTER (lhost=host) AS n_domain,
+  count(*) FILTER (lhost=host AND (starts_with(lpath, regexp_replace(ppath,'/[^/]*$','')) OR lpath=ppath)) AS n_path
+FROM q GROUP BY page_id"""
+
+
+@register("link_filters", _LINK_COUNTS)
+def q_link_filters(spark, sf_dir):
+    """C6 in all three modes through C10: followable links per page after first-occurrence dedupe."""
+    pages = scan_pages(spark, sf_dir)
+    nodes = corpus_nodes(spark, sf_dir)
+    counts = None
+    for mode, name in (("all", "n_all"), ("same_domain", "n_domain"), ("same_path", "n_path")):
+        c = categorize_links(nodes, pages, mode).groupBy("page_id").agg(F.count("*").alias(name))
+        counts = c if counts is None else counts.join(c, "page_id", "full")
+    return counts.select("page_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_all", "n_domain", "n_path")])
+
+
+@register("categorize_links", _HREFS + """,
+r AS (SELECT page_id, url, href, replace(replace(atext,'&quot;','"'),'&amp;','&') AS text,
+        regexp_extract(url,'^https?://[^/?#]*',0) || href AS abs_url,
+        rtrim(regexp_extract(url,'^https?://[^/?#]*([^?#]*)',1),'/') AS ppath FROM l),
+d AS (SELECT DISTINCT ON (page_id, abs_url) * FROM r)
+SELECT page_id, 'referenced' AS bucket, abs_url AS url, text, text AS context FROM d
+WHERE starts_with(rtrim(regexp_extract(abs_url,'^https?://[^/?#]*([^?#]*)',1),'/'), regexp_replace(ppath,'/[^/]*$',''))
+   OR rtrim(regexp_extract(abs_url,'^https?://[^/?#]*([^?#]*)',1),'/') = ppath""")
+def q_categorize_links(spark, sf_dir):
+    """C10 (same_path, default): followable links with bucket, text and context (C11)."""
+    pages = scan_pages(spark, sf_dir)
+    out = categorize_links(corpus_nodes(spark, sf_dir), pages, "same_path")
+    return out.select("page_id", "bucket", "url", "text", "context")
