@@ -99,7 +99,8 @@ def q_resolve_url(spark, sf_dir):
     """C1 + C5: every a[href] with its text and its URL resolved against the page URL."""
     pages = scan_pages(spark, sf_dir)
     links = link_scan(corpus_nodes(spark, sf_dir))
-    return links.join(pages, "page_id").select("page_id", "href", U.resolve_url("href", "url").alias("abs_url"), "text")
+    joined = U.with_resolved_url(links.join(pages, "page_id"), "href", "url", "abs_url")
+    return joined.select("page_id", "href", "abs_url", "text")
 
 
 _LINK_COUNTS = r"""
