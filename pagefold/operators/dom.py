@@ -94,7 +94,8 @@ def subtree_text(
     given) prunes the explode to ancestors with those tags.  With
     ``strip=True`` every string is stripped and empties are skipped, as
     ``get_text(strip=True)``; otherwise strings are concatenated as is.
-    Targets without text come back with ``''``.
+    Only targets with at least one string come back; callers left-join
+    and default to ``''`` (so ``targets`` is read once, keeping plans small).
     """
     strings = nodes.filter(F.col("kind").isin(*kinds))
     ancestors = F.col("anc")
@@ -112,7 +113,4 @@ def subtree_text(
     tgt = targets.select("page_id", F.col("pre").alias("tpre")).distinct()
     joined = pairs.join(tgt, ["page_id", "tpre"], "inner")
     agg = joined.groupBy("page_id", "tpre").agg(ordered_join(F.collect_list(F.struct("pre", "s")), sep).alias("text"))
-    return (
-        tgt.join(agg, ["page_id", "tpre"], "left")
-        .select("page_id", F.col("tpre").alias("pre"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    )
+    return agg.select("page_id", F.col("tpre").alias("pre"), "text")

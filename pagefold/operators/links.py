@@ -30,7 +30,7 @@ def link_scan(nodes: DataFrame) -> DataFrame:
         "page_id", "pre", attr("href").alias("href"), "classes", "anc", "anc_tags"
     )
     texts = subtree_text(nodes, anchors.select("page_id", "pre"), anc_tags=["a"])
-    return anchors.join(texts, ["page_id", "pre"], "left")
+    return anchors.join(texts, ["page_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def ignore_flag(href: Column) -> Column:
@@ -209,7 +209,8 @@ def listing_links(nodes: DataFrame, pages: DataFrame, link_pattern: str | None =
     ).filter(F.col("title") != "")
 
     heads = nodes.filter(is_elem() & F.col("tag").isin("h2", "h3", "h4")).select("page_id", "pre")
-    htext = subtree_text(nodes, heads, anc_tags=["h2", "h3", "h4"])
+    htext = heads.join(subtree_text(nodes, heads, anc_tags=["h2", "h3", "h4"]), ["page_id", "pre"], "left").select(
+        "page_id", "pre", F.coalesce("text", F.lit("")).alias("text"))
     # one ordered stream of headings and links; headings numbered in order
     stream = htext.select("page_id", "pre", F.lit(True).alias("is_h"), F.col("text").alias("htext"),
                           F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title")).unionByName(

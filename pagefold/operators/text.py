@@ -15,8 +15,9 @@ def first_text(nodes: DataFrame, pred: Column, name: str, strip: bool = True) ->
     Returns ``(page_id, name)``; pages without a match are absent.
     """
     first = first_match(nodes, pred, name)
-    txt = subtree_text(nodes, first.select("page_id", F.col(f"{name}_pre").alias("pre")), strip=strip)
-    return txt.select("page_id", F.col("text").alias(name))
+    tgt = first.select("page_id", F.col(f"{name}_pre").alias("pre"))
+    txt = subtree_text(nodes, tgt, strip=strip)
+    return tgt.join(txt, ["page_id", "pre"], "left").select("page_id", F.coalesce("text", F.lit("")).alias(name))
 
 
 def title_generic(pages: DataFrame, kept: DataFrame) -> DataFrame:

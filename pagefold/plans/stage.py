@@ -19,45 +19,64 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from pagefold.operators.nodes import html_nodes
-from pagefold.session import scratch_path
+from pagefold.session import materialize_table
 
 _STAGED: dict[tuple, str] = {}
 
 
-def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def stage_table(spark: SparkSession, df: DataFrame, name: str, key: str = "page_id", sort: list[str] | None = None) -> str:
     """Write ``df`` bucketed by ``key`` under the checkpoint folder; return the table name."""
-    n = _buckets(spark)
-    path = scratch_path(spark, name)
-    table = re.sub(r"[^A-Za-z0-9_]", "_", os.path.basename(path))
-    writer = df.repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key)
-    writer = writer.sortBy(*(sort or [key]))
-    writer.saveAsTable(table)
-    return table
+    return materialize_table(df, name, key, sort)
 
 
-def _source_key(spark: SparkSession, pages_path: str, mode: str) -> tuple:
+def _file_stamp(path: str):
     try:
-        st = os.stat(pages_path)
-        stamp = (st.st_mtime_ns, st.st_size)
+        st = os.stat(path)
+        return (st.st_mtime_ns, st.st_size)
     except OSError:
-        stamp = None
-    return (id(spark._jsparkSession), os.path.abspath(pages_path), stamp, mode)
+        return None
 
 
-def corpus_nodes(spark: SparkSession, sf_dir: str, mode: str = "generic") -> DataFrame:
-    """Node table of ``{sf_dir}/pages.parquet``, parsed once per session and source."""
-    from pagefold.sources.tables import scan_pages
-
-    pages_path = f"{sf_dir.rstrip('/')}/pages.parquet"
-    key = _source_key(spark, pages_path, mode)
-    table = _STAGED.get(key)
+def staged(spark: SparkSession, key: tuple, build, name: str, sort: list[str] | None = None) -> DataFrame:
+    """Stage ``build()`` once per session and ``key`` as a table bucketed by ``page_id``."""
+    full_key = (id(spark._jsparkSession),) + key
+    table = _STAGED.get(full_key)
     if table is not None and spark.catalog.tableExists(table):
         return spark.table(table)
-    nodes = html_nodes(scan_pages(spark, sf_dir), mode)
-    table = stage_table(spark, nodes, f"nodes-{mode}", "page_id", ["page_id", "pre"])
-    _STAGED[key] = table
+    table = stage_table(spark, build(), name, "page_id", sort)
+    _STAGED[full_key] = table
     return spark.table(table)
+
+
+def _junk_stage(spark, key, raw_fn, junk: str | None, name: str) -> DataFrame:
+    raw = staged(spark, key + (None,), raw_fn, name, ["page_id", "pre"])
+    if not junk:
+        return raw
+    from pagefold.operators.junk import strip_junk_detail, strip_junk_generic
+
+    strip = {"generic": strip_junk_generic, "detail": strip_junk_detail}[junk]
+    return staged(spark, key + (junk,), lambda: strip(raw), f"{name}-kept-{junk}", ["page_id", "pre"])
+
+
+def corpus_nodes(spark: SparkSession, sf_dir: str, mode: str = "generic", junk: str | None = None) -> DataFrame:
+    """Node table of ``{sf_dir}/pages.parquet``, parsed once per session and source.
+
+    ``junk`` ('generic' / 'detail') returns the table after that junk
+    removal, itself staged once, so the many readers of the cleaned tree
+    share one scan instead of each re-running the junk window.
+    """
+    from pagefold.sources.tables import scan_pages
+
+    pages_path = os.path.abspath(f"{sf_dir.rstrip('/')}/pages.parquet")
+    key = ("pages", pages_path, _file_stamp(pages_path), mode)
+    return _junk_stage(spark, key, lambda: html_nodes(scan_pages(spark, sf_dir), mode), junk, f"nodes-{mode}")
+
+
+def derived_nodes(spark: SparkSession, sf_dir: str, source: str, builder, mode: str, junk: str | None = None) -> DataFrame:
+    """Node table of synthetic pages ``builder(table)`` built from ``{sf_dir}/{source}.parquet``."""
+    from pagefold.sources.tables import table
+
+    path = os.path.abspath(f"{sf_dir.rstrip('/')}/{source}.parquet")
+    key = (source, path, _file_stamp(path), builder.__module__, builder.__qualname__, mode)
+    return _junk_stage(spark, key, lambda: html_nodes(builder(table(spark, sf_dir, source)), mode), junk,
+                       f"nodes-{builder.__name__}-{mode}")

@@ -57,3 +57,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/pagefold-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str, key: str = "page_id", sort: list[str] | None = None):
+    """See :func:`materialize_table`; returns the bucketed scan."""
+    return df.sparkSession.table(materialize_table(df, name, key, sort))
+
+
+def materialize_table(df, name: str, key: str = "page_id", sort: list[str] | None = None) -> str:
+    """Write ``df`` once as a table bucketed by ``key`` in the shared checkpoint folder.
+
+    Used where one intermediate result feeds many branches of a plan: the
+    readers share a bucketed scan (no re-computation, no exchange on ``key``)
+    and the lineage is cut, so a lost executor re-reads files.
+    """
+    import os
+    import re
+
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = re.sub(r"[^A-Za-z0-9_]", "_", os.path.basename(path))
+    writer = df.repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key)
+    writer.sortBy(*(sort or [key])).saveAsTable(table)
+    return table
