@@ -100,3 +100,33 @@ def section_pages_fallback(documents: DataFrame) -> DataFrame:
 
 def section_pages_blocks(documents: DataFrame) -> DataFrame:
     return section_pages(documents, "blocks")
+
+
+def conversation_pages(conversations: DataFrame) -> DataFrame:
+    """One page per conversation; per turn t: an accordion button (panel by
+    ``aria-controls``; the panel is left out when t % 3 == 2, and the button
+    has no ``aria-controls`` — panel = next sibling — when t % 5 == 4), a
+    ``details`` with the role as summary, and a tab button + ``tabpanel``.
+    The turn text sits in a ``<p>`` inside every panel."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn")
+    ts = t.cast("string")
+    para = F.concat(F.lit("<p>"), esc(F.col("text")), F.lit("</p>"))
+    pid = F.concat(F.lit("p"), c, F.lit("-"), ts)
+    tid = F.concat(F.lit("t"), c, F.lit("-"), ts)
+    acc = (
+        F.when(t % 5 == 4, F.concat(F.lit("<button aria-expanded=\"false\">Q"), ts, F.lit("</button><div>"), para, F.lit("</div>")))
+        .otherwise(F.concat(
+            F.lit("<button aria-expanded=\"false\" aria-controls=\""), pid, F.lit("\">Q"), ts, F.lit("</button>"),
+            F.when(t % 3 == 2, F.lit("")).otherwise(F.concat(F.lit("<div id=\""), pid, F.lit("\">"), para, F.lit("</div>")))))
+    )
+    det = F.concat(F.lit("<details><summary>"), esc(F.col("role")), F.lit("</summary>"), para, F.lit("</details>"))
+    tab = F.concat(F.lit("<button aria-controls=\""), tid, F.lit("\">Tab "), ts, F.lit("</button><div role=\"tabpanel\" id=\""),
+                   tid, F.lit("\">"), para, F.lit("</div>"))
+    parts = conversations.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(acc, det, tab).alias("h")))),
+                                 lambda x: x["h"]), "").alias("body"))
+    return parts.select(*_page(F.col("conv_id"), "/conv/", F.concat(F.lit("<main>"), F.col("body"), F.lit("</main>"))))
+
+
+def blocks_pages_generic(documents: DataFrame) -> DataFrame:
+    return section_pages(documents, "blocks")
