@@ -74,8 +74,9 @@ def node_lines(nodes: DataFrame) -> DataFrame:
     ol_of = F.try_element_at(
         F.filter(F.arrays_zip("anc", "anc_tags"), lambda x: x["anc_tags"] == "ol"), F.lit(-1))["anc"]
     lis = nodes.filter(is_elem() & (F.col("tag") == "li")).select("page_id", "pre", "parent", "attrs", ol_of.alias("ol"))
-    sig = _li_signature(nodes, lis.select("page_id", "pre", "attrs"))
-    lis = lis.join(sig, ["page_id", "pre"])
+    in_ol = lis.filter(F.col("ol").isNotNull())
+    sig = _li_signature(nodes, in_ol.select("page_id", "pre", "attrs"))
+    lis = lis.join(sig, ["page_id", "pre"], "left")
     direct = lis.filter(F.col("parent") == F.col("ol")).withColumn(
         "k", F.row_number().over(Window.partitionBy("page_id", "ol").orderBy("pre")))
     first_k = direct.groupBy("page_id", "ol", "sig").agg(F.min("k").alias("idx"))

@@ -1,7 +1,7 @@
 """B1 ``html_nodes``: one row per DOM node, the table every parse operator reads.
 
 The tokenizer is the only Python step of the parse path.  It runs on the
-executors inside ``mapInPandas`` (Arrow batches), using the standard
+executors inside ``mapInArrow`` (Arrow record batches built column-wise), using the standard
 library's ``html.parser``.  Everything downstream — junk removal, titles,
 text, sections, links — is expressed as DataFrame operations over this table.
 
@@ -42,7 +42,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -241,38 +240,75 @@ def tokenize(html: str | None, mode: str = "generic") -> list[list]:
     return tok.finish()
 
 
-def _page_rows(page_id, rows):
-    """Add ancestor arrays (root first) to the rows of one page."""
-    anc_of: dict[int, tuple[list[int], list[str]]] = {}
-    out = []
-    for r in rows:
-        pre, last, parent, depth, sib, kind, tag, attrs, classes, text = r
-        if parent is None:
-            anc, anc_tags = [], []
-        else:
-            pa, pt = anc_of[parent]
-            anc, anc_tags = pa + [parent], pt + [rows[parent][6]]
-        if kind in ("elem", "root"):
-            anc_of[pre] = (anc, anc_tags)
-        out.append((page_id, pre, last, parent, depth, sib, kind, tag, attrs, classes, text, anc, anc_tags))
-    return out
-
-
 _COLS = [f.name for f in NODE_SCHEMA.fields]
 _FLUSH_ROWS = 50_000
 
 
+def _arrow_schema():
+    import pyarrow as pa
+
+    return pa.schema([
+        ("page_id", pa.int64()), ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()),
+        ("depth", pa.int32()), ("sib", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
+        ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())), ("text", pa.string()),
+        ("anc", pa.list_(pa.int32())), ("anc_tags", pa.list_(pa.string())),
+    ])
+
+
+class _Columns:
+    """Column-wise accumulator of node rows (Arrow is built straight from these lists)."""
+
+    def __init__(self):
+        self.cols = {c: [] for c in _COLS}
+        self.n = 0
+
+    def add_page(self, page_id, rows):
+        c = self.cols
+        anc_of: dict[int, tuple[list[int], list[str]]] = {}
+        for pre, last, parent, depth, sib, kind, tag, attrs, classes, text in rows:
+            if parent is None:
+                anc, anc_tags = [], []
+            else:
+                pa_, pt = anc_of[parent]
+                anc, anc_tags = pa_ + [parent], pt + [rows[parent][6]]
+            if kind in ("elem", "root"):
+                anc_of[pre] = (anc, anc_tags)
+            c["page_id"].append(page_id)
+            c["pre"].append(pre)
+            c["last"].append(last)
+            c["parent"].append(parent)
+            c["depth"].append(depth)
+            c["sib"].append(sib)
+            c["kind"].append(kind)
+            c["tag"].append(tag)
+            c["attrs"].append(list(attrs.items()) if attrs is not None else None)
+            c["classes"].append(classes)
+            c["text"].append(text)
+            c["anc"].append(anc)
+            c["anc_tags"].append(anc_tags)
+        self.n += len(rows)
+
+    def batch(self, schema):
+        import pyarrow as pa
+
+        arrays = [pa.array(self.cols[f.name], type=f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def _nodes_fn(mode: str):
     def run(batches):
-        acc: list[tuple] = []
-        for pdf in batches:
-            for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
-                acc.extend(_page_rows(pid, tokenize(html, mode)))
-                if len(acc) >= _FLUSH_ROWS:
-                    yield pd.DataFrame.from_records(acc, columns=_COLS)
-                    acc = []
-        if acc:
-            yield pd.DataFrame.from_records(acc, columns=_COLS)
+        schema = _arrow_schema()
+        acc = _Columns()
+        for rb in batches:
+            ids = rb.column("page_id").to_pylist()
+            htmls = rb.column("html").to_pylist()
+            for pid, html in zip(ids, htmls):
+                acc.add_page(pid, tokenize(html, mode))
+                if acc.n >= _FLUSH_ROWS:
+                    yield acc.batch(schema)
+                    acc = _Columns()
+        if acc.n:
+            yield acc.batch(schema)
 
     return run
 
@@ -287,5 +323,18 @@ def html_nodes(pages: DataFrame, mode: str = "generic") -> DataFrame:
     """
     if mode not in ("generic", "detail"):
         raise ValueError("mode must be 'generic' or 'detail'")
-    src = pages.select("page_id", "html")
-    return src.mapInPandas(_nodes_fn(mode), NODE_SCHEMA)
+    src = spread(pages.select("page_id", "html"))
+    return src.mapInArrow(_nodes_fn(mode), NODE_SCHEMA)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a Python-heavy step at least one input partition per core.
+
+    A few large input files (or one) would otherwise put the whole parse
+    into a few tasks.  Large inputs already have many splits and are left
+    alone, so no shuffle of raw HTML is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2)
+    return df

@@ -18,7 +18,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.operators.nodes import html_nodes
+from pagefold.operators.nodes import html_nodes, spread
 from pagefold.session import materialize_table
 
 _STAGED: dict[tuple, str] = {}
@@ -78,5 +78,5 @@ def derived_nodes(spark: SparkSession, sf_dir: str, source: str, builder, mode:
 
     path = os.path.abspath(f"{sf_dir.rstrip('/')}/{source}.parquet")
     key = (source, path, _file_stamp(path), builder.__module__, builder.__qualname__, mode)
-    return _junk_stage(spark, key, lambda: html_nodes(builder(table(spark, sf_dir, source)), mode), junk,
+    return _junk_stage(spark, key, lambda: html_nodes(builder(spread(table(spark, sf_dir, source))), mode), junk,
                        f"nodes-{builder.__name__}-{mode}")
