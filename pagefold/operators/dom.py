@@ -74,6 +74,13 @@ def first_match(nodes: DataFrame, pred: Column, name: str) -> DataFrame:
     )
 
 
+def ancestors_with(tags: list[str]) -> Column:
+    """Array of the ``pre`` of a node's ancestors whose tag is in ``tags`` (to explode fewer rows)."""
+    wanted = F.array(*[F.lit(t) for t in tags])
+    return F.transform(F.filter(F.arrays_zip("anc", "anc_tags"), lambda x: F.array_contains(wanted, x["anc_tags"])),
+                       lambda x: x["anc"])
+
+
 def ordered_join(items: Column, sep: str) -> Column:
     """``array_join`` of ``collect_list(struct(pre, s))`` sorted by ``pre``."""
     return F.array_join(F.transform(F.array_sort(items), lambda x: x["s"]), sep)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions.text import pystrip
-from pagefold.operators.dom import attr, has_attr, has_class, is_elem, is_string, ordered_join, subtree_text
+from pagefold.operators.dom import ancestors_with, attr, has_attr, has_class, is_elem, is_string, ordered_join, subtree_text
 from pagefold.session import materialize
 
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -31,12 +31,12 @@ def table_text(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     tabs = tables.select("page_id", F.col("pre").alias("t_pre"))
     rows = (
         nodes.filter(is_elem() & (F.col("tag") == "tr"))
-        .select("page_id", F.col("pre").alias("tr_pre"), F.explode("anc").alias("t_pre"))
+        .select("page_id", F.col("pre").alias("tr_pre"), F.explode(ancestors_with(["table"])).alias("t_pre"))
         .join(tabs, ["page_id", "t_pre"])
     )
     cells = (
         nodes.filter(is_elem() & F.col("tag").isin("td", "th"))
-        .select("page_id", "pre", F.explode("anc").alias("tr_pre"))
+        .select("page_id", "pre", F.explode(ancestors_with(["tr"])).alias("tr_pre"))
         .join(rows.select("page_id", "tr_pre").distinct(), ["page_id", "tr_pre"])
     )
     ctext = _text_of(nodes, cells.select("page_id", "pre").distinct(), anc_tags=["td", "th"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions.text import clean_text
-from pagefold.operators.dom import attr, first_match, is_elem, ordered_join, subtree_text
+from pagefold.operators.dom import ancestors_with, attr, first_match, is_elem, ordered_join, subtree_text
 from pagefold.operators.text import in_region, region, title_detail
 from pagefold.session import materialize
 
@@ -61,12 +61,12 @@ def block_text(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     tabs = blk.filter(F.col("b_tag") == "table")
     rows = (
         nodes.filter(is_elem() & (F.col("tag") == "tr"))
-        .select("page_id", F.col("pre").alias("tr_pre"), F.explode("anc").alias("b_pre"))
+        .select("page_id", F.col("pre").alias("tr_pre"), F.explode(ancestors_with(["table"])).alias("b_pre"))
         .join(tabs, ["page_id", "b_pre"])
     )
     cells = (
         nodes.filter(is_elem() & F.col("tag").isin("td", "th"))
-        .select("page_id", "pre", F.explode("anc").alias("tr_pre"))
+        .select("page_id", "pre", F.explode(ancestors_with(["tr"])).alias("tr_pre"))
         .join(rows.select("page_id", "tr_pre").distinct(), ["page_id", "tr_pre"])
     )
     cell_txt = _texts(nodes, cells.select("page_id", "pre").distinct(), anc_tags=["td", "th"])

@@ -22,6 +22,9 @@ def build_session(master: str | None = None, app: str = "pagefold", shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # every table here is bucketed by page_id: let joins and aggregates keyed by
+        # (page_id, …) reuse that partitioning instead of re-shuffling
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # pages are large rows: keep Arrow batches into the tokenizer small
