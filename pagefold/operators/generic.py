@@ -267,23 +267,28 @@ def expandable_elements(nodes: DataFrame) -> DataFrame:
 
 
 def generic_page(nodes: DataFrame, pages: DataFrame, link_filter: str = "same_path", follow_all: bool = False,
-                 content_area_selector: str | None = None, depth: int | None = None, parent_url: str | None = None) -> DataFrame:
+                 content_area_selector: str | None = None, depth: int | None = None, parent_url: str | None = None,
+                 kept: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """One ``GenericPageData`` row per page.
 
     Order as in the reference: links on the full page; junk removal; title;
     content area; raw text; interactive sections (details remove their
-    summaries); main content without those summaries.
+    summaries); main content without those summaries.  ``kept`` (nodes
+    after junk removal) and ``lines`` (their B8 lines) may be passed in
+    when already staged.
     """
     from pagefold.operators.junk import strip_junk_generic
     from pagefold.operators.links import categorize_links
     from pagefold.operators.text import plain_text, title_generic
 
     links = categorize_links(nodes, pages, link_filter, follow_all)
-    kept = materialize(strip_junk_generic(nodes), "generic-kept", sort=["page_id", "pre"])
+    if kept is None:
+        kept = materialize(strip_junk_generic(nodes), "generic-kept", sort=["page_id", "pre"])
     title = title_generic(pages, kept)
     area = content_area(kept, content_area_selector)
     raw = plain_text(kept, raw_text_region(kept, area))
-    lines = materialize(node_lines(kept), "generic-lines", sort=["page_id", "pre"])
+    if lines is None:
+        lines = materialize(node_lines(kept), "generic-lines", sort=["page_id", "pre"])
     removed = removed_summaries(kept, area)
     inter = interactive_sections(kept, lines, area, removed)
     main = structured_text(lines, main_region(kept, area), exclude=removed.select("page_id", "pre", "last"))

@@ -12,7 +12,7 @@ from pagefold.plans import synth
 from pagefold.plans.detail_queries import _LINES
 from pagefold.plans.graph_queries import _BFS_SQL, crawl
 from pagefold.plans.registry import register
-from pagefold.plans.stage import corpus_nodes, derived_nodes
+from pagefold.plans.stage import corpus_lines, corpus_nodes, derived_lines, derived_nodes
 from pagefold.session import materialize
 from pagefold.sources.tables import scan_pages, table
 
@@ -97,7 +97,8 @@ _CONTENT = f"CASE WHEN length({_RAW}) > 8000 THEN substr({_RAW}, 1, 8000) || chr
 @register("extract_requests", f"SELECT page_id, {_CONTENT} AS content FROM pages")
 def q_extract_requests(spark, sf_dir):
     """extraction content per page (raw text, cut at 8000 characters with a marker)."""
-    gp = G.generic_page(corpus_nodes(spark, sf_dir, "generic"), scan_pages(spark, sf_dir))
+    gp = G.generic_page(corpus_nodes(spark, sf_dir, "generic"), scan_pages(spark, sf_dir),
+                        kept=corpus_nodes(spark, sf_dir, "generic", junk="generic"), lines=corpus_lines(spark, sf_dir))
     return EN.extract_requests(gp).select("page_id", "content")
 
 
@@ -105,7 +106,8 @@ def q_extract_requests(spark, sf_dir):
 SELECT page_id, 'general_information' AS content_type, array_to_string(w[1:12], ' ') AS summary, len(w) AS n_words FROM c""")
 def q_enrich_pages(spark, sf_dir):
     """F5 → F8 (keyword scorer, Arrow batches) → F6/F7 for every page of the corpus."""
-    gp = G.generic_page(corpus_nodes(spark, sf_dir, "generic"), scan_pages(spark, sf_dir))
+    gp = G.generic_page(corpus_nodes(spark, sf_dir, "generic"), scan_pages(spark, sf_dir),
+                        kept=corpus_nodes(spark, sf_dir, "generic", junk="generic"), lines=corpus_lines(spark, sf_dir))
     e = EN.enrich_pages(gp)
     return e.select("page_id", "content_type", "summary",
                     F.try_variant_get("structured_data", "$.n_words", "int").alias("n_words"))
@@ -116,14 +118,16 @@ def q_combine_content(spark, sf_dir):
     """main content + interactive sections + first 10 referenced links, on conversation pages."""
     nodes = derived_nodes(spark, sf_dir, "conversations", synth.conversation_pages, "generic")
     pages = synth.conversation_pages(table(spark, sf_dir, "conversations")).select("page_id", "url")
-    gp = G.generic_page(nodes, pages)
+    gp = G.generic_page(nodes, pages, kept=derived_nodes(spark, sf_dir, "conversations", synth.conversation_pages, "generic", junk="generic"),
+                        lines=derived_lines(spark, sf_dir, "conversations", synth.conversation_pages))
     return gp.select("page_id", EN.combine_content(gp).alias("combined"))
 
 
 def _crawl_job(spark, sf_dir):
     c = crawl(spark, sf_dir).filter(F.col("status") == "ok")
     pages = scan_pages(spark, sf_dir).join(c.select("page_id", "seq", "depth", "parent_url"), "page_id")
-    gp = G.generic_page(corpus_nodes(spark, sf_dir, "generic"), pages.select("page_id", "url"))
+    gp = G.generic_page(corpus_nodes(spark, sf_dir, "generic"), pages.select("page_id", "url"),
+                        kept=corpus_nodes(spark, sf_dir, "generic", junk="generic"), lines=corpus_lines(spark, sf_dir))
     gp = gp.drop("depth", "parent_url").join(pages.select("page_id", "seq", "depth", "parent_url"), "page_id")
     enriched = materialize(EN.enrich_pages(gp).withColumn("job", F.lit(1)), "enriched")
     start = c.filter(F.col("depth") == 0).select("url").first()["url"]

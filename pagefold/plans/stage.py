@@ -80,3 +80,21 @@ def derived_nodes(spark: SparkSession, sf_dir: str, source: str, builder, mode:
     key = (source, path, _file_stamp(path), builder.__module__, builder.__qualname__, mode)
     return _junk_stage(spark, key, lambda: html_nodes(builder(spread(table(spark, sf_dir, source))), mode), junk,
                        f"nodes-{builder.__name__}-{mode}")
+
+
+def staged_lines(spark: SparkSession, kept: DataFrame, key: tuple) -> DataFrame:
+    """B8 node lines of a staged, junk-stripped node table, staged once per ``key``."""
+    from pagefold.operators.generic import node_lines
+
+    return staged(spark, ("lines",) + key, lambda: node_lines(kept), "lines", ["page_id", "pre"])
+
+
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages_path = os.path.abspath(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return staged_lines(spark, corpus_nodes(spark, sf_dir, "generic", junk="generic"), (pages_path, _file_stamp(pages_path)))
+
+
+def derived_lines(spark: SparkSession, sf_dir: str, source: str, builder) -> DataFrame:
+    path = os.path.abspath(f"{sf_dir.rstrip('/')}/{source}.parquet")
+    kept = derived_nodes(spark, sf_dir, source, builder, "generic", junk="generic")
+    return staged_lines(spark, kept, (path, _file_stamp(path), builder.__qualname__))
