@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagefold.functions.text import cut
 from pagefold.functions.urls import follow_from_parts, normalize_url, with_resolved_url, with_url_parts
 from pagefold.operators.dom import is_elem, attr, first_match, has_attr, has_class, subtree_text
+from pagefold.session import materialize
 
 # Fixed values for link classification.
 IGNORED_HREF_PREFIXES = ["javascript:", "mailto:", "tel:", "sms:", "ftp:"]
@@ -145,17 +146,17 @@ def tile_links(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     return s1.unionByName(s2)
 
 
-def categorize_links(
-    nodes: DataFrame, pages: DataFrame, link_filter: str = "same_path", follow_all: bool = False
-) -> DataFrame:
-    """Followable links of each page, split into ``structural`` and ``referenced``.
+def link_candidates(nodes: DataFrame, pages: DataFrame, modes: list[str], anchors: DataFrame | None = None) -> DataFrame:
+    """Resolved link candidates of C10 before bucketing.
 
-    ``pages`` supplies ``(page_id, url)``.  Output ``(page_id, stage, ord,
-    bucket, url, text, context)``; ``(stage, ord)`` is the discovery order.
-    A URL is kept once: its first occurrence (tiles keep their duplicates),
-    and an anchor whose URL a tile or card already produced is skipped.
+    One row per tile link, card link and non-ignored anchor with its
+    absolute ``url``, a ``follow_<mode>`` flag per requested filter mode,
+    and ``_first``: whether this occurrence survives the URL dedupe
+    (tiles keep duplicates; otherwise the first occurrence in stage order,
+    skipped when a tile produced the URL).  Followability depends on the
+    URL only, so the dedupe is computed once for all modes.
     """
-    anchors = link_scan(nodes)
+    anchors = link_scan(nodes) if anchors is None else anchors
     base = pages.select("page_id", F.col("url").alias("page_url"))
     cands = tile_links(nodes, anchors).unionByName(
         anchors.filter(~ignore_flag(F.col("href"))).select(
@@ -164,13 +165,29 @@ def categorize_links(
     )
     cands = with_resolved_url(cands.join(base, "page_id"), "href", "page_url", "url", keep_base_parts="_pp")
     cands = with_url_parts(cands, "url", "_lp")
-    cands = cands.withColumn("_follow", follow_from_parts(F.col("_lp"), F.col("_pp"), link_filter))
-    # followability depends on the URL only, so the first-occurrence windows may run before the filter
+    for mode in modes:
+        cands = cands.withColumn(f"follow_{mode}", follow_from_parts(F.col("_lp"), F.col("_pp"), mode))
     by_url = Window.partitionBy("page_id", "url")
     cands = cands.withColumn("_min_stage", F.min("stage").over(by_url)).withColumn(
         "_rn", F.row_number().over(by_url.orderBy("stage", "ord"))
     )
-    kept = cands.filter(F.col("_follow") & ((F.col("stage") == 1) | ((F.col("_min_stage") > 1) & (F.col("_rn") == 1))))
+    return cands.withColumn("_first", (F.col("stage") == 1) | ((F.col("_min_stage") > 1) & (F.col("_rn") == 1)))
+
+
+def categorize_links(
+    nodes: DataFrame, pages: DataFrame, link_filter: str = "same_path", follow_all: bool = False
+) -> DataFrame:
+    """Followable links of each page, split into ``structural`` and ``referenced``.
+
+    ``pages`` supplies ``(page_id, url)``.  Output ``(page_id, stage, ord,
+    bucket, url, text, context)``; ``(stage, ord)`` is the discovery order.
+    A URL is kept once: its first occurrence (tiles keep their duplicates),
+    and an anchor whose URL a tile or card already produced is skipped.
+    The anchor table feeds five branches, so it is written once.
+    """
+    anchors = materialize(link_scan(nodes), "anchors", sort=["page_id", "pre"])
+    cands = link_candidates(nodes, pages, [link_filter], anchors)
+    kept = cands.filter(F.col(f"follow_{link_filter}") & F.col("_first"))
     structural = structural_flag(nodes, anchors.select("page_id", "pre", "href", "classes", "anc_tags"), follow_all)
     kept = kept.join(structural.withColumnRenamed("pre", "a_pre"), ["page_id", "a_pre"], "left")
     is_struct = (F.col("stage") < 3) | F.lit(follow_all) | F.coalesce(F.col("structural"), F.lit(False))

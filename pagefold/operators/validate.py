@@ -27,16 +27,20 @@ def validate_records(records: DataFrame) -> DataFrame:
         "valid", F.col("reason").isNull())
 
 
-def validation_summary(validated: DataFrame, name_col: str = "slug") -> DataFrame:
-    """Total, valid, invalid and the names of invalid records (sorted)."""
+def validation_summary(validated: DataFrame) -> DataFrame:
+    """Total, valid and invalid counts (the names are :func:`invalid_records`, a table, not a list)."""
     return validated.agg(
         F.count("*").alias("total"),
         F.count_if("valid").alias("valid"),
         F.count_if(~F.col("valid")).alias("invalid"),
-        F.array_sort(F.collect_list(F.when(~F.col("valid"), F.col(name_col)))).alias("invalid_files"),
     )
 
 
+def invalid_records(validated: DataFrame, name_col: str = "slug") -> DataFrame:
+    """Names of the invalid records with their reason (unbounded, so kept distributed)."""
+    return validated.filter(~F.col("valid")).select(F.col(name_col).alias("name"), "reason")
+
+
 def reasons(validated: DataFrame) -> DataFrame:
     """G2 breakdown: invalid records per reason."""
     return validated.filter(~F.col("valid")).groupBy("reason").agg(F.count("*").alias("n"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagefold.operators.dom import is_elem, has_attr
-from pagefold.operators.junk import strip_junk_generic
 from pagefold.operators.text import plain_text, region, title_generic
 from pagefold.plans.registry import register
 from pagefold.plans.stage import corpus_nodes
@@ -30,7 +29,7 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("page_id")
         .agg(F.count("*").alias("n_links"))
     )
-    kept = strip_junk_generic(nodes)
+    kept = corpus_nodes(spark, sf_dir, "generic", junk="generic")
     title = title_generic(pages, kept)
     text = plain_text(kept, region(kept))
     return (
@@ -56,7 +55,7 @@ register(
 
 # ---------------------------------------------------------------- URL columns
 from pagefold.functions import urls as U  # noqa: E402
-from pagefold.operators.links import categorize_links, link_scan  # noqa: E402
+from pagefold.operators.links import categorize_links, link_candidates, link_scan  # noqa: E402
 
 _HOST = r"regexp_extract(url,'^https?://([^/?#]*)',1)"
 _PATH = r"regexp_extract(url,'^https?://[^/?#]*([^?#]*)',1)"
@@ -117,14 +116,15 @@ FROM q GROUP BY page_id"""
 
 @register("link_filters", _LINK_COUNTS)
 def q_link_filters(spark, sf_dir):
-    """C6 in all three modes through C10: followable links per page after first-occurrence dedupe."""
+    """C6 in all three modes through C10: followable links per page after first-occurrence dedupe.
+
+    Candidates are resolved and deduplicated once; each mode is a flag on them.
+    """
     pages = scan_pages(spark, sf_dir)
-    nodes = corpus_nodes(spark, sf_dir)
-    counts = None
-    for mode, name in (("all", "n_all"), ("same_domain", "n_domain"), ("same_path", "n_path")):
-        c = categorize_links(nodes, pages, mode).groupBy("page_id").agg(F.count("*").alias(name))
-        counts = c if counts is None else counts.join(c, "page_id", "full")
-    return counts.select("page_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_all", "n_domain", "n_path")])
+    cands = link_candidates(corpus_nodes(spark, sf_dir), pages, ["all", "same_domain", "same_path"])
+    counts = cands.filter(F.col("_first")).groupBy("page_id").agg(
+        *[F.count_if(F.col(f"follow_{m}")).alias(n) for m, n in (("all", "n_all"), ("same_domain", "n_domain"), ("same_path", "n_path"))])
+    return counts.filter(F.col("n_all") > 0)
 
 
 @register("categorize_links", _HREFS + """,

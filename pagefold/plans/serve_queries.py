@@ -45,7 +45,7 @@ SELECT count(*) AS total, count(*) FILTER (n_sections > 0 AND total_text_length
 def q_validation_summary(spark, sf_dir):
     """Totals over the parsed stage."""
     v = V.validate_records(_records(spark, sf_dir))
-    return V.validation_summary(v).select("total", "valid", "invalid")
+    return V.validation_summary(v)
 
 
 @register("validation_reasons", _REC_SQL + """

@@ -103,11 +103,11 @@ def section_pages_blocks(documents: DataFrame) -> DataFrame:
 
 
 def conversation_pages(conversations: DataFrame) -> DataFrame:
-    """One page per conversation; per turn t: an accordion button (panel by
-    ``aria-controls``; the panel is left out when t % 3 == 2, and the button
-    has no ``aria-controls`` — panel = next sibling — when t % 5 == 4), a
-    ``details`` with the role as summary, and a tab button + ``tabpanel``.
-    The turn text sits in a ``<p>`` inside every panel."""
+    """One page per conversation turn (page_id = conv_id * 1,000,000 + turn): an accordion
+    button (panel by ``aria-controls``; the panel is left out when turn % 3 == 2, and the
+    button has no ``aria-controls`` — panel = next sibling — when turn % 5 == 4), a
+    ``details`` with the role as summary, and a tab button + ``tabpanel``; the turn text
+    sits in a ``<p>`` inside every panel.  Built row by row: no grouping."""
     c, t = F.col("conv_id").cast("string"), F.col("turn")
     ts = t.cast("string")
     para = F.concat(F.lit("<p>"), esc(F.col("text")), F.lit("</p>"))
@@ -122,10 +122,8 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
     det = F.concat(F.lit("<details><summary>"), esc(F.col("role")), F.lit("</summary>"), para, F.lit("</details>"))
     tab = F.concat(F.lit("<button aria-controls=\""), tid, F.lit("\">Tab "), ts, F.lit("</button><div role=\"tabpanel\" id=\""),
                    tid, F.lit("\">"), para, F.lit("</div>"))
-    parts = conversations.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(acc, det, tab).alias("h")))),
-                                 lambda x: x["h"]), "").alias("body"))
-    return parts.select(*_page(F.col("conv_id"), "/conv/", F.concat(F.lit("<main>"), F.col("body"), F.lit("</main>"))))
+    page_id = F.col("conv_id") * 1_000_000 + F.col("turn")
+    return conversations.select(*_page(page_id, "/conv/", F.concat(F.lit("<main>"), acc, det, tab, F.lit("</main>"))))
 
 
 def blocks_pages_generic(documents: DataFrame) -> DataFrame:
