@@ -28,4 +28,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from pagefold.plans import detail_queries, enrich_queries, generic_queries, graph_queries, parse_queries, serve_queries, stream_queries  # noqa: F401
+    from pagefold.plans import detail_queries, enrich_queries, generic_queries, graph_queries, operator_queries, parse_queries, serve_queries, stream_queries  # noqa: F401
