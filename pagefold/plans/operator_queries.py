@@ -152,3 +152,28 @@ def q_reset_state(spark, sf_dir):
     """The state after a reset is empty (the data stay)."""
     _completed(spark, sf_dir)
     return reset_state(spark).agg(F.count("*").alias("n"))
+
+
+_LINKS_SQL = "WITH " + _LINES + r""",
+k AS (SELECT doc_id, i, i % 6 AS h, i % 4 AS c,
+   regexp_replace(line, '^\s+|\s+$', '', 'g') || 'L' || i AS ctx FROM cl),
+t AS (SELECT doc_id AS page_id, 'structural' AS bucket, 'https://docs.example.org/links/t' || doc_id AS url,
+        CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS context FROM documents),
+r AS (SELECT doc_id AS page_id,
+   CASE WHEN h = 1 OR h = 4 OR (h = 5 AND c IN (1, 2)) THEN 'structural' ELSE 'referenced' END AS bucket,
+   CASE WHEN h = 1 THEN 'https://docs.example.org/links/' || doc_id || '#x' || i
+        WHEN h = 4 THEN 'https://docs.example.org/links/topic/' || i ELSE 'https://docs.example.org/links/p/' || i END AS url,
+   CASE WHEN h = 5 AND c IN (0, 3) THEN 'L' || i END AS text,
+   CASE WHEN h = 5 AND c IN (0, 3) THEN CASE WHEN length(ctx) > 200 THEN substr(ctx, 1, 200) || '...' ELSE ctx END END AS context
+   FROM k WHERE h IN (1, 4, 5))
+SELECT * FROM t UNION ALL SELECT * FROM t UNION ALL SELECT * FROM r"""
+
+
+@register("link_classes", _LINKS_SQL)
+def q_link_classes(spark, sf_dir):
+    """C7 + C8 + C9 + C11 through C10: ignored hrefs, structural classes/hrefs/anchors, tile duplicates, context."""
+    from pagefold.operators.links import categorize_links
+
+    nodes = derived_nodes(spark, sf_dir, "documents", synth.link_pages, "generic")
+    pages = synth.link_pages(table(spark, sf_dir, "documents")).select("page_id", "url")
+    return categorize_links(nodes, pages, "same_path").select("page_id", "bucket", "url", "text", "context")

@@ -128,3 +128,26 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
 
 def blocks_pages_generic(documents: DataFrame) -> DataFrame:
     return section_pages(documents, "blocks")
+
+
+def link_pages(documents: DataFrame) -> DataFrame:
+    """Link-classification pages: a tiles container whose two tiles link to the same URL, then per
+    line i (1-based) a paragraph with the line and one link; hrefs cycle by i % 6 through '#',
+    '#x{i}', 'mailto:a@b', 'javascript:void(0)', '/links/topic/{i}', '/links/p/{i}', classes by
+    i % 4 through none, 'tile', 'table', 'btn'."""
+    did = F.col("doc_id").cast("string")
+
+    def item(x, i):
+        k = i + 1
+        ks = k.cast("string")
+        href = F.element_at(F.array(
+            F.lit("#"), F.concat(F.lit("#x"), ks), F.lit("mailto:a@b"), F.lit("javascript:void(0)"),
+            F.concat(F.lit("/links/topic/"), ks), F.concat(F.lit("/links/p/"), ks)), (k % 6 + 1).cast("int"))
+        cls = F.element_at(F.array(F.lit(""), F.lit(" class=\"tile\""), F.lit(" class=\"table\""), F.lit(" class=\"btn\"")),
+                           (k % 4 + 1).cast("int"))
+        return F.concat(F.lit("<p>"), esc(x), F.lit("<a href=\""), href, F.lit("\""), cls, F.lit(">L"), ks, F.lit("</a></p>"))
+
+    tiles = F.concat(F.lit("<div class=\"tiles-container\"><div class=\"tile\"><a href=\"/links/t"), did,
+                     F.lit("\">T</a></div><div class=\"tile\"><a href=\"/links/t"), did, F.lit("\">T2</a></div></div>"))
+    body = F.concat(F.lit("<main>"), tiles, F.array_join(F.transform(_lines(F.col("text")), item), ""), F.lit("</main>"))
+    return documents.select(*_page(F.col("doc_id"), "/links/", body))
