@@ -40,11 +40,19 @@ data inside script/style/template/rt/rp (a string, but not part of
 
 from __future__ import annotations
 
+import sys
+
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pagefold.session import register_by_value as _register_by_value
+
+# The functions below run inside Python workers: ship this module with them
+# (pickled by value), so executors need no installed copy of the package.
+_register_by_value(sys.modules[__name__])
+
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("page_id", T.LongType()),

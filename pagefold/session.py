@@ -84,3 +84,13 @@ def materialize_table(df, name: str, key: str = "page_id", sort: list[str] | Non
     writer = df.repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key)
     writer.sortBy(*(sort or [key])).saveAsTable(table)
     return table
+
+
+def register_by_value(module) -> None:
+    """Pickle a module's functions by value when shipped to Python workers."""
+    try:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(module)
+    except Exception:  # noqa: BLE001 — older cloudpickle: fall back to by-reference pickling
+        pass
