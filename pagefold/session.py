@@ -78,7 +78,7 @@ def materialize_table(df, name: str, key: str = "page_id", sort: list[str] | Non
     import re
 
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = bucket_count(spark)
     path = scratch_path(spark, name)
     table = re.sub(r"[^A-Za-z0-9_]", "_", os.path.basename(path))
     writer = df.repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key)
@@ -94,3 +94,13 @@ def register_by_value(module) -> None:
         cloudpickle.register_pickle_by_value(module)
     except Exception:  # noqa: BLE001 — older cloudpickle: fall back to by-reference pickling
         pass
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of staged tables: ``pagefold.buckets`` if set, else ``spark.sql.shuffle.partitions``.
+
+    Size it so a bucket holds a few hundred MB of node rows (e.g. about
+    input HTML bytes × 3 / 256 MB); every later per-page stage runs one task
+    per bucket without a shuffle.
+    """
+    return int(spark.conf.get("pagefold.buckets", None) or spark.conf.get("spark.sql.shuffle.partitions"))
