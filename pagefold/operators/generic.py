@@ -49,14 +49,6 @@ def table_text(nodes: DataFrame, tables: DataFrame) -> DataFrame:
         F.when(F.col("body").isNull(), F.lit("")).otherwise(F.concat(F.lit("\n"), "body", F.lit("\n"))).alias("text"))
 
 
-def _li_signature(nodes: DataFrame, lis: DataFrame) -> DataFrame:
-    """Equality key for li elements: attributes plus the raw strings of the subtree."""
-    raw = subtree_text(nodes, lis, strip=False, kinds=("text", "hidden", "comment", "doctype"), sep="\u0001",
-                       anc_tags=["li"])
-    return lis.join(raw, ["page_id", "pre"], "left").select(
-        "page_id", "pre", F.concat_ws("\u0002", F.to_json(F.col("attrs")), F.coalesce("text", F.lit(""))).alias("sig"))
-
-
 def node_lines(nodes: DataFrame) -> DataFrame:
     """Every node's own line for B8: ``(page_id, pre, anc, line)``.
 
@@ -68,15 +60,25 @@ def node_lines(nodes: DataFrame) -> DataFrame:
     strings = nodes.filter(is_string()).select("page_id", "pre", "anc", pystrip("text").alias("line")).filter(
         F.col("line") != "")
     elems = nodes.filter(is_elem() & F.col("tag").isin("li", "p", *HEADINGS)).select("page_id", "pre", "tag", "anc")
-    etext = _text_of(nodes, elems.select("page_id", "pre"), anc_tags=["li", "p", *HEADINGS])
-    elems = elems.join(etext, ["page_id", "pre"]).filter(F.col("text") != "")
+    # one pass over the strings under li/p/h*: get_text(strip=True) for every target, and the raw
+    # string sequence that (with the attributes) stands for li equality
+    tags = ["li", "p", *HEADINGS]
+    pairs = nodes.filter(is_string() & F.arrays_overlap("anc_tags", F.array(*[F.lit(t) for t in tags]))).select(
+        "page_id", "pre", "kind", "text", F.explode(ancestors_with(tags)).alias("tpre"))
+    stripped = pystrip("text")
+    texts = pairs.groupBy("page_id", "tpre").agg(
+        ordered_join(F.collect_list(F.when((F.col("kind") == "text") & (stripped != ""), F.struct("pre", stripped.alias("s")))), "")
+        .alias("text"),
+        ordered_join(F.collect_list(F.struct("pre", F.col("text").alias("s"))), "\u0001").alias("raw"),
+    ).withColumnRenamed("tpre", "pre")
+    elems = elems.join(texts, ["page_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     # ordered-list index for li
     ol_of = F.try_element_at(
         F.filter(F.arrays_zip("anc", "anc_tags"), lambda x: x["anc_tags"] == "ol"), F.lit(-1))["anc"]
     lis = nodes.filter(is_elem() & (F.col("tag") == "li")).select("page_id", "pre", "parent", "attrs", ol_of.alias("ol"))
-    in_ol = lis.filter(F.col("ol").isNotNull())
-    sig = _li_signature(nodes, in_ol.select("page_id", "pre", "attrs"))
-    lis = lis.join(sig, ["page_id", "pre"], "left")
+    lis = lis.join(elems.select("page_id", "pre", "raw"), ["page_id", "pre"], "left").withColumn(
+        "sig", F.concat_ws("\u0002", F.to_json(F.col("attrs")), F.coalesce("raw", F.lit(""))))
+    elems = elems.drop("raw").filter(F.col("text") != "")
     direct = lis.filter(F.col("parent") == F.col("ol")).withColumn(
         "k", F.row_number().over(Window.partitionBy("page_id", "ol").orderBy("pre")))
     first_k = direct.groupBy("page_id", "ol", "sig").agg(F.min("k").alias("idx"))
