@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, token_counts
+from pagefold.llm import bpe, quality_fm, token_counts, toxicity_pu, warc
 from pagefold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_quality_fm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.predict(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages"))
+
+
+@query("op10_toxicity_pu")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_pu.predict(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
