@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, quality_fm, token_counts, toxicity_pu, warc
+from pagefold.llm import bpe, ngram_jaccard, quality_fm, token_counts, toxicity_pu, warc
 from pagefold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity_pu")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.predict(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_parity_jaccard")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.components(read(spark, sf_dir, "documents"), words=4, percent=85)
