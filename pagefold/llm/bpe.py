@@ -26,7 +26,7 @@ from pagefold.llm.common import slices, worker_cache
 
 NO_PAIR = 1 << 30
 #: Encoded pre-tokens that a worker keeps, in each of two generations.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 class RankQueue:
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         known = worker_cache(f"bpe-cache-{hash(shared.value)}-{pattern}", lambda: Encoded(vocabulary, CACHE_ENTRIES))
         split = vocabulary.split
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 words = [split(t or "") for t in part.column(text_col).to_pylist()]
                 new: set[str] = set()
                 for w in words:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, ngram_jaccard, quality_fm, token_counts, toxicity_pu, warc
+from pagefold.llm import bpe, ngram_jaccard, quality_fm, suffix_dedup, token_counts, toxicity_pu, warc
 from pagefold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_parity_jaccard")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.components(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"))
