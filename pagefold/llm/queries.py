@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, ngram_jaccard, quality_fm, suffix_dedup, token_counts, toxicity_pu, warc
+from pagefold.llm import bpe, decontaminate, itq_dedup, ngram_jaccard, quality_fm, suffix_dedup, token_counts, toxicity_pu, warc
 from pagefold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op7_cgk_decontaminate")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op8_itq_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
