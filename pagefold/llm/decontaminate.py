@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import slices, worker_cache
+from pagefold.llm.common import slices, stage, worker_cache
 from pagefold.llm.shingles import _LOWER, _SPACE, column_bytes, mix, powers
 
 #: Edits (share of an item's length) for which the recall is set, and up to which a match counts.
@@ -277,5 +277,5 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents in which an item was found; all columns as they were."""
-    hit = find(docs, items).select("doc_id").distinct()
+    hit = stage(find(docs, items).select("doc_id").distinct(), "decontaminate-hits")
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)

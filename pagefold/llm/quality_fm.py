@@ -11,11 +11,14 @@ is a map over all texts without a shuffle.  Language, source, id and labels are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefold.llm.common import slices
 from pagefold.llm.text_features import N_STRUCTURE, hash_cache, held_out, in_batches, labelled_sample, structure, word_hash
 
 #: Labelled rows to fit on, at most; hashed words; factors; bins of each statistic.
@@ -123,6 +126,19 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return in_batches(docs, id_col, text_col, f"`{id_col}` {kind}, score double", [], work)
 
 
+def accepted(docs: DataFrame, model: dict, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they were, whose whole text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                z, _, _ = _margin(shared.value, *_assemble(*_words([t or "" for t in part.column(text_col).to_pylist()]), shared.value["edges"]))
+                yield part.filter(pa.array(1 / (1 + np.exp(-z.astype(np.float64))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder: int = 1) -> DataFrame:
     """Per document: held_out, score, predicted (1 from a score of 0.5)."""
     scored = score(docs, train(docs, labels, modulus, held_remainder))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, decontaminate, itq_dedup, ngram_jaccard, quality_fm, suffix_dedup, token_counts, toxicity_pu, warc
+from pagefold.llm import bpe, decontaminate, itq_dedup, license_scan, ngram_jaccard, quality_fm, suffix_dedup, token_counts, toxicity_pu, warc
 from pagefold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_itq_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
