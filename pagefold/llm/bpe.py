@@ -277,10 +277,14 @@ def _decode_lists(column: pa.ListArray, table: dict[int, bytes]) -> list[bytes]:
     return [b"".join(map(get, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def token_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """Per document: number of tokens, digest of the ids, digest of the bytes decoded from them."""
-    both = decode(encode(docs, rank_path, pattern), rank_path, pattern)
-    return both.select(
+def digested(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Number of tokens, digest of the ids, digest of the decoded bytes; with ``keep_ids`` the ids too."""
+    return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
+
+
+def token_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """Per document: number of tokens, digest of the ids, digest of the bytes decoded from them."""
+    return digested(decode(encode(docs, rank_path, pattern), rank_path, pattern))
