@@ -202,8 +202,10 @@ def failed_urls(crawl: DataFrame) -> DataFrame:
     return crawl.filter(F.col("status") == "failed").select("seq", "url", "depth")
 
 
-def crawl_metadata(crawl: DataFrame, enriched: DataFrame | None = None) -> DataFrame:
-    """total_pages, successful_enrichments, visited_urls, failed_urls (in crawl order).
+def crawl_metadata(crawl: DataFrame, enriched: DataFrame | None = None, started_at: float | None = None,
+                   finished_at: float | None = None) -> DataFrame:
+    """total_pages, successful_enrichments, visited_urls, failed_urls (in crawl order), and
+    duration_seconds when the epoch seconds of start and end are given.
 
     A crawl with no successful page carries error 'No pages scraped'.
     """
@@ -217,4 +219,6 @@ def crawl_metadata(crawl: DataFrame, enriched: DataFrame | None = None) -> DataF
     )
     n_enriched = enriched.count() if enriched is not None else 0
     agg = agg.withColumn("successful_enrichments", F.lit(n_enriched).cast("long"))
+    if started_at is not None and finished_at is not None:
+        agg = agg.withColumn("duration_seconds", F.lit(float(finished_at) - float(started_at)))
     return agg.withColumn("error", F.when(F.col("total_pages") == 0, F.lit("No pages scraped")))

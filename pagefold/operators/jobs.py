@@ -57,9 +57,10 @@ def job_latest(jobs: DataFrame) -> DataFrame:
     ).select("job_id", F.col("_l.status").alias("status"), F.col("_l.value").alias("duration_seconds"), "created_at", "updated_at")
 
 
-def jobs_recent(latest: DataFrame, k: int) -> DataFrame:
-    """The k most recent jobs by created_at (NULL last) — a bounded top-k."""
-    return latest.orderBy(F.col("created_at").desc_nulls_last(), "job_id").limit(k)
+def jobs_recent(latest: DataFrame, k: int | None = None) -> DataFrame:
+    """All jobs, most recent created_at first (NULL last; a range-partitioned sort), or the first ``k``."""
+    ordered = latest.orderBy(F.col("created_at").desc_nulls_last(), "job_id")
+    return ordered if k is None else ordered.limit(k)
 
 
 def job_stage(latest: DataFrame, now: Column) -> DataFrame:
@@ -85,20 +86,33 @@ def activity_tail(jobs: DataFrame, message: Column, keep: int = 50) -> DataFrame
 def format_duration(seconds: Column) -> Column:
     """NULL/0 → 'N/A'; < 60 → '12.3s'; else '2m 5.0s'.
 
-    Seconds are taken at centisecond precision and rounded half-up to one
-    decimal as decimals, so the text does not depend on binary rounding.
+    The exact binary value is rounded once to one decimal, an exact half upwards
+    (6.55 is below the half: '6.5s'; 59.996 gives '60.0s').
     """
-    s = seconds.cast("decimal(20,2)")
+    s = seconds.cast("double")
     mins = F.floor(s / 60).cast("long")
-    rest = (s - mins * 60).cast("decimal(20,2)")
-    one = lambda x: F.round(x, 1).cast("decimal(20,1)").cast("string")
     return (
-        F.when(s.isNull() | (s == 0), F.lit("N/A"))
-        .when(s < 60, F.concat(one(s), F.lit("s")))
-        .otherwise(F.concat(mins.cast("string"), F.lit("m "), one(rest), F.lit("s")))
+        F.when(s.isNull() | F.isnan(s) | (s == 0), F.lit("N/A"))
+        .when(s < 60, F.concat(one_decimal(s), F.lit("s")))
+        .otherwise(F.concat(mins.cast("string"), F.lit("m "), one_decimal(s % 60), F.lit("s")))
     )
 
 
+def one_decimal(x: Column) -> Column:
+    """``x`` (below 2 ** 20 in size) to one decimal, decided on its exact binary value.
+
+    With n = tenths, n is right when 2n - 1 <= 20 x < 2n + 1.  20 x is formed from two parts of few
+    bits each, both exact, so the sign of the difference to an integer is exact as well.
+    """
+    high = F.floor(x * (1 << 20)) / (1 << 20)
+    low = x - high
+    beyond = lambda odd: (high * 20 - odd) + low * 20
+    near = F.floor(x * 10 + 0.5).cast("double")
+    n = F.when(beyond(near * 2 - 1) < 0, near - 1).when(beyond(near * 2 + 1) >= 0, near + 1).otherwise(near).cast("long")
+    sign = F.when(n < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(F.abs(n) / 10).cast("string"), F.lit("."), (F.abs(n) % 10).cast("string"))
+
+
 def format_date(ts: Column) -> Column:
     """Timestamps as text, 'N/A' when missing."""
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))

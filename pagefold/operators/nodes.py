@@ -71,6 +71,10 @@ NODE_SCHEMA = T.StructType(
     ]
 )
 
+# A page that the tokenizer can't read has one row of this kind, with the error as its text: no
+# root, elements or strings, so no operator takes it for content (see ``parse_errors``).
+ERROR_KIND = "error"
+
 # HTML void elements, and elements whose character data is not
 # returned by get_text.
 VOID_TAGS = frozenset(
@@ -311,7 +315,11 @@ def _nodes_fn(mode: str):
             ids = rb.column("page_id").to_pylist()
             htmls = rb.column("html").to_pylist()
             for pid, html in zip(ids, htmls):
-                acc.add_page(pid, tokenize(html, mode))
+                try:
+                    rows = tokenize(html, mode)
+                except Exception as e:  # noqa: BLE001 — a malformed page fails alone
+                    rows = [[0, 0, None, 0, None, ERROR_KIND, None, None, None, repr(e)[:500]]]
+                acc.add_page(pid, rows)
                 if acc.n >= _FLUSH_ROWS:
                     yield acc.batch(schema)
                     acc = _Columns()
@@ -335,6 +343,16 @@ def html_nodes(pages: DataFrame, mode: str = "generic") -> DataFrame:
     return src.mapInArrow(_nodes_fn(mode), NODE_SCHEMA)
 
 
+def parsed_pages(nodes: DataFrame) -> DataFrame:
+    """``page_id`` of the pages that were parsed."""
+    return nodes.filter("kind = 'root'").select("page_id")
+
+
+def parse_errors(nodes: DataFrame) -> DataFrame:
+    """``(page_id, _error)`` of the pages that could not be parsed."""
+    return nodes.filter(f"kind = '{ERROR_KIND}'").select("page_id", nodes["text"].alias("_error"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a Python-heavy step at least one input partition per core.
 

@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.functions.text import clean_text, collapse_ws, pystrip
-from pagefold.operators.dom import is_elem, is_string, attr, first_match, has_class, ordered_join, subtree_text
+from pagefold.operators.dom import is_elem, is_string, attr, first_match, has_class, ordered_join
 
 
-def first_text(nodes: DataFrame, pred: Column, name: str, strip: bool = True) -> DataFrame:
-    """Per page: whether a first element matching ``pred`` exists and its text.
+def first_text(nodes: DataFrame, tag: str, name: str, strip: bool = True) -> DataFrame:
+    """Per page: whether a first ``tag`` element exists and its text (an interval test on that one element).
 
     Returns ``(page_id, name)``; pages without a match are absent.
     """
-    first = first_match(nodes, pred, name)
-    tgt = first.select("page_id", F.col(f"{name}_pre").alias("pre"))
-    txt = subtree_text(nodes, tgt, strip=strip)
-    return tgt.join(txt, ["page_id", "pre"], "left").select("page_id", F.coalesce("text", F.lit("")).alias(name))
+    first = first_match(nodes, F.col("tag") == tag, name)
+    s = pystrip("text") if strip else F.col("text")
+    inside = (F.col("pre") > F.col(f"{name}_pre")) & (F.col("pre") <= F.col(f"{name}_last"))
+    strings = nodes.filter(F.col("kind") == "text").select("page_id", "pre", s.alias("s")).filter("s != ''")
+    txt = strings.join(first, "page_id").filter(inside).groupBy("page_id").agg(
+        ordered_join(F.collect_list(F.struct("pre", "s")), "").alias("text"))
+    return first.select("page_id").join(txt, "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias(name))
 
 
 def title_generic(pages: DataFrame, kept: DataFrame) -> DataFrame:
@@ -26,8 +29,8 @@ def title_generic(pages: DataFrame, kept: DataFrame) -> DataFrame:
     ``kept`` is the node table after generic junk removal.  An empty h1 still
     wins over <title>.
     """
-    h1 = first_text(kept, F.col("tag") == "h1", "h1")
-    tt = first_text(kept, F.col("tag") == "title", "ttl")
+    h1 = first_text(kept, "h1", "h1")
+    tt = first_text(kept, "title", "ttl")
     return (
         pages.select("page_id")
         .join(h1, "page_id", "left")
@@ -38,7 +41,7 @@ def title_generic(pages: DataFrame, kept: DataFrame) -> DataFrame:
 
 def title_detail(pages: DataFrame, kept: DataFrame) -> DataFrame:
     """First h1 ``get_text()`` cleaned by B12; '' when the page has no h1."""
-    h1 = first_text(kept, F.col("tag") == "h1", "h1", strip=False)
+    h1 = first_text(kept, "h1", "h1", strip=False)
     return (
         pages.select("page_id")
         .join(h1, "page_id", "left")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagefold.functions.urls import url_filename, url_netloc
-from pagefold.operators.graph import bfs_pages, crawl_metadata, failed_urls
+from pagefold.functions.urls import url_filename, url_netloc, with_resolved_url
+from pagefold.operators.graph import bfs_over_links, bfs_pages, crawl_metadata, failed_urls
+from pagefold.operators.links import link_scan
 from pagefold.plans.registry import register
+from pagefold.plans.stage import corpus_nodes
 from pagefold.sources.tables import scan_pages
 
-# Crawl job parameters used by the registered queries (reference limits: depth ≤ 5, max_pages ≤ 500).
+# Crawl job parameters used by the registered queries (limits: depth ≤ 5, max_pages ≤ 500; the default budget is 50).
 CRAWL_DEPTH = 5
-CRAWL_MAX_PAGES = 20
+CRAWL_MAX_PAGES = 50
 
 
 def start_url(pages: DataFrame) -> str:
@@ -60,10 +62,47 @@ def q_bfs_pages(spark, sf_dir):
     return crawl(spark, sf_dir)
 
 
-@register("failed_urls")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src_url, dst_url, pos)``: every page's parsed links, resolved, each at its first position."""
+    pages = scan_pages(spark, sf_dir)
+    links = link_scan(corpus_nodes(spark, sf_dir)).join(pages.select("page_id", "url"), "page_id")
+    resolved = with_resolved_url(links, "href", "url", "dst_url").filter(F.regexp_like("dst_url", F.lit("^https?://")))
+    return resolved.groupBy(F.col("url").alias("src_url"), "dst_url").agg(F.min("pre").alias("pos"))
+
+
+def link_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl along parsed links at the default depth of 1: what isn't in the corpus is a failed fetch."""
+    pages = scan_pages(spark, sf_dir).select("page_id", "url")
+    return bfs_over_links(page_links(spark, sf_dir), pages.groupBy("url").agg(F.min("page_id").alias("page_id")),
+                          start_url(pages), 1, CRAWL_MAX_PAGES)
+
+
+# depth 1: the start page, then its links by first position; successes beyond the budget are cut with what follows them
+_LINK_CRAWL_SQL = r"""WITH pg AS (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url),
+hs AS (SELECT regexp_extract(url,'^https?://([^/?#]*)',1) AS host, count(*) AS n, min(page_id) AS first_id FROM pages GROUP BY 1),
+st AS (SELECT url FROM pages WHERE page_id = (SELECT first_id FROM hs ORDER BY n DESC, host LIMIT 1)),
+h AS (SELECT page_id, unnest(regexp_extract_all(html,'<a href="([^"]*)"',1)) AS href,
+        generate_subscripts(regexp_extract_all(html,'<a href="([^"]*)"',1), 1) AS pos FROM pages WHERE url = (SELECT url FROM st)),
+l AS (SELECT regexp_extract((SELECT url FROM st),'^https?://[^/?#]*',0) || href AS url, min(pos) AS pos FROM h GROUP BY 1),
+c AS (SELECT 0 AS depth, 0 AS pos, (SELECT url FROM st) AS url, 'ok' AS status
+  UNION ALL SELECT 1, l.pos, l.url, CASE WHEN pg.url IS NULL THEN 'failed' ELSE 'ok' END FROM l LEFT JOIN pg USING (url)
+  WHERE l.url <> (SELECT url FROM st)),
+w AS (SELECT *, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER (ORDER BY depth, pos) AS n_ok FROM c),
+q AS (SELECT CAST(row_number() OVER (ORDER BY depth, pos) - 1 AS INTEGER) AS seq, * FROM w
+  WHERE n_ok < """ + str(CRAWL_MAX_PAGES) + " OR (n_ok = " + str(CRAWL_MAX_PAGES) + """ AND status = 'ok'))
+"""
+
+
+@register("bfs_links", _LINK_CRAWL_SQL + "SELECT seq, url, depth, status FROM q")
+def q_bfs_links(spark, sf_dir):
+    """D1 over the links that the parser found: crawl log with successes and failures."""
+    return link_crawl(spark, sf_dir).select("seq", "url", "depth", "status")
+
+
+@register("failed_urls", _LINK_CRAWL_SQL + "SELECT seq, url, depth FROM q WHERE status = 'failed'")
 def q_failed_urls(spark, sf_dir):
-    """D3: dequeued but unfetched URLs (none when the whole corpus is fetchable)."""
-    return failed_urls(crawl(spark, sf_dir))
+    """D3: URLs dequeued in the link crawl but not in the corpus."""
+    return failed_urls(link_crawl(spark, sf_dir))
 
 
 @register("crawl_metadata", "WITH c AS (" + _BFS_SQL + """)
@@ -79,5 +118,6 @@ SELECT seq, url, printf('page_%03d_%s', seq, left(replace(replace(replace(replac
   '/','_'),'?','_'),'&','_'),100)) AS file_stem FROM c WHERE status = 'ok'""")
 def q_numbered_pages(spark, sf_dir):
     """A4: raw-page file names ``page_{i:03d}_{urlname}``, i = position among stored pages."""
-    c = crawl(spark, sf_dir).filter(F.col("status") == "ok")
+    # at most max_pages successes: the window over them is bounded
+    c = crawl(spark, sf_dir).filter(F.col("status") == "ok").withColumn("seq", F.row_number().over(Window.orderBy("seq")) - 1)
     return c.select("seq", "url", F.format_string("page_%03d_%s", F.col("seq"), url_filename("url")).alias("file_stem"))

@@ -114,7 +114,7 @@ def q_exists_by_slug(spark, sf_dir):
     return out.select("page_id", "in_parsed", "in_enriched")
 
 
-@register("scan_records", "SELECT CAST(count(*) AS BIGINT) AS n_good, CAST(1 AS BIGINT) AS n_bad FROM documents")
+@register("scan_records", "SELECT CAST(count(*) AS BIGINT) AS n_good, CAST(1 AS BIGINT) AS n_bad, CAST(count(*) AS BIGINT) AS n_urls FROM documents")
 def q_scan_records(spark, sf_dir):
     """A2: records written as JSON, plus one corrupt file, read back in the fixed schema."""
     recs = _records(spark, sf_dir).select("title", "category", "summary", "sections", "source_url",
@@ -122,9 +122,10 @@ def q_scan_records(spark, sf_dir):
     path = scratch_path(spark, "records-json")
     recs.write.mode("overwrite").json(path + "/part-a")
     spark.createDataFrame([("{ this is not json",)], "value string").coalesce(1).write.mode("overwrite").text(path + "/part-b")
-    # the parse result is read twice (good and bad counts) and must not be re-scanned per count
-    got = R.scan_records(spark, path, multi_line=False, glob=None).cache()
-    return got.agg(F.count_if(F.col("_bad").isNull()).alias("n_good"), F.count_if(F.col("_bad").isNotNull()).alias("n_bad"))
+    # one aggregate gives both counts; it reads a data field too, as the corrupt-record column alone can't be read
+    got = R.scan_records(spark, path, multi_line=False, glob=None)
+    return got.agg(F.count_if(F.col("_bad").isNull()).alias("n_good"), F.count_if(F.col("_bad").isNotNull()).alias("n_bad"),
+                   F.count("source_url").alias("n_urls"))
 
 
 @register("completed_source", _COMPLETED_SQL + """
@@ -203,10 +204,10 @@ def q_job_latest(spark, sf_dir):
 
 
 @register("jobs_recent", _JOBS_SQL + """
-SELECT job_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM lt ORDER BY lt.created_at DESC NULLS LAST, job_id LIMIT 10""")
+SELECT job_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM lt ORDER BY lt.created_at DESC NULLS LAST, job_id""")
 def q_jobs_recent(spark, sf_dir):
-    """The ten most recently created jobs (bounded top-k)."""
-    lt = J.jobs_recent(J.job_latest(_jobs(spark, sf_dir)), 10)
+    """All jobs, the most recently created first."""
+    lt = J.jobs_recent(J.job_latest(_jobs(spark, sf_dir)))
     return lt.select("job_id", J.format_date(F.col("created_at")).alias("created_at"))
 
 
@@ -238,14 +239,13 @@ def q_activity_tail(spark, sf_dir):
                            F.col("event_type")).select("job_id", "event_id", "message")
 
 
-_DUR = """CASE WHEN {v} IS NULL OR CAST({v} AS DECIMAL(20,2)) = 0 THEN 'N/A'
-  WHEN CAST({v} AS DECIMAL(20,2)) < 60 THEN CAST(CAST(round(CAST({v} AS DECIMAL(20,2)), 1) AS DECIMAL(20,1)) AS VARCHAR) || 's'
-  ELSE CAST(CAST(floor(CAST({v} AS DECIMAL(20,2)) / 60) AS BIGINT) AS VARCHAR) || 'm ' ||
-       CAST(CAST(round(CAST(CAST({v} AS DECIMAL(20,2)) - CAST(CAST(floor(CAST({v} AS DECIMAL(20,2)) / 60) AS BIGINT) * 60 AS DECIMAL(20,2))
-         AS DECIMAL(20,2)), 1) AS DECIMAL(20,1)) AS VARCHAR) || 's' END"""
+# printf rounds the exact binary value (an exact half to even, so halves are taken upwards before)
+_TENTH = "CASE WHEN {v} * 4 = floor({v} * 4) AND floor({v} * 4) % 2 = 1 THEN printf('%.1f', floor({v} * 10 + 0.5) / 10) ELSE printf('%.1f', {v}) END"
+_DUR = ("CASE WHEN {v} IS NULL OR {v} = 0 THEN 'N/A' WHEN {v} < 60 THEN (" + _TENTH + ") || 's' "
+        "ELSE CAST(CAST(floor(({v}) / 60) AS BIGINT) AS VARCHAR) || 'm ' || (" + _TENTH.replace("{v}", "fmod({v}, 60)") + ") || 's' END")
 
 
-@register("format_duration", "SELECT event_id, " + _DUR.format(v="value") + " AS short, " + _DUR.format(v="value * 3") + " AS long FROM events")
+@register("format_duration", "SELECT event_id, " + _DUR.format(v="value") + " AS short, " + _DUR.format(v="(value * 3)") + " AS long FROM events")
 def q_format_duration(spark, sf_dir):
     """Durations as '12.3s' / '2m 5.0s' / 'N/A'."""
     ev = table(spark, sf_dir, "events")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagefold.operators import jobs as J
 from pagefold.operators.dom import has_attr, is_elem
 from pagefold.operators.junk import strip_junk_generic
-from pagefold.operators.nodes import html_nodes
+from pagefold.operators.nodes import html_nodes, parsed_pages
 from pagefold.operators.text import plain_text, region, title_generic
 from pagefold.plans.parse_queries import _ORACLE_RAW_TEXT, _ORACLE_TITLE
 from pagefold.plans.registry import register
@@ -25,7 +25,7 @@ def page_summary_batch(pages):
         F.count("*").alias("n_links"))
     kept = strip_junk_generic(nodes)
     return (
-        pages.select("page_id").join(title_generic(pages, kept), "page_id", "left")
+        parsed_pages(nodes).join(title_generic(pages, kept), "page_id", "left")
         .join(plain_text(kept, region(kept)), "page_id", "left").join(n_links, "page_id", "left")
         .select("page_id", "title", F.length("raw_text").alias("n_chars"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )

@@ -76,6 +76,26 @@ def stream_dedupe_url(
     q.awaitTermination()
 
 
+def newest_version(spark: SparkSession, out_path: str, below: int | None = None) -> str:
+    """Folder of the newest finished version (of batches before ``below``), '' when there is none.
+
+    A version counts once its ``_SUCCESS`` file is there; the listing goes through the Hadoop file
+    API, so it works on any store that Spark reads.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return ""
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    numbers = sorted((int(n[len("version="):]) for n in names if n.startswith("version=")), reverse=True)
+    for n in numbers:
+        path = f"{out_path}/version={n:08d}"
+        if (below is None or n < below) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            return path
+    return ""
+
+
 def stream_job_latest(
     spark: SparkSession, source: str, out_path: str, checkpoint: str, schema: T.StructType,
     to_jobs: Callable[[DataFrame], DataFrame], glob: str | None = None,
@@ -83,9 +103,11 @@ def stream_job_latest(
     """H3: the live current-status table per job.
 
     A streaming aggregation (state per job) in update mode; each micro-batch
-    upserts its changed jobs into a new version of the table (previous
-    version minus the changed keys, plus the changed rows).  Returns the
-    folder of the newest version.
+    upserts its changed jobs into a new version of the table (newest finished
+    version of an earlier batch minus the changed keys, plus the changed rows).
+    Versions are looked up on storage, so a restart goes on from the last one and
+    a replayed batch builds on the same version as before.  Returns the folder
+    of the newest version ('' when no batch ever ran).
     """
     jobs = to_jobs(_source(spark, source, schema, glob, None))
     agg = jobs.groupBy("job_id").agg(
@@ -94,22 +116,20 @@ def stream_job_latest(
         F.max("ts").alias("updated_at"),
     ).select("job_id", F.col("_l.status").alias("status"), F.col("_l.value").alias("duration_seconds"),
              "created_at", "updated_at")
-    latest: dict[str, str] = {}
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         target = f"{out_path}/version={batch_id:08d}"
-        prev = latest.get("path")
-        if prev is None:
+        prev = newest_version(spark, out_path, below=batch_id)
+        if not prev:
             merged = batch
         else:
             old = batch.sparkSession.read.parquet(prev)
             merged = old.join(batch.select("job_id"), "job_id", "left_anti").unionByName(batch)
         merged.write.mode("overwrite").parquet(target)
-        latest["path"] = target
 
     q = (
         agg.writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return latest.get("path", "")
+    return newest_version(spark, out_path)

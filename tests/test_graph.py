@@ -46,3 +46,17 @@ def test_bfs_matches_fifo_loop(spark):
     for depth, max_pages in [(1, 50), (3, 4), (5, 50), (2, 2)]:
         got = [(r.url, r.depth, r.status) for r in bfs_pages(link_side, corpus, start, depth, max_pages).orderBy("seq").collect()]
         assert got == brute_force(urls, ok, start, depth, max_pages), (depth, max_pages)
+
+
+def test_crawl_over_links_keeps_failures(spark):
+    from pagefold.operators.graph import bfs_over_links, crawl_metadata, failed_urls
+
+    corpus = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "page_id long, url string")
+    links = spark.createDataFrame([("a", "x", 1), ("a", "b", 2), ("b", "a", 1), ("b", "c", 2), ("b", "y", 3), ("c", "z", 1)],
+                                  "src_url string, dst_url string, pos int")
+    crawl = bfs_over_links(links, corpus, "a", 2, 50)
+    assert [(r.url, r.depth, r.status) for r in crawl.orderBy("seq").collect()] == [
+        ("a", 0, "ok"), ("x", 1, "failed"), ("b", 1, "ok"), ("c", 2, "ok"), ("y", 2, "failed")]
+    assert [r.url for r in failed_urls(crawl).collect()] == ["x", "y"]
+    meta = crawl_metadata(crawl, started_at=10.0, finished_at=12.5).first()
+    assert (meta.total_pages, meta.failed_urls, meta.duration_seconds) == (3, ["x", "y"], 2.5)

@@ -26,3 +26,20 @@ def test_job_requests_defaults_and_run_limit(spark):
     got = [(r.depth, r.max_pages, r.reason, r.run_error) for r in J.job_requests_check(df).collect()]
     assert got == [(1, 800, None, True), (1, 5, "invalid_url", False), (9, 5, "depth_out_of_range", False),
                    (1, 50, "bad_link_filter", False)]
+
+
+def test_format_duration_rounds_the_exact_value_once(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [6.55, 0.25, 0.75, 0.004, 59.996, 1e-9, 0.05, 12.35, 59.94999999999999, 2.5, 45.45, 7.15] + [i / 100 for i in range(1, 6000, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    got = [r.d for r in df.select(J.format_duration(F.col("s")).alias("d")).collect()]
+    assert got == [f"{Decimal(v).quantize(Decimal('0.1'), ROUND_HALF_UP)}s" for v in values]
+
+
+def test_jobs_recent_returns_all(spark):
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 20)) for i in range(30)] + [(99, None)]
+    df = spark.createDataFrame(rows, "job_id long, created_at timestamp")
+    got = [r.job_id for r in J.jobs_recent(df).collect()]
+    assert len(got) == 31 and got[0] == 19 and got[-1] == 99
+    assert [r.job_id for r in J.jobs_recent(df, 2).collect()] == got[:2]

@@ -23,3 +23,47 @@ def test_stream_matches_batch_and_survives_restart(spark):
     dout, dckpt = scratch_path(spark, "dedupe-out"), scratch_path(spark, "dedupe-ckpt")
     stream_dedupe_url(spark, src + "/*", dout, dckpt, PAGES_SCHEMA)
     assert sorted(r.url for r in spark.read.parquet(dout).collect()) == sorted({u for _, u, _ in rows})
+
+
+def test_job_latest_goes_on_after_restarts(spark):
+    import datetime as dt
+
+    from pagefold.streaming.stream import newest_version, stream_job_latest
+
+    schema = "job_id long, event_id long, ts timestamp, status string, value double"
+    kind = spark.createDataFrame([], schema).schema
+    t0 = dt.datetime(2024, 1, 1)
+    src, out, ckpt = (scratch_path(spark, f"jobs-{x}") for x in ("src", "out", "ckpt"))
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{src}/{name}")
+
+    def run():
+        path = stream_job_latest(spark, src + "/*", out, ckpt, kind, lambda d: d)
+        return path, sorted((r.job_id, r.status) for r in spark.read.parquet(path).collect()) if path else []
+
+    put("a", [(1, 1, t0, "queued", 0.0), (2, 2, t0, "queued", 0.0)])
+    assert run()[1] == [(1, "queued"), (2, "queued")]
+    put("b", [(3, 3, t0, "queued", 0.0), (1, 4, t0 + dt.timedelta(seconds=1), "failed", 1.0)])
+    path, rows = run()
+    assert rows == [(1, "failed"), (2, "queued"), (3, "queued")]
+    assert run() == (path, rows)  # nothing new: the newest version stays
+    # a replayed batch starts from the version before its own
+    number = int(path.rsplit("=", 1)[1])
+    assert newest_version(spark, out, below=number) != path
+    assert newest_version(spark, scratch_path(spark, "jobs-none")) == ""
+
+
+def test_one_malformed_page_fails_alone(spark):
+    from pagefold.operators.nodes import html_nodes, parse_errors, parsed_pages
+    from pagefold.plans.stream_queries import page_summary_batch
+
+    rows = [(1, "https://h.org/1", "<h1>One</h1>"), (2, "https://h.org/2", "<p>x</p><![foo[x]]><p>y</p>"), (3, "https://h.org/3", "<h1>Three</h1>")]
+    pages = spark.createDataFrame(rows, PAGES_SCHEMA)
+    nodes = html_nodes(pages)
+    assert sorted(r.page_id for r in parsed_pages(nodes).collect()) == [1, 3]
+    assert [(r.page_id, "unknown status keyword" in r._error) for r in parse_errors(nodes).collect()] == [(2, True)]
+    src, out, ckpt = (scratch_path(spark, f"bad-{x}") for x in ("src", "out", "ckpt"))
+    pages.write.mode("overwrite").parquet(src + "/a")
+    stream_pages(spark, src + "/*", out, ckpt, page_summary_batch, PAGES_SCHEMA)
+    assert sorted((r.page_id, r.title) for r in spark.read.parquet(out).collect()) == [(1, "One"), (3, "Three")]
