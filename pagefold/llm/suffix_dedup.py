@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 
 from pagefold.llm.common import slices, stage
 from pagefold.llm.shingles import column_bytes, mix, powers
+from pagefold.session import materialize
 
 #: Bytes of a repeated string; bytes of an anchor; bytes of a pack; spans that a task holds in a run.
-LENGTH, GRAM, PACK_BYTES, RUN_SPANS = 50, 16, 1 << 20, 1 << 20
+LENGTH, GRAM, PACK_BYTES, RUN_SPANS = 50, 16, 1 << 20, 1 << 18
+#: Partitions of the exchanges by anchor, for each shuffle partition: a task holds its spans in memory.
+SPREAD = 4
 _REACH = LENGTH - GRAM  # furthest that a string extends to either side of its anchor
 _PLACE = np.uint64((1 << 28) - 1)
 _BASE = 0xD6E8FEB86659FD93
@@ -46,11 +49,12 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 # ---- packs ---------------------------------------------------------------------------------------
 
 def make_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(pack, body)``: the rows of ``docs`` in compressed Arrow streams of about ``PACK_BYTES`` of text."""
+    """``(pack, body)``: the rows of ``docs`` in compressed Arrow streams of about ``PACK_BYTES`` of text,
+    as a table bucketed by ``pack``: the joins that bring ranges to their packs don't move the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
         for batch in batches:
             for part in slices(batch, text_col, PACK_BYTES):
                 sink = pa.BufferOutputStream()
@@ -60,7 +64,7 @@ def make_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                                  ["pack", "body"])
                 number += 1
 
-    return stage(docs.mapInArrow(run, "pack long, body binary"), "dedup-packs")
+    return materialize(docs.mapInArrow(run, "pack long, body binary"), "dedup-packs", key="pack")
 
 
 def open_pack(body: bytes) -> pa.Table:
@@ -106,18 +110,36 @@ def spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return gram[place], whole, lo, hi - lo + LENGTH, place - lo
 
 
-_FIELDS = (("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("pack", "<i8"), ("start", "<u4"), ("size", "<u1"), ("place", "<u1"))
+_FIELDS = (("anchor", "<u5"), ("whole", "<u8"), ("doc", "<i8"), ("pack", "<i8"), ("start", "<u4"), ("size", "<u1"), ("place", "<u1"))
 
 
 def _pack_rows(rows: dict[str, np.ndarray], fields=_FIELDS) -> bytes:
-    return b"".join(np.ascontiguousarray(rows[k], t).tobytes() for k, t in fields)
+    """Columns one behind the other, compressed.  u5 keeps 40 bits: enough to tell the anchors of one
+    partition apart, and two that fall together only bring spans to a comparison that finds nothing."""
+    import zstandard
+
+    out = []
+    for k, t in fields:
+        if t == "<u5":
+            out += [rows[k].astype("<u4").tobytes(), (rows[k] >> np.uint64(32)).astype("<u1").tobytes()]
+        else:
+            out.append(np.ascontiguousarray(rows[k], t).tobytes())
+    return zstandard.compress(b"".join(out), 1)
 
 
 def _unpack_rows(blob: bytes, fields=_FIELDS) -> dict[str, np.ndarray]:
-    n, at, out = len(blob) // sum(np.dtype(t).itemsize for _, t in fields), 0, {}
+    import zstandard
+
+    blob = zstandard.decompress(blob) if blob else b""
+    n, at, out = len(blob) // sum(5 if t == "<u5" else np.dtype(t).itemsize for _, t in fields), 0, {}
     for k, t in fields:
-        out[k] = np.frombuffer(blob, t, n, at)
-        at += n * np.dtype(t).itemsize
+        if t == "<u5":
+            low = np.frombuffer(blob, "<u4", n, at).astype(np.uint64)
+            out[k] = low | np.frombuffer(blob, "<u1", n, at + 4 * n).astype(np.uint64) << np.uint64(32)
+            at += 5 * n
+        else:
+            out[k] = np.frombuffer(blob, t, n, at)
+            at += n * np.dtype(t).itemsize
     return out
 
 
@@ -163,7 +185,7 @@ _SCHEMA = "kind int, key long, blob binary"
 
 def find_classes(packs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Steps 1 and 2: ranges repeated as whole spans, and the spans that step 3 asks for, by pack."""
-    n = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = SPREAD * int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -326,7 +348,7 @@ def _sides(rows: dict[str, np.ndarray], text: np.ndarray, at: np.ndarray) -> np.
 
 def merge_ends(packs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Step 3: ranges of the spans asked for that a smaller document holds too, by pack."""
-    n = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = SPREAD * int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = (("anchor", "<u8"), ("doc", "<i8"), ("pack", "<i8"), ("start", "<u4"), ("size", "<u1"), ("place", "<u1"))
     asked = found.filter(F.col("kind") == REQUESTS).groupBy(F.col("key").alias("pack")).agg(F.collect_list("blob").alias("blobs"))
 
@@ -347,7 +369,8 @@ def merge_ends(packs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
                 own = order[first[t]:first[t + 1]]
                 if len(own):
                     where = np.repeat(begin[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
-                    out.append((SPANS, t, len(own).to_bytes(8, "little") + _pack_rows(_take(rows, own), fields) + text[where].tobytes()))
+                    head = _pack_rows(_take(rows, own), fields)
+                    out.append((SPANS, t, len(head).to_bytes(8, "little") + head + text[where].tobytes()))
             yield from _send(out)
 
         for batch in batches:
@@ -366,13 +389,12 @@ def merge_ends(packs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, texts, shard = [], [], []
-        width = sum(np.dtype(t).itemsize for _, t in fields)
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                k = int.from_bytes(blob[:8], "little")
-                parts.append(_unpack_rows(blob[8:8 + k * width], fields))
-                texts.append(np.frombuffer(blob, np.uint8, offset=8 + k * width))
-                shard.append(np.full(k, len(shard)))
+                head = 8 + int.from_bytes(blob[:8], "little")
+                parts.append(_unpack_rows(blob[8:head], fields))
+                texts.append(np.frombuffer(blob, np.uint8, offset=head))
+                shard.append(np.full(len(parts[-1]["doc"]), len(shard)))
         if not parts:
             return
         rows, text, shard = _concat(parts), np.concatenate(texts), np.concatenate(shard)
