@@ -71,7 +71,8 @@ def edit_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     has: dict[int, int] = {}
     for i, c in enumerate(item):
         has[c] = has.get(c, 0) | 1 << i
-    up, down, score, best, end = full, 0, m, most + 1, -1
+    up, down, score = full, 0, m
+    best, end = (m, 0) if m <= most else (most + 1, -1)  # against no text at all
     for j, c in enumerate(text):
         eq = has.get(c, 0)
         x = eq | down

@@ -23,7 +23,7 @@ from pagefold.llm.text_features import hash_cache, held_out, in_batches, labelle
 MOST_TOXIC, MOST_UNLABELLED, FEATURES, MODELS = 4_000, 8_000, 1 << 20, 3
 #: A feature counts when it is in so many toxic texts and so many times as frequent there as in U.
 LEAST_TEXTS, LEAST_LIFT = 5, 3.0
-EPOCHS, BATCH, RATE, L2 = 60, 256, 0.1, 1e-5
+STEPS, BATCH, RATE, L2 = 2_500, 256, 0.1, 1e-5
 WORD = re.compile(r"\w+")
 
 
@@ -68,26 +68,28 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, mod
         rng = np.random.default_rng(100 + m)
         w, b = np.zeros(len(kept) + 1), float(np.log(prior / (1 - prior)))
         seen_w, seen_b = np.full(w.shape, 1e-3), 1e-3
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(u))
-            for a in range(0, len(u), BATCH):
-                xu, xp = u[order[a:a + BATCH]], p[rng.integers(0, len(p), BATCH)]
-                sp, su = sigmoid(w[xp].sum(1) + b), sigmoid(w[xu].sum(1) + b)
-                # sigmoid loss: bounded, as the estimator asks; d/dz of sigmoid is s (1 - s)
-                negative = su.mean() - prior * sp.mean()
-                dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
-                if negative >= 0:
-                    gp, gu = -2 * prior * dp, du
-                else:
-                    gp, gu = prior * dp, -du
-                g = np.bincount(xp.ravel(), np.repeat(gp, xp.shape[1]), len(w)) + np.bincount(xu.ravel(), np.repeat(gu, xu.shape[1]), len(w))
-                g += L2 * w
-                g[-1] = 0
-                gb = float(gp.sum() + gu.sum())
-                seen_w += g * g
-                seen_b += gb * gb
-                w -= RATE * g / np.sqrt(seen_w)
-                b -= RATE * gb / np.sqrt(seen_b)
+        order = rng.permutation(len(u))
+        for step in range(STEPS):
+            a = step * BATCH % len(u)
+            if step and a < BATCH:
+                order = rng.permutation(len(u))
+            xu, xp = u[order[a:a + BATCH]], p[rng.integers(0, len(p), BATCH)]
+            sp, su = sigmoid(w[xp].sum(1) + b), sigmoid(w[xu].sum(1) + b)
+            # sigmoid loss: bounded, as the estimator asks; d/dz of sigmoid is s (1 - s)
+            negative = su.mean() - prior * sp.mean()
+            dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+            if negative >= 0:
+                gp, gu = -2 * prior * dp, du
+            else:
+                gp, gu = prior * dp, -du
+            g = np.bincount(xp.ravel(), np.repeat(gp, xp.shape[1]), len(w)) + np.bincount(xu.ravel(), np.repeat(gu, xu.shape[1]), len(w))
+            g += L2 * w
+            g[-1] = 0
+            gb = float(gp.sum() + gu.sum())
+            seen_w += g * g
+            seen_b += gb * gb
+            w -= RATE * g / np.sqrt(seen_w)
+            b -= RATE * gb / np.sqrt(seen_b)
         weights[m, kept], weights[m, -1] = w[:-1], b
     return weights
 
@@ -106,10 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_remainder:
 
     def work(state, part: pa.RecordBatch, whole: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("known"), pa.array([x.tobytes() for x in features(whole)], pa.binary())],
-                                          ["known", "idx"])
+                                      ["known", "idx"])
 
-    found = in_batches(texts, "doc_id", "text", "known boolean, idx binary", ["known"], work).distinct().toArrow()
-    found = found.sort_by([("idx", "ascending")])
+    found = in_batches(texts, "doc_id", "text", "known boolean, idx binary", ["known"], work).toArrow()
+    found = found.sort_by([("known", "ascending"), ("idx", "ascending")])
     known, idx = found["known"].to_pylist(), [np.frombuffer(x, "<i4") for x in found["idx"].to_pylist()]
     return fit([x for x, k in zip(idx, known) if k], [x for x, k in zip(idx, known) if not k], n1 / max(1, n0 + n1))
 
@@ -143,4 +145,4 @@ def predict(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_remainder
     """Per document: held_out, score, predicted (1 from a score of 0.5)."""
     scored = score(docs, train(docs, labels, modulus, held_remainder))
     return scored.select("doc_id", held_out("doc_id", modulus, held_remainder).alias("held_out"), "score",
-                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+                     F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
