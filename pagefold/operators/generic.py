@@ -108,13 +108,15 @@ def structured_text(lines: DataFrame, roots: DataFrame, exclude: DataFrame | Non
     ``exclude(page_id, pre, last)`` removes whole subtrees first.
     """
     ln = lines
+    # a page's roots (and excluded elements) are one array: a line is paired with those of its ancestors
+    # only, in one join by page, and no other ancestor becomes a row
     if exclude is not None:
-        ex = exclude.select("page_id", F.col("pre").alias("x_pre"))
-        ln = ln.join(exclude.select("page_id", F.col("pre").alias("pre")), ["page_id", "pre"], "left_anti")
-        inside = ln.select("page_id", "pre", F.explode("anc").alias("x_pre")).join(ex, ["page_id", "x_pre"], "left_semi")
-        ln = ln.join(inside.select("page_id", "pre").distinct(), ["page_id", "pre"], "left_anti")
+        ex = exclude.groupBy("page_id").agg(F.collect_set("pre").alias("_ex"))
+        gone = F.array_contains("_ex", F.col("pre")) | F.arrays_overlap("_ex", "anc")
+        ln = ln.join(ex, "page_id", "left").filter(~F.coalesce(gone, F.lit(False))).drop("_ex")
     r = roots.select("page_id", F.col("pre").alias("r_pre")).distinct()
-    pairs = ln.select("page_id", "pre", "line", F.explode("anc").alias("r_pre")).join(r, ["page_id", "r_pre"])
+    of_page = roots.groupBy("page_id").agg(F.collect_set("pre").alias("_roots"))
+    pairs = ln.join(of_page, "page_id").select("page_id", "pre", "line", F.explode(F.array_intersect("anc", "_roots")).alias("r_pre"))
     agg = pairs.groupBy("page_id", "r_pre").agg(
         ordered_join(F.collect_list(F.struct("pre", F.col("line").alias("s"))), "\n").alias("t"))
     text = pystrip(F.regexp_replace(F.coalesce("t", F.lit("")), "\n{3,}", "\n\n"))

@@ -119,14 +119,13 @@ class _TreeTokenizer(HTMLParser):
         # root node
         self.rows.append([0, 0, None, 0, None, "root", "[document]", None, None, None])
         self.stack: list[int] = [0]  # row indexes of open nodes
+        self.open: list[str] = ["[document]"]  # their tags
+        self.n_open: dict[str, int] = {}  # open elements by tag
         self.child_count: dict[int, int] = {0: 0}
         self.buf: list[str] = []
         self.hidden_depth = 0
 
     # -- helpers -------------------------------------------------------
-    def _open_tags(self):
-        return [self.rows[i][6] for i in self.stack]
-
     def _add(self, kind, tag=None, attrs=None, classes=None, text=None) -> int:
         parent_idx = self.stack[-1]
         pre = len(self.rows)
@@ -147,6 +146,7 @@ class _TreeTokenizer(HTMLParser):
 
     def _close_top(self):
         idx = self.stack.pop()
+        self.n_open[self.open.pop()] -= 1
         self.rows[idx][1] = len(self.rows) - 1
         if self.rows[idx][6] in HIDDEN_CONTAINERS:
             self.hidden_depth -= 1
@@ -159,6 +159,8 @@ class _TreeTokenizer(HTMLParser):
         classes = amap.get("class", "").split() if "class" in amap else []
         pre = self._add("elem", tag=tag, attrs=amap, classes=classes)
         self.stack.append(pre)
+        self.open.append(tag)
+        self.n_open[tag] = self.n_open.get(tag, 0) + 1
         self.child_count[pre] = 0
         if tag in HIDDEN_CONTAINERS:
             self.hidden_depth += 1
@@ -166,13 +168,11 @@ class _TreeTokenizer(HTMLParser):
 
     # -- detail-mode structure ----------------------------------------
     def _detail_before_start(self, tag):
-        open_tags = self._open_tags()
-        if tag != "html" and "html" not in open_tags:
+        if tag != "html" and not self.n_open.get("html"):
             self._push("html", [])
-            open_tags = self._open_tags()
-        if tag not in ("html", "head", "body") and tag not in _HEAD_TAGS and "body" not in open_tags:
-            if "head" in open_tags:
-                while self._open_tags()[-1] != "head":
+        if tag not in ("html", "head", "body") and tag not in _HEAD_TAGS and not self.n_open.get("body"):
+            if self.n_open.get("head"):
+                while self.open[-1] != "head":
                     self._close_top()
                 self._close_top()
             self._push("body", [])
@@ -185,7 +185,7 @@ class _TreeTokenizer(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self._flush()
         if self.mode == "detail":
-            if tag in ("html", "body", "head") and tag in self._open_tags():
+            if tag in ("html", "body", "head") and self.n_open.get(tag):
                 return
             self._detail_before_start(tag)
         self._push(tag, attrs)
@@ -201,9 +201,8 @@ class _TreeTokenizer(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        open_tags = self._open_tags()
-        for pos in range(len(open_tags) - 1, 0, -1):
-            if open_tags[pos] == tag:
+        for pos in range(len(self.open) - 1, 0, -1) if self.n_open.get(tag) else ():
+            if self.open[pos] == tag:
                 if self.mode == "detail" and tag in ("html", "body"):
                     return  # closed at end of document
                 while len(self.stack) > pos:
@@ -253,7 +252,8 @@ def tokenize(html: str | None, mode: str = "generic") -> list[list]:
 
 
 _COLS = [f.name for f in NODE_SCHEMA.fields]
-_FLUSH_ROWS = 50_000
+# values (rows and their ancestors) that a worker holds before it hands on a batch, also within a page
+_FLUSH_VALUES = 1_000_000
 
 
 def _arrow_schema():
@@ -274,6 +274,11 @@ class _Columns:
         self.cols = {c: [] for c in _COLS}
         self.n = 0
 
+    def clear(self):
+        for c in self.cols.values():
+            c.clear()
+        self.n = 0
+
     def add_page(self, page_id, rows):
         c = self.cols
         anc_of: dict[int, tuple[list[int], list[str]]] = {}
@@ -298,7 +303,9 @@ class _Columns:
             c["text"].append(text)
             c["anc"].append(anc)
             c["anc_tags"].append(anc_tags)
-        self.n += len(rows)
+            self.n += 1 + len(anc)
+            if self.n >= _FLUSH_VALUES:
+                yield
 
     def batch(self, schema):
         import pyarrow as pa
@@ -319,10 +326,9 @@ def _nodes_fn(mode: str):
                     rows = tokenize(html, mode)
                 except Exception as e:  # noqa: BLE001 — a malformed page fails alone
                     rows = [[0, 0, None, 0, None, ERROR_KIND, None, None, None, repr(e)[:500]]]
-                acc.add_page(pid, rows)
-                if acc.n >= _FLUSH_ROWS:
+                for _ in acc.add_page(pid, rows):
                     yield acc.batch(schema)
-                    acc = _Columns()
+                    acc.clear()
         if acc.n:
             yield acc.batch(schema)
 
