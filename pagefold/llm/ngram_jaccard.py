@@ -13,7 +13,8 @@ too, so no link is lost.
 
 Candidates are not all pairs of a block's texts.  First each text is held against one
 representative of its block; the links found give components; then only texts of one block that
-lie in different components are paired.  Each candidate passes two exact tests: a parity bit
+lie in different components are compared, in tiles of a few hundred by their bit sketches, and only
+what these allow becomes a candidate.  Each candidate passes two exact tests: a parity bit
 sketch (one bit a shingle, its Hamming distance is a lower bound as well) and the shingle sets.
 
 Texts with equal sets are one class from the start and are never paired.
@@ -38,6 +39,8 @@ BAND = 1.4
 #: Keys that a task holds before it deals them out; texts of one block in such a run from which on
 #: the task forwards a representative only.
 RUN_KEYS, RUN_GROUP = 1 << 20, 8
+#: Texts of one block that are held against each other at a time.
+TILE = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -299,6 +302,66 @@ def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, band
     return stage(full.mapInArrow(verify, "a long, b long"), "jaccard-links")
 
 
+def between_components(placed: DataFrame, bands: Bands) -> DataFrame:
+    """``(a, b)`` of ``placed(key, set, component, tiles, n_shingles, sketch)``: texts of one block and different
+    components whose sizes and bit sketches allow a link.
+
+    A block's texts are compared in tiles of TILE rows, a tile pair at a time in arrays; pairs that
+    the sketches rule out are never rows."""
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    percent = bands.percent
+    tiled = placed.withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+    tiled = (tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")))
+
+    def compare(rows: list[dict]) -> tuple[list[int], list[int]]:
+        size = np.array([r["n_shingles"] for r in rows])
+        component = np.array([r["component"] for r in rows])
+        width = min(len(r["sketch"]) for r in rows)
+        sketch = np.zeros((len(rows), width), np.uint8)
+        for k, r in enumerate(rows):
+            x = np.frombuffer(r["sketch"], np.uint8)
+            while len(x) > width:
+                x = x[:len(x) // 2] ^ x[len(x) // 2:]
+            sketch[k] = x
+        side = np.array([r["tile"] == r["i"] for r in rows])
+        out_a, out_b = [], []
+        for k, r in enumerate(rows):
+            if r["i"] != r["j"] and not side[k]:
+                continue
+            ok = (component != component[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+            ok &= ~side if r["i"] != r["j"] else np.arange(len(rows)) > k
+            at = np.flatnonzero(ok)
+            if len(at):
+                apart = np.bitwise_count(sketch[at] ^ sketch[k]).sum(1, dtype=np.int64)
+                for m in at[(100 + percent) * apart <= (100 - percent) * (size[at] + size[k])]:
+                    out_a.append(min(r["set"], rows[m]["set"]))
+                    out_b.append(max(r["set"], rows[m]["set"]))
+        return out_a, out_b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = [], None
+        for batch in batches:
+            a, b = [], []
+            for r in batch.to_pylist():
+                if (r["key"], r["i"], r["j"]) != now:
+                    if len(group) > 1:
+                        x, y = compare(group)
+                        a += x
+                        b += y
+                    group, now = [], (r["key"], r["i"], r["j"])
+                group.append(r)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if len(group) > 1:
+            a, b = compare(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    order = ["key", "i", "j"]
+    return (tiled.select("key", "i", "j", "tile", "set", "component", "n_shingles", "sketch")
+            .repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: the texts linked by a Jaccard similarity of ``percent`` / 100
     or more of their ``words``-word shingles, directly or through others.
@@ -322,13 +385,10 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # texts of one block in different components are held against each other
     placed = stage(members.select("key", "set").distinct().join(found.withColumnRenamed("id", "set"), "set", "left")
                    .withColumn("component", F.coalesce("component", "set")), "jaccard-placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    placed = placed.join(mixed, "key").join(classes.select("set", "n_shingles"), "set")
-    left, right = placed.toDF("set", "key", "component", "n").alias("l"), placed.toDF("set", "key", "component", "n").alias("r")
-    across = (left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component"))
-                        & (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent))
-              .select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
-              .join(star, ["a", "b"], "left_anti"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    mixed = stage(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "jaccard-mixed")
+    placed = placed.join(mixed, "key").join(classes.select("set", "n_shingles", "sketch"), "set")
+    across = between_components(placed, bands).distinct().join(star, ["a", "b"], "left_anti")
     links = links.unionAll(link(stage(across, "jaccard-across"), classes, docs, words, bands))
     # numbers of sets give way to the smallest ids of their classes
     ids = classes.select("set", "doc_id")
