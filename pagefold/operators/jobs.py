@@ -37,6 +37,21 @@ def job_requests_check(requests: DataFrame, defaults: dict | None = None) -> Dat
         "run_error", F.col("reason").isNull() & (F.col("max_pages") > RUN_MAX_PAGES))
 
 
+def form_requests(raw: DataFrame) -> DataFrame:
+    """G6, web form: text fields to numbers as the form does before it submits.
+
+    A missing field has the form's default; text counts by its leading integer, and what has none
+    (or is 0) becomes depth 0 and 1 page.
+    """
+    def number(c: str, otherwise: int) -> Column:
+        lead = F.regexp_extract(F.col(c), r"^\s*([+-]?[0-9]{1,9})", 1)
+        parsed = F.when(lead != "", lead.cast("long"))
+        return F.when(F.col(c).isNull(), F.lit(FORM_DEFAULTS[c])).when(F.coalesce(parsed, F.lit(0)) == 0, F.lit(otherwise)).otherwise(parsed).cast("long")
+
+    return raw.withColumns({"depth": number("depth", 0), "max_pages": number("max_pages", 1),
+                            "link_filter": F.coalesce("link_filter", F.lit("same_path"))})
+
+
 def job_events(events: DataFrame) -> DataFrame:
     """Job status events from an event table: job = user, status from the event type."""
     status = (

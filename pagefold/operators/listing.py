@@ -8,10 +8,12 @@ run never corrupts the state and reruns are idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagefold.sources.versions import newest_version, write_version
+
 COMPLETED_SCHEMA = T.StructType([T.StructField("url", T.StringType())])
 
 
@@ -47,6 +49,31 @@ def reset_state(spark: SparkSession) -> DataFrame:
     return completed_from_urls(spark, None)
 
 
+def write_state(completed: DataFrame, path: str, updated_at) -> str:
+    """Write the completed set as the next version below ``path``; ``updated_at`` (a timestamp value
+    or column) is kept as an additional row without a URL, so that an empty state has its time too."""
+    stamp = completed.sparkSession.range(1).select(F.lit(None).cast("string").alias("url"))
+    rows = completed.select("url").unionByName(stamp)
+    return write_version(rows.withColumn("updated_at", F.lit(updated_at).cast("timestamp")), path)
+
+
+def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, bool, DataFrame]:
+    """The newest version's completed set, whether there is a version, and its time (one row)."""
+    folder = newest_version(spark, path)
+    if not folder:
+        return completed_from_urls(spark, None), False, spark.range(1).select(F.lit(None).cast("timestamp").alias("last_updated"))
+    rows = spark.read.parquet(folder)
+    return rows.filter("url IS NOT NULL").select("url"), True, rows.agg(F.max("updated_at").alias("last_updated"))
+
+
+def stored_state_stats(spark: SparkSession, path: str) -> DataFrame:
+    """E5 of the state stored below ``path``."""
+    completed, exists, updated = read_state(spark, path)
+    # two one-row tables, side by side
+    return completed.agg(F.count("*").alias("completed_count")).join(updated, F.lit(True)).select(
+        "completed_count", F.col("completed_count").alias("total_completed"), F.lit(exists).alias("state_exists"), "last_updated")
+
+
 def state_stats(completed: DataFrame, exists: bool = True, last_updated=None) -> DataFrame:
     """E5: completed_count / total_completed, whether a state exists, last update."""
     return completed.agg(F.count("*").alias("completed_count")).select(
@@ -72,6 +99,3 @@ def unfetched_listings(pending: DataFrame, details: DataFrame) -> DataFrame:
     return pending.join(details.select("url"), "url", "left_anti")
 
 
-def first_per_url(df: DataFrame, order_col: str) -> DataFrame:
-    w = Window.partitionBy("url").orderBy(order_col)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

@@ -11,11 +11,11 @@ from pagefold.operators.links import listing_links
 from pagefold.operators.nodes import html_nodes
 from pagefold.operators.sections import detail_page, sections, summary
 from pagefold.operators.text import title_detail
-from pagefold.operators.listing import completed_from_urls, listing_detail_join, listing_limit, pending_urls, state_stats
+from pagefold.operators.listing import completed_from_urls, listing_detail_join, listing_limit, pending_urls, stored_state_stats, write_state
 from pagefold.plans import synth
 from pagefold.plans.registry import register
 from pagefold.plans.stage import corpus_nodes, derived_nodes
-from pagefold.session import materialize
+from pagefold.session import materialize, scratch_path
 from pagefold.sources.tables import scan_pages, table
 
 # DuckDB forms of the cleaner (B12) and of the synthetic page layout
@@ -157,10 +157,13 @@ def q_pending_urls(spark, sf_dir):
 
 
 @register("state_stats", _COMPLETED_SQL + """ SELECT count(DISTINCT url) AS completed_count, count(DISTINCT url) AS total_completed,
-  true AS state_exists, CAST(NULL AS TIMESTAMP) AS last_updated FROM done""")
+  true AS state_exists, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS last_updated FROM done""")
 def q_state_stats(spark, sf_dir):
-    """E5 over the completed set."""
-    return state_stats(_completed(spark, sf_dir))
+    """E5 over the stored completed set; it was updated at the latest event's time."""
+    path = scratch_path(spark, "state")
+    updated = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]  # one scalar
+    write_state(_completed(spark, sf_dir), path, updated)
+    return stored_state_stats(spark, path).withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register("listing_detail_join", "WITH q AS (" + _LISTING_SQL.replace("'https://docs.example.org/list/' || doc_id || '/d/'", "'https://docs.example.org/d/'") + "), " + _LINES + """,

@@ -9,7 +9,7 @@ from pagefold.operators import generic as G
 from pagefold.operators.dom import has_attr, is_elem
 from pagefold.operators.junk import strip_junk_detail
 from pagefold.operators.links import link_scan, listing_links
-from pagefold.operators.listing import mark_completed, reset_state
+from pagefold.operators.listing import mark_completed, read_state, reset_state, write_state
 from pagefold.operators.sections import summary
 from pagefold.operators.text import plain_text, region, title_generic
 from pagefold.plans import synth
@@ -18,8 +18,11 @@ from pagefold.plans.generic_queries import _CONV
 from pagefold.plans.parse_queries import _ORACLE_RAW_TEXT, _ORACLE_TITLE
 from pagefold.plans.registry import register
 from pagefold.plans.stage import corpus_nodes, derived_nodes
+from pagefold.session import scratch_path
 from pagefold.sources.tables import scan_pages, table
 
+# time of the states written by these queries (any value; a run passes its own)
+_LATEST = "2024-01-01 00:00:00"
 _COUNT = "CAST(len(regexp_extract_all(html, '{re}')) AS BIGINT)"
 
 
@@ -140,18 +143,28 @@ def q_link_category(spark, sf_dir):
 @register("mark_completed", _COMPLETED_SQL + """, q2 AS (SELECT url FROM q WHERE category <> '')
 SELECT DISTINCT url FROM (SELECT url FROM done UNION ALL SELECT url FROM q2)""")
 def q_mark_completed(spark, sf_dir):
-    """Completed set ∪ newly parsed URLs (this run parsed the listings that carry a category), idempotent."""
+    """Completed set ∪ newly parsed URLs (this run parsed the listings that carry a category), over stored
+    versions: a second run that reads the first one's state changes nothing."""
     lst = _listing(spark, sf_dir)[1]
     parsed = lst.filter(F.col("category") != "").select("url")
-    once = mark_completed(_completed(spark, sf_dir), parsed)
-    return mark_completed(once, parsed).select("url")
+    path = scratch_path(spark, "state")
+    write_state(_completed(spark, sf_dir), path, _LATEST)
+    for _ in range(2):
+        write_state(mark_completed(read_state(spark, path)[0], parsed), path, _LATEST)
+    return read_state(spark, path)[0]
 
 
-@register("reset_state", "SELECT CAST(0 AS BIGINT) AS n")
+@register("reset_state", _COMPLETED_SQL + """ SELECT CAST(0 AS BIGINT) AS n, (SELECT count(DISTINCT url) FROM done) AS n_before,
+  (SELECT count(*) FROM q) AS n_listings""")
 def q_reset_state(spark, sf_dir):
-    """The state after a reset is empty (the data stay)."""
-    _completed(spark, sf_dir)
-    return reset_state(spark).agg(F.count("*").alias("n"))
+    """The stored state after a reset is empty; the version before it and the parsed data stay."""
+    path = scratch_path(spark, "state")
+    before = write_state(_completed(spark, sf_dir), path, _LATEST)
+    write_state(reset_state(spark), path, _LATEST)
+    n = read_state(spark, path)[0].agg(F.count("*").alias("n"))
+    old = spark.read.parquet(before).agg(F.count("url").alias("n_before"))
+    data = _listing(spark, sf_dir)[1].agg(F.count("*").alias("n_listings"))
+    return n.join(old, F.lit(True)).join(data, F.lit(True))
 
 
 _LINKS_SQL = "WITH " + _LINES + r""",

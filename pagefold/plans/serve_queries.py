@@ -194,6 +194,25 @@ def q_job_requests_check(spark, sf_dir):
     return J.job_requests_check(req).select("event_id", "depth", "max_pages", "link_filter", "reason", "run_error")
 
 
+@register("form_requests", r"""WITH r AS (SELECT event_id,
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN event_type WHEN 2 THEN ' ' || event_id % 7 || 'x' ELSE CAST(event_id % 9 - 2 AS VARCHAR) END AS depth,
+  CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(floor(value) AS BIGINT) || '.5' END AS max_pages FROM events),
+p AS (SELECT event_id, depth, max_pages, TRY_CAST(regexp_extract(depth, '^\s*([+-]?[0-9]+)', 1) AS BIGINT) AS d,
+  TRY_CAST(regexp_extract(max_pages, '^\s*([+-]?[0-9]+)', 1) AS BIGINT) AS m FROM r)
+SELECT event_id, CASE WHEN depth IS NULL THEN 1 ELSE coalesce(d, 0) END AS depth,
+  CASE WHEN max_pages IS NULL THEN 10 WHEN coalesce(m, 0) = 0 THEN 1 ELSE m END AS max_pages FROM p""")
+def q_form_requests(spark, sf_dir):
+    """The web form's defaults and number coercions."""
+    ev = table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    raw = ev.select(
+        "event_id", F.lit(None).cast("string").alias("link_filter"),
+        F.when(e % 5 == 0, F.lit(None)).when(e % 5 == 1, F.col("event_type")).when(e % 5 == 2, F.concat(F.lit(" "), (e % 7).cast("string"), F.lit("x")))
+        .otherwise((e % 9 - 2).cast("string")).alias("depth"),
+        F.when(e % 6 == 0, F.lit(None)).when(e % 6 == 1, F.lit("")).otherwise(F.concat(F.floor("value").cast("string"), F.lit(".5"))).alias("max_pages"))
+    return J.form_requests(raw).select("event_id", "depth", "max_pages")
+
+
 @register("job_latest", _JOBS_SQL + """
 SELECT job_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM lt""")
 def q_job_latest(spark, sf_dir):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagefold.functions.urls import url_filename, url_slug
+from pagefold.functions.urls import url_slug
 
 SECTION = T.StructType([T.StructField("title", T.StringType()), T.StructField("content", T.StringType())])
 CONTENT_SCHEMA = T.StructType(
@@ -45,13 +45,9 @@ def scan_records(spark: SparkSession, path: str, schema: T.StructType = CONTENT_
 
 def latest_by_slug(records: DataFrame, url_col: str = "source_url", seq_col: str = "seq") -> DataFrame:
     """A3: one record per slug; a later write (higher ``seq``) replaces an earlier one."""
-    w = Window.partitionBy("slug").orderBy(F.desc(seq_col))
-    return (
-        records.withColumn("slug", url_slug(url_col))
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") == 1)
-        .drop("_rn")
-    )
+    # an aggregate, not a window: rows of one slug (the empty one collects all root pages) combine before the shuffle
+    latest = F.max_by(F.struct(*(F.col(c) for c in records.columns)), F.struct(seq_col)).alias("_r")
+    return records.withColumn("slug", url_slug(url_col)).groupBy("slug").agg(latest).select("_r.*", "slug")
 
 
 def sink_by_slug(records: DataFrame, path: str, url_col: str = "source_url", seq_col: str = "seq") -> DataFrame:
@@ -61,13 +57,6 @@ def sink_by_slug(records: DataFrame, path: str, url_col: str = "source_url", seq
     return out
 
 
-def numbered_names(pages: DataFrame, order_cols: list[str]) -> DataFrame:
-    """A4: ``page_{i:03d}_{urlname}`` with i = position in the stored list (0-based)."""
-    w = Window.orderBy(*order_cols)  # the stored list is bounded by max_pages
-    return pages.withColumn("i", F.row_number().over(w) - 1).withColumn(
-        "file_stem", F.format_string("page_%03d_%s", F.col("i"), url_filename("url")))
-
-
 def sink_result(result: DataFrame, path: str) -> None:
     """A5: write the nested one-row-per-job crawl result as JSON (one small file per job set)."""
     result.coalesce(1).write.mode("overwrite").json(path)

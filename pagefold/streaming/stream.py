@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagefold.sources.versions import newest_version, version_folder
+
 
 def _source(spark: SparkSession, path: str, schema: T.StructType, glob: str | None, max_files: int | None) -> DataFrame:
     r = spark.readStream.schema(schema)
@@ -76,26 +78,6 @@ def stream_dedupe_url(
     q.awaitTermination()
 
 
-def newest_version(spark: SparkSession, out_path: str, below: int | None = None) -> str:
-    """Folder of the newest finished version (of batches before ``below``), '' when there is none.
-
-    A version counts once its ``_SUCCESS`` file is there; the listing goes through the Hadoop file
-    API, so it works on any store that Spark reads.
-    """
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(out_path)
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(root):
-        return ""
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    numbers = sorted((int(n[len("version="):]) for n in names if n.startswith("version=")), reverse=True)
-    for n in numbers:
-        path = f"{out_path}/version={n:08d}"
-        if (below is None or n < below) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
-            return path
-    return ""
-
-
 def stream_job_latest(
     spark: SparkSession, source: str, out_path: str, checkpoint: str, schema: T.StructType,
     to_jobs: Callable[[DataFrame], DataFrame], glob: str | None = None,
@@ -118,7 +100,7 @@ def stream_job_latest(
              "created_at", "updated_at")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        target = f"{out_path}/version={batch_id:08d}"
+        target = version_folder(out_path, batch_id)
         prev = newest_version(spark, out_path, below=batch_id)
         if not prev:
             merged = batch

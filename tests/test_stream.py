@@ -28,7 +28,8 @@ def test_stream_matches_batch_and_survives_restart(spark):
 def test_job_latest_goes_on_after_restarts(spark):
     import datetime as dt
 
-    from pagefold.streaming.stream import newest_version, stream_job_latest
+    from pagefold.sources.versions import newest_version
+    from pagefold.streaming.stream import stream_job_latest
 
     schema = "job_id long, event_id long, ts timestamp, status string, value double"
     kind = spark.createDataFrame([], schema).schema
