@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import slices, worker_cache
+from pagefold.llm.common import frugal, slices, worker_cache
 
 NO_PAIR = 1 << 30
 #: Encoded pre-tokens that a worker keeps, in each of two generations.
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                     [id_col, "ids"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -266,8 +266,7 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_i
                                              [id_col, ids_col, "decoded"])
 
     kind = dict(tokens.dtypes)
-    return tokens.select(id_col, ids_col).mapInArrow(
-        run, f"`{id_col}` {kind[id_col]}, `{ids_col}` {kind[ids_col]}, decoded binary")
+    return tokens.select(id_col, ids_col).mapInArrow(frugal(run), f"`{id_col}` {kind[id_col]}, `{ids_col}` {kind[ids_col]}, decoded binary")
 
 
 def _decode_lists(column: pa.ListArray, table: dict[int, bytes]) -> list[bytes]:

@@ -13,7 +13,22 @@ from pyspark.sql import functions as F
 from pagefold.session import ensure_checkpoint_dir
 
 
+#: Rows and bytes of an Arrow batch on its way to a Python worker, at most: texts, packs and vectors are
+#: large rows, and the batches of all tasks of an executor lie outside its heap.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to the above (smaller settings stay)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        text = spark.conf.get(key, None)
+        now = int(text) if text and text.lstrip("-").isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
@@ -24,6 +39,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -38,6 +54,24 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return kept[name]
 
 
+def frugal(run: Callable) -> Callable:
+    """``run`` over Arrow batches, handing freed memory back to the system at the end of each task: workers
+    live on, and several of them share an executor's memory with its JVM."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each piece holds about ``most`` bytes of ``column`` (one row at least)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import slices, stage, worker_cache
+from pagefold.llm.common import frugal, slices, stage, worker_cache
 from pagefold.llm.shingles import _LOWER, _SPACE, column_bytes, mix, powers
 
 #: Edits (share of an item's length) for which the recall is set, and up to which a match counts.
@@ -271,7 +271,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
                             [pa.array([ids[x] for x in d], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64()),
                              pa.array(e, pa.int64()), pa.array(k, pa.int32())], ["doc_id", "item_id", "start", "end", "distance"])
 
-        found = docs.mapInArrow(run, schema)
+        found = docs.mapInArrow(frugal(run), schema)
         out = found if number == 0 else out.unionAll(found)
     return out
 

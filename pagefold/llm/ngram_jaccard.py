@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import connected_components, slices, stage
+from pagefold.llm.common import connected_components, frugal, slices, stage
 from pagefold.llm.shingles import mix, shingle_sets
 
 #: Ratio of the size bands.
@@ -144,7 +144,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()),
                      pa.array([bit_sketch(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n_shingles", "set", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_shingles long, set long, sketch binary")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,10 +238,10 @@ def block_members(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 yield out.slice(a, 100_000)
 
     schema = "bucket int, pack binary, key long, set long, rep long"
-    dealt = docs.select("doc_id", "text").mapInArrow(emit, schema)
+    dealt = docs.select("doc_id", "text").mapInArrow(frugal(emit), schema)
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("key", "set"), F.lit(n)).cast("int"))
     # one exchange: packed runs go to the partition of their keys, members that a run listed itself to any
-    met = dealt.withColumn("bucket", spread).repartition(n, "bucket").mapInArrow(_pass_members(meet), schema)
+    met = dealt.withColumn("bucket", spread).repartition(n, "bucket").mapInArrow(frugal(_pass_members(meet)), schema)
     return met.select("key", "set", "rep")
 
 
@@ -274,7 +274,7 @@ def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, band
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = stage(sized.mapInArrow(near, "a long, b long"), "jaccard-pairs")
+    pairs = stage(sized.mapInArrow(frugal(near), "a long, b long"), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
     needed = stage(classes.join(needed, "set", "left_semi").select("doc_id"), "jaccard-needed")
 
@@ -285,7 +285,7 @@ def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, band
                 yield pa.RecordBatch.from_arrays([pa.array([set_number(s) for s in found], pa.int64()),
                                                   pa.array([s.tobytes() for s in found], pa.binary())], ["set", "hashes"])
 
-    whole = stage(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "set long, hashes binary")
+    whole = stage(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(frugal(sets), "set long, hashes binary")
                   .dropDuplicates(["set"]), "jaccard-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, band
 
     full = pairs.join(whole.select(F.col("set").alias("a"), F.col("hashes").alias("h_a")), "a").join(
         whole.select(F.col("set").alias("b"), F.col("hashes").alias("h_b")), "b")
-    return stage(full.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    return stage(full.mapInArrow(frugal(verify), "a long, b long"), "jaccard-links")
 
 
 def between_components(placed: DataFrame, bands: Bands) -> DataFrame:
@@ -359,7 +359,7 @@ def between_components(placed: DataFrame, bands: Bands) -> DataFrame:
 
     order = ["key", "i", "j"]
     return (tiled.select("key", "i", "j", "tile", "set", "component", "n_shingles", "sketch")
-            .repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
+            .repartition(n, *order).sortWithinPartitions(*order).mapInArrow(frugal(run), "a long, b long"))
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import slices, stage
+from pagefold.llm.common import frugal, slices, stage
 from pagefold.llm.shingles import column_bytes, mix, powers
 from pagefold.session import materialize
 
@@ -64,7 +64,7 @@ def make_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                                  ["pack", "body"])
                 number += 1
 
-    return materialize(docs.mapInArrow(run, "pack long, body binary"), "dedup-packs", key="pack")
+    return materialize(docs.mapInArrow(frugal(run), "pack long, body binary"), "dedup-packs", key="pack")
 
 
 def open_pack(body: bytes) -> pa.Table:
@@ -241,8 +241,8 @@ def find_classes(packs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         several &= np.maximum.reduceat(rows["doc"], first) != np.minimum.reduceat(rows["doc"], first)
         yield from _send(list(_by_pack(_take(rows, several[group]), REQUESTS, _REQUEST)))
 
-    dealt = packs.mapInArrow(emit, _SCHEMA).withColumn("to", F.when(F.col("kind") == SPANS, F.col("key")).otherwise(F.pmod("key", F.lit(n))))
-    return dealt.repartition(n, "to").select("kind", "key", "blob").mapInArrow(meet, _SCHEMA)
+    dealt = packs.mapInArrow(frugal(emit), _SCHEMA).withColumn("to", F.when(F.col("kind") == SPANS, F.col("key")).otherwise(F.pmod("key", F.lit(n))))
+    return dealt.repartition(n, "to").select("kind", "key", "blob").mapInArrow(frugal(meet), _SCHEMA)
 
 
 # ---- merging of shard BWTs -----------------------------------------------------------------------
@@ -421,8 +421,8 @@ def merge_ends(packs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
         out = {"pack": np.concatenate(out["pack"]), "start": np.concatenate(out["start"])}
         yield from _send(list(_by_pack({**out, "size": np.full(len(out["start"]), LENGTH)}, RANGES, _RANGE)))
 
-    cuts = packs.join(asked, "pack").mapInArrow(cut, _SCHEMA)
-    return cuts.repartition(n, "key").mapInArrow(meet, _SCHEMA)
+    cuts = packs.join(asked, "pack").mapInArrow(frugal(cut), _SCHEMA)
+    return cuts.repartition(n, "key").mapInArrow(frugal(meet), _SCHEMA)
 
 
 # ---- the whole operator --------------------------------------------------------------------------
@@ -465,7 +465,7 @@ def rewrite(docs: DataFrame, schema: str, finish: Callable, id_col: str = "doc_i
                     runs[d].append((a, b))
                 yield finish(table, [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], runs)
 
-    return packs.join(ranges, "pack", "left").mapInArrow(run, schema)
+    return packs.join(ranges, "pack", "left").mapInArrow(frugal(run), schema)
 
 
 def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:

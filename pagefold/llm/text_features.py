@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import slices, worker_cache
+from pagefold.llm.common import frugal, slices, worker_cache
 
 #: Words whose hashes a worker keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Classes of bytes counted by ``structure``.
 _CLASS = np.zeros(256, np.uint8)
 for _k, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n",
@@ -57,7 +57,7 @@ def in_batches(docs: DataFrame, id_col: str, text_col: str, schema: str, extra:
             for part in slices(batch, text_col):
                 yield work(state, part, [t or "" for t in part.column(text_col).to_pylist()])
 
-    return docs.select(id_col, text_col, *extra).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *extra).mapInArrow(frugal(run), schema)
 
 
 def labelled_sample(labels: DataFrame, label: str, modulus: int, held_remainder: int, most: int) -> tuple[DataFrame, int, int]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import slices, worker_cache
+from pagefold.llm.common import frugal, slices, worker_cache
 
 #: Frequent pre-tokens broadcast: so many at most, each of so many bytes at most (about 4 MB).
 TABLE_ENTRIES, TABLE_BYTES = 65_536, 48
@@ -86,7 +86,7 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str, entries: int = TABLE_ENT
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
                                          ["word", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select(text_col).mapInArrow(frugal(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in found.orderBy(F.desc("n"), "word").limit(entries).collect()]
 
 
@@ -129,4 +129,4 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

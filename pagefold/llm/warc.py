@@ -107,9 +107,11 @@ def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0,
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     marked = mark_revisits(pages, least_revisit_bytes, "page_id", "html")
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    # about SAMPLE_RECORDS by a hash of the id, whatever the number of tasks; only the heads of these travel
+    part = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30))
+    sample = pages.filter(part < int((1 << 30) * min(1, SAMPLE_RECORDS / max(1, pages.count()))))
     samples = [record(r.page_id, r.url, r.head, "", None, False, date)
-               for r in sample.select("page_id", "url", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("head")).collect()]
+               for r in sample.select("page_id", "url", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("head")).limit(2 * SAMPLE_RECORDS).collect()]
     shared = spark.sparkContext.broadcast(train_dictionary([bytes(s) for s in samples]))
     open_folder(folder)[0].create_dir(open_folder(folder)[1])
 
