@@ -7,9 +7,12 @@ codes whose substrings differ in up to two bits meet.  Codes of up to RADIUS dif
 meet are candidates, and the original vectors decide by cosine in double precision.
 
 Equal vectors are one row with a multiplicity from the start.  A pair that meets in several
-tables is taken in its first common table only.  Vectors of one bucket are held against each
-other in tiles of TILE rows, and a tile pair gives sums and the edges of a spanning forest: the pairs
-themselves are never rows.
+tables is taken in its first common table only.  The tables are the same at every size, so whether
+two vectors are linked does not depend on how many others there are: codes of up to 11 differing
+bits always meet (four substrings of three or more differing bits would make 12).  A bucket of more
+than MEET codes is compared in tiles that are dealt over the tasks.  Vectors of one bucket are held
+against each other in tiles of TILE rows, and a tile pair gives sums and the edges of a spanning
+forest: the pairs themselves are never rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pagefold.llm.shingles import mix
 
 #: Vectors to learn the rotation on, at most; rounds; candidates' differing bits; rows of a tile.
 SAMPLE, ROUNDS, RADIUS, TILE = 8_192, 40, 16, 256
+#: Tables; codes of a bucket that one task compares with each other.
+TABLES, MEET = 4, 16_384
 
 
 def learn_rotation(x: np.ndarray, bits: int = 64, rounds: int = ROUNDS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,12 @@ class Tables:
         middle = np.where(near == 0, p, np.where(near == 1, np.minimum(p, q), np.minimum(p ^ low, q ^ low)))
         return ok & (near <= 2) & (middle == key)
 
+    def pairs(self, bucket: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``a`` and ``b`` whose pair is taken here; few pairs are near enough for the full test."""
+        r, c = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= RADIUS)
+        ok = self.here(bucket, a[r], b[c])
+        return r[ok], c[ok]
+
 
 def unit_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, mult, vector)``: distinct usable vectors under their smallest id, normalised (doubles as bytes)."""
@@ -108,21 +119,52 @@ def with_codes(vectors: DataFrame, mean: np.ndarray, projection: np.ndarray) ->
     return vectors.mapInArrow(run, "id long, mult long, vector binary, code long")
 
 
+def bucket_tiles(codes: DataFrame, tables: Tables) -> dict[int, int]:
+    """Tiles of the buckets that hold more than MEET codes.
+
+    Counted by substring (``count * 2 ** width`` at most, whatever the input); a bucket holds the codes
+    of its substring and of those one bit away."""
+    if codes.count() <= MEET:
+        return {}
+    low = (1 << tables.width) - 1
+    each = F.explode(F.array(*(F.shiftrightunsigned("code", t * tables.width).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(t << 40)) for t in range(tables.count))))
+    told = codes.select(each.alias("bucket")).groupBy("bucket").count().toArrow()
+    bucket, n = told["bucket"].to_numpy(), told["count"].to_numpy()
+    sizes = np.zeros((tables.count, low + 1), np.int64)
+    sizes[bucket >> 40, bucket & low] = n
+    around = sizes + sum(sizes[:, np.arange(low + 1) ^ (1 << i)] for i in range(tables.width))
+    return {int(t) << 40 | int(k): -(-int(around[t, k]) // MEET) for t, k in zip(*np.nonzero(around > MEET))}
+
+
 def shared_buckets(codes: DataFrame, tables: Tables) -> DataFrame:
     """``(bucket, code)`` of the codes that have a candidate to be taken in that bucket.
 
-    Codes travel as packed arrays; a bucket's codes are compared in blocks."""
+    Codes travel as packed arrays; a bucket's codes are compared in blocks.  The codes of a large
+    bucket are dealt over tiles by their hash, and each pair of tiles meets by itself."""
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = bucket_tiles(codes, tables)
+    shared = codes.sparkSession.sparkContext.broadcast((np.array(sorted(large), np.uint64), np.array([large[k] for k in sorted(large)], np.uint64)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, tiles = shared.value
         for batch in batches:
             code = batch.column("code").to_numpy().view(np.uint64)
             several = batch.column("several").to_numpy(zero_copy_only=False).astype(np.uint64)
             bucket, row = tables.entries(code)
-            target = (mix(bucket) % np.uint64(n)).astype(np.int64)
+            # the tile pair (31 bits each), the side of it, and ``several``
+            cell = several[row]
+            if len(split):
+                slot = np.minimum(np.searchsorted(split, bucket), len(split) - 1)
+                parts = np.where(split[slot] == bucket, tiles[slot], np.uint64(1))
+                again = np.repeat(np.arange(len(bucket)), parts.astype(np.int64))
+                other = (np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts.astype(np.int64)).astype(np.int64)).astype(np.uint64)
+                bucket, row, cell, parts = bucket[again], row[again], cell[again], parts[again]
+                own = mix(code[row]) % parts
+                cell |= np.minimum(own, other) << np.uint64(33) | np.maximum(own, other) << np.uint64(2) | (own > other).astype(np.uint64) << np.uint64(1)
+            target = (mix(bucket ^ mix(cell >> np.uint64(2))) % np.uint64(n)).astype(np.int64)
             order = np.argsort(target, kind="stable")
             first = np.searchsorted(target[order], np.arange(n + 1))
-            packs = [(t, b"".join(x[order[first[t]:first[t + 1]]].tobytes() for x in (bucket, code[row], several[row])))
+            packs = [(t, b"".join(x[order[first[t]:first[t + 1]]].tobytes() for x in (bucket, code[row], cell)))
                      for t in range(n) if first[t] < first[t + 1]]
             if packs:
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in packs], pa.int32()), pa.array([b for _, b in packs], pa.binary())],
@@ -132,30 +174,37 @@ def shared_buckets(codes: DataFrame, tables: Tables) -> DataFrame:
         parts = [np.frombuffer(x, np.uint64).reshape(3, -1) for b in batches for x in b.column("pack").to_pylist()]
         if not parts:
             return
-        bucket, code, several = np.concatenate(parts, 1)
-        order = np.lexsort((code, bucket))
-        bucket, code, several = bucket[order], code[order], several[order].astype(bool)
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        bucket, code, cell = np.concatenate(parts, 1)
+        order = np.lexsort((code, cell >> np.uint64(1), bucket))
+        bucket, code, cell = bucket[order], code[order], cell[order]
+        several, side, pair = (cell & np.uint64(1)).astype(bool), (cell & np.uint64(2)).astype(bool), cell >> np.uint64(2)
+        first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]))))
         out_b, out_c = [], []
         for a, b in zip(first, [*first[1:], len(bucket)]):
             if b - a == 1 and not several[a]:
                 continue
-            k, own = int(bucket[a]), code[a:b]
-            hit = tables.here(k, own, own) & several[a:b]
-            for i in range(0, b - a, 1024):
-                for j in range(i, b - a, 1024):
-                    pairs = tables.here(k, own[i:i + 1024, None], own[None, j:j + 1024])
-                    if i == j:
-                        np.fill_diagonal(pairs, False)
-                    hit[i:i + 1024] |= pairs.any(1)
-                    hit[j:j + 1024] |= pairs.any(0)
+            k, own, whole = int(bucket[a]), code[a:b], int(pair[a]) >> 31 == int(pair[a]) & ((1 << 31) - 1)
+            hit = tables.here(k, own, own) & several[a:b] if whole else np.zeros(b - a, bool)
+            # the second side comes behind the first
+            cut = b - a if whole else int(np.argmax(side[a:b])) if side[a:b].any() else b - a
+            for i in range(0, cut, 1024):
+                p = np.arange(i, min(i + 1024, cut))
+                for j in range(i if whole else cut, b - a, 1024):
+                    q = np.arange(j, min(j + 1024, b - a))
+                    r, c = tables.pairs(k, own[p], own[q])
+                    r, c = p[r], q[c]
+                    apart = r != c
+                    hit[r[apart]] = True
+                    hit[c[apart]] = True
             if hit.any():
                 out_b.append(np.full(int(hit.sum()), k, np.int64))
                 out_c.append(own[hit].view(np.int64))
         if out_b:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_c))], ["bucket", "code"])
 
-    return codes.mapInArrow(emit, "target int, pack binary").repartition(n, "target").mapInArrow(meet, "bucket long, code long")
+    found = codes.mapInArrow(emit, "target int, pack binary").repartition(n, "target").mapInArrow(meet, "bucket long, code long")
+    # a code of a large bucket meets others in several pairs of tiles
+    return found.distinct() if large else found
 
 
 def rerank(members: DataFrame, tables: Tables, least: float) -> DataFrame:
@@ -219,8 +268,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     sample = same.filter(part < int((1 << 30) * min(1, SAMPLE / sizes.vectors))).select("id", "vector").toArrow().sort_by("id").combine_chunks()
     mean, projection = learn_rotation(_matrix(sample["vector"].chunk(0)) if len(sample) else np.zeros((1, sizes.n // 8)))
-    # substrings of about log2(vectors) bits keep buckets small
-    index = Tables(tables or (4 if sizes.vectors < 1 << 22 else 3))
+    index = Tables(tables or TABLES)
     coded = stage(with_codes(same, mean, projection), "itq-codes")
     codes = coded.groupBy("code").agg((F.count("*") > 1).alias("several"))
     members = stage(shared_buckets(codes, index), "itq-buckets").join(coded, "code")

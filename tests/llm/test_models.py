@@ -187,6 +187,52 @@ def test_each_candidate_pair_is_taken_in_one_bucket():
             assert len(taken) == (1 if any(np.bitwise_count(tables.substring(flip.reshape(1), t))[0] <= 2 for t in range(count)) else 0)
 
 
+def test_one_layout_at_every_size(spark, monkeypatch):
+    """Before, from 1 << 22 distinct vectors on there were three tables, and pairs of 9 to 11 bits could be lost."""
+    used = []
+
+    class Seen(Exception):
+        pass
+
+    def tables(count):
+        used.append(count)
+        raise Seen
+
+    monkeypatch.setattr(itq_dedup, "Tables", tables)
+    # vectors of the size of the old switch, told by their lengths alone: no other step looks at them
+    many = spark.range((1 << 22) + 1).selectExpr("id", "1L AS mult", "encode(concat(lpad(hex(id), 8, '0'), lpad(hex(id * 7), 8, '0')), 'US-ASCII') AS vector")
+    monkeypatch.setattr(itq_dedup, "unit_vectors", lambda *_: many)
+    for rows in (many, many.limit(10)):
+        monkeypatch.setattr(itq_dedup, "unit_vectors", lambda *_, rows=rows: rows)
+        with pytest.raises(Seen):
+            itq_dedup.near_duplicates(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"))
+    assert used == [4, 4]
+
+
+def test_split_buckets_hold_the_same_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    tables = itq_dedup.Tables(itq_dedup.TABLES)
+    code = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 12), replace=False)) for _ in range(240)]
+    code = np.unique(np.concatenate([code, *(code[i % 6:i % 6 + 1] ^ np.uint64(f) for i, f in enumerate(flips))]))
+    several = code % np.uint64(5) == 0
+    d = spark.createDataFrame([(int(c), bool(x)) for c, x in zip(code.view(np.int64), several)], "code long, several boolean").repartition(3)
+    want = set()
+    for k in np.unique(tables.entries(code)[0]).tolist():
+        pairs = tables.here(k, code[:, None], code[None, :])
+        pairs[np.diag_indices(len(code))] &= several
+        want |= {(k, int(c)) for c in code[pairs.any(1)].view(np.int64)}
+    assert len(want) > 200
+    for most in (1 << 20, 40, 7):
+        monkeypatch.setattr(itq_dedup, "MEET", most)
+        got = [tuple(r) for r in itq_dedup.shared_buckets(d, tables).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, most
+    assert max(itq_dedup.bucket_tiles(d, tables).values()) > 2
+    x = code[:, None] ^ code[None, :]
+    met = {tuple(sorted((a, b))) for k in {k for k, _ in want} for a, b in zip(*tables.pairs(k, code, code)) if a != b}
+    assert met >= {(a, b) for a, b in zip(*np.nonzero(np.triu(np.bitwise_count(x) <= 11, 1)))}
+
+
 # ---- archives --------------------------------------------------------------------------------------
 
 def test_archives_round_trip(spark):
