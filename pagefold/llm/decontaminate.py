@@ -8,7 +8,9 @@ bring windows of the documents together with the items of like size; as many tab
 mutated copies of the items themselves need to reach the target recall.  Each pair that a table
 brings up is decided by its exact edit distance (the item against any part of the window).
 
-Windows start at words, one for each size class of items.  A window is embedded only where it
+Windows start at words and wherever an item gram found in the text puts the item's start (its place
+less its offset in the item), whatever precedes it: texts without spaces, markup, glued prefixes.
+There is one window for each size class of items.  A window is embedded only where it
 holds as many Q-grams of the items as an occurrence within EDITS of the item's length must hold
 (the q-gram lemma, so no such occurrence is lost here).
 """
@@ -102,6 +104,15 @@ class Index:
         self.gram = np.zeros(1 << self.bits, bool)
         self.gram[(known >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.item_grams = [np.unique(grams(r)) for r in raws]
+        # the distinct offsets of each gram in the items: ``offset[first[g]:first[g + 1]]`` of the g-th gram
+        offsets = np.concatenate([np.arange(max(0, len(r) - Q + 1)) for r in raws]) if raws else np.zeros(0, np.int64)
+        order = np.lexsort((offsets, known))
+        known, offsets = known[order], offsets[order]
+        new = np.ones(len(known), bool)
+        new[1:] = (known[1:] != known[:-1]) | (offsets[1:] != offsets[:-1])
+        known, self.offset = known[new], offsets[new]
+        self.known, first = np.unique(known, return_index=True)
+        self.first = np.append(first, len(known))
         sizes = np.array([len(t) for _, t in items], np.int64)
         self.classes = []
         a = 0
@@ -126,6 +137,11 @@ class Index:
             out[i, :min(width, len(r))] = r[:width]
         return out
 
+    @staticmethod
+    def need(least: int) -> int:
+        """Item grams that a window holds at least if an item of this size or more is in it."""
+        return max(1, least - Q + 1 - Q * int(EDITS * least))
+
     def keys(self, strings: np.ndarray, least: int, tables: int | None = None) -> np.ndarray:
         """Table keys (tables x rows): samples of places that the walk writes before the shortest item ends."""
         tables = tables or self.tables
@@ -169,6 +185,22 @@ class Index:
             first += [int(number[c].min()) if c.any() else TABLES for c in same.T]
         return next((n for n in (8, 16, 32, 64) if np.mean(np.array(first) < n) >= RECALL), TABLES)
 
+    def starts(self, g: np.ndarray, hits: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> None:
+        """Mark in ``begin`` where the items of the grams at ``hits`` would start (at a text's start, if before)."""
+        slot = np.minimum(np.searchsorted(self.known, g[hits]), len(self.known) - 1)
+        real = self.known[slot] == g[hits]
+        hits, slot = hits[real], slot[real]
+        several = self.first[slot + 1] - self.first[slot]
+        total = np.cumsum(several)
+        a = 0
+        while a < len(hits):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
+            n = several[a:b]
+            which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[slot[a:b]], n)
+            text = ends[np.searchsorted(ends, hits[a:b], "right") - 1]
+            begin[np.maximum(np.repeat(hits[a:b], n) - self.offset[which], np.repeat(text, n))] = True
+            a = b
+
     def matches(self, raw: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``(text, item, start, end, distance)``: per text and item the best occurrence found."""
         raw = _LOWER[raw]
@@ -184,6 +216,12 @@ class Index:
         first = np.zeros(len(raw) + 1, bool)
         first[ends] = True
         begin |= first[:-1]
+        # only grams that have as many others around them as a window must hold
+        reach = max(most + int(ACCEPT * most) for _, _, _, most in self.classes)
+        asked = min(self.need(least) for _, _, least, _ in self.classes)
+        at = np.flatnonzero(hit[1:])
+        dense = count[np.minimum(at + reach + 1, len(raw))] - count[np.maximum(at - reach, 0)] >= asked
+        self.starts(g, at[dense], ends, begin)
         begin = np.flatnonzero(begin)
         text = np.searchsorted(ends, begin, "right") - 1
         stop = ends[text + 1]
@@ -191,7 +229,7 @@ class Index:
         for (a, b, least, most), (keys, lists) in zip(self.classes, self.lookup):
             slack = int(ACCEPT * most)
             room = np.minimum(begin + most + slack - Q + 1, np.maximum(begin, stop - Q + 1))
-            need = max(1, least - Q + 1 - Q * int(EDITS * least))
+            need = self.need(least)
             # a start of the item that was edited away moves the first word start back or forth a little
             starts = np.flatnonzero((count[room] - count[begin] >= need) & (stop - begin >= least - int(ACCEPT * least)))
             for part in np.array_split(starts, max(1, len(starts) // 4096)):

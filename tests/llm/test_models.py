@@ -149,6 +149,27 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.find(d, b.limit(0)).collect() == [] and decontaminate.find(d.limit(0), b).collect() == []
 
 
+def test_leaks_without_a_space_before_them_are_found(spark):
+    """Before, windows started behind ASCII white space and at a text's start only."""
+    rng = random.Random(12)
+    sign = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(1, sign(60)), (2, text(30)), (3, text(12).replace(" ", "_")), (4, "a" * 150)]
+    docs = [(1, sign(3000) + items[0][1] + sign(500)), (2, "\u3000".join((sign(90), items[0][1], sign(40)))),
+            (3, '{"q":"' + text(5).replace(" ", "-") + items[1][1] + '","n":1}'), (4, "<p><b>" + "x" * 700 + items[2][1] + "</b></p>"),
+            (5, "z" * 900 + items[3][1]), (6, sign(4000)), (7, text(400).replace(" ", "")), (8, None), (9, items[2][1][7:])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find(d, b).collect()}
+    assert set(got) >= {(1, 1), (2, 1), (3, 2), (4, 3)} and not {6, 7, 8} & {i for i, _ in got}
+    by, of = dict(docs), dict(items)
+    for (i, k), r in got.items():
+        if i != 9:
+            assert r.distance == 0 and by[i].encode()[r.start:r.end] == of[k].encode()
+    assert {r.doc_id for r in decontaminate.clean(d, b).collect()} >= {6, 7, 8}
+
+
 # ---- embeddings ------------------------------------------------------------------------------------
 
 def test_embedding_links_against_brute_force(spark):
