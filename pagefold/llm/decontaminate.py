@@ -5,7 +5,10 @@ a random bit, drawn for the pair (step, symbol), says whether to move on.  Strin
 edit distance fall back into step after each edit, so their embeddings differ in few places:
 edit distance has become Hamming distance.  Tables that sample places of the embedding then
 bring windows of the documents together with the items of like size; as many tables are used as
-mutated copies of the items themselves need to reach the target recall.  Each pair that a table
+mutated copies of the items themselves need to reach the target recall in each size class.  An exact
+join on the Q-grams brings up what the tables miss: all places where a text and an item share a
+quarter of the grams that EDITS must leave (``shared``), so no occurrence within EDITS is lost where
+EDITS leave a gram at all (30 to 37 bytes, 40 bytes and more).  Each pair that a table or the join
 brings up is decided by its exact edit distance (the item against any part of the window).
 
 Windows start at words and wherever an item gram found in the text puts the item's start (its place
@@ -32,8 +35,8 @@ EDITS, ACCEPT, RECALL = 0.08, 0.2, 0.97
 #: Bytes of a gram; least bytes of an item (shorter ones are no evidence and are not looked for);
 #: ratio of the size classes; places that a table samples, and the stretch of the walk they come
 #: from (strings in step at one place mostly are at the next, so near places cost little recall);
-#: tables at most; walks.
-Q, LEAST_ITEM, CLASS, SAMPLED, STRETCH, TABLES, WALKS = 10, 24, 1.25, 8, 16, 128, 2
+#: tables at most; walks; mutated copies of a size class.
+Q, LEAST_ITEM, CLASS, SAMPLED, STRETCH, TABLES, WALKS, COPIES = 10, 24, 1.25, 8, 16, 128, 2, 200
 #: Bytes of items held against the documents at a time; more items take further passes.
 BLOCK_BYTES = 8 << 20
 _BASE = 0xA24BAED4963EE407
@@ -49,6 +52,14 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return mix((sums[Q:] - sums[:-Q]) * powers(_INVERSE, len(raw) - Q + 1))
 
 
+def _short(raw: np.ndarray, q: int) -> np.ndarray:
+    """Each gram of ``q`` bytes as a number of 16 bits (different grams may have the same)."""
+    out = np.zeros(max(0, len(raw) - q + 1), np.uint32)
+    for i in range(q):
+        out = out * np.uint32(0x9E3779B1) + raw[i:i + len(out)] + np.uint32(1)
+    return out * np.uint32(0x85EBCA6B) >> np.uint32(16)
+
+
 def walk(strings: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """CGK embedding of the rows (zeros behind their ends) in ``steps`` symbols."""
     moves = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
@@ -94,7 +105,7 @@ def edit_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
 class Index:
     """Items of like size with their LSH tables."""
 
-    def __init__(self, items: list[tuple[int, bytes]], tables: int | None = None) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], tables: int | list[int] | None = None) -> None:
         self.items = items = sorted(((i, bytes(_LOWER[np.frombuffer(t, np.uint8)])) for i, t in items), key=lambda x: (len(x[1]), x[0]))
         raws = [np.frombuffer(t, np.uint8) for _, t in items]
         self.bits = 16
@@ -104,15 +115,15 @@ class Index:
         self.gram = np.zeros(1 << self.bits, bool)
         self.gram[(known >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.item_grams = [np.unique(grams(r)) for r in raws]
-        # the distinct offsets of each gram in the items: ``offset[first[g]:first[g + 1]]`` of the g-th gram
-        offsets = np.concatenate([np.arange(max(0, len(r) - Q + 1)) for r in raws]) if raws else np.zeros(0, np.int64)
-        order = np.lexsort((offsets, known))
-        known, offsets = known[order], offsets[order]
-        new = np.ones(len(known), bool)
-        new[1:] = (known[1:] != known[:-1]) | (offsets[1:] != offsets[:-1])
-        known, self.offset = known[new], offsets[new]
-        self.known, first = np.unique(known, return_index=True)
-        self.first = np.append(first, len(known))
+        # where each gram stands in the items: ``holder`` and ``offset`` at ``first[g]:first[g + 1]`` for the g-th gram
+        holder = np.repeat(np.arange(len(raws)), [max(0, len(r) - Q + 1) for r in raws])
+        offset = np.concatenate([np.arange(max(0, len(r) - Q + 1)) for r in raws]) if raws else np.zeros(0, np.int64)
+        order = np.argsort(known, kind="stable")
+        self.known, first = np.unique(known[order], return_index=True)
+        self.first, self.holder, self.offset = np.append(first, len(known)), holder[order], offset[order]
+        #: per item: grams that a place must share with it, and the width of a band of diagonals
+        self.shared = np.array([-(-self.need(len(r)) // 4) for r in raws], np.int64)
+        self.band = np.array([max(1, 2 * int(ACCEPT * len(r))) for r in raws], np.int64)
         sizes = np.array([len(t) for _, t in items], np.int64)
         self.classes = []
         a = 0
@@ -120,10 +131,11 @@ class Index:
             b = int(np.searchsorted(sizes, int(sizes[a] * CLASS), "right"))
             self.classes.append((a, b, int(sizes[a]), int(sizes[b - 1])))
             a = b
-        self.tables = tables or self._enough()
+        #: by size class
+        self.tables = [tables] * len(self.classes) if isinstance(tables, int) else tables or self._enough()
         self.lookup = []
-        for a, b, least, most in self.classes:
-            keys = self.keys(self._rows(raws[a:b], most), least)
+        for (a, b, least, most), count in zip(self.classes, self.tables):
+            keys = self.keys(self._rows(raws[a:b], most), least, count)
             table = {}
             for i in range(keys.shape[1]):
                 for t in range(keys.shape[0]):
@@ -142,9 +154,8 @@ class Index:
         """Item grams that a window holds at least if an item of this size or more is in it."""
         return max(1, least - Q + 1 - Q * int(EDITS * least))
 
-    def keys(self, strings: np.ndarray, least: int, tables: int | None = None) -> np.ndarray:
+    def keys(self, strings: np.ndarray, least: int, tables: int) -> np.ndarray:
         """Table keys (tables x rows): samples of places that the walk writes before the shortest item ends."""
-        tables = tables or self.tables
         steps = max(STRETCH, int(1.6 * least))
         out = []
         for w in range(WALKS):
@@ -159,14 +170,15 @@ class Index:
                 out.append(mix(key))
         return np.stack(out)
 
-    def _enough(self) -> int:
-        """Tables that bring at least RECALL of mutated copies (EDITS of the length, spread at random)
-        together with their items; measured on up to 200 items."""
+    def _enough(self) -> list[int]:
+        """Tables by size class that bring at least RECALL of mutated copies (EDITS of the length, spread at
+        random) together with their items; measured on COPIES copies of up to as many items.  Where TABLES
+        don't reach it, the join on grams does."""
         rng = np.random.default_rng(9)
-        first = []
-        step = max(1, len(self.items) // 200)
+        out = []
         for a, b, least, most in self.classes:
-            own = [np.frombuffer(t, np.uint8) for _, t in self.items[a:b:step]]
+            own = [np.frombuffer(t, np.uint8) for _, t in self.items[a:b:max(1, (b - a) // COPIES)]]
+            own *= -(-COPIES // len(own))
             copies = []
             for r in own:
                 x = r.tolist()
@@ -182,24 +194,77 @@ class Index:
             same = self.keys(self._rows(own, most), least, TABLES) == self.keys(self._rows(copies, most), least, TABLES)
             # ``keys`` gives the tables walk by walk; table t of walk t % WALKS
             number = np.concatenate([np.arange(w, TABLES, WALKS) for w in range(WALKS)])
-            first += [int(number[c].min()) if c.any() else TABLES for c in same.T]
-        return next((n for n in (8, 16, 32, 64) if np.mean(np.array(first) < n) >= RECALL), TABLES)
+            first = np.array([int(number[c].min()) if c.any() else TABLES for c in same.T])
+            out.append(next((n for n in (8, 16, 32, 64) if np.mean(first < n) >= RECALL), TABLES))
+        return out
+
+    def starts(self, g: np.ndarray, hits: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> tuple[list[tuple[int, int, int, int]], set[int]]:
+        """Mark in ``begin`` where the items of the grams at ``hits`` would start (at a text's start, if before).
 
-    def starts(self, g: np.ndarray, hits: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> None:
-        """Mark in ``begin`` where the items of the grams at ``hits`` would start (at a text's start, if before)."""
+        Returns ``(text, item, from, to)``: the starts of items around which a text shares enough grams with them;
+        and the pairs (text times items plus item) that share enough anywhere in the text."""
         slot = np.minimum(np.searchsorted(self.known, g[hits]), len(self.known) - 1)
         real = self.known[slot] == g[hits]
         hits, slot = hits[real], slot[real]
+        text = np.searchsorted(ends, hits, "right") - 1
         several = self.first[slot + 1] - self.first[slot]
         total = np.cumsum(several)
+        # cells of (text, item, band of diagonals), counted piece by piece
+        ahead, n_items = max(len(t) for _, t in self.items), len(self.items)
+        cells, counts, firsts, lasts = ([np.zeros(0, np.int64)] for _ in range(4))
         a = 0
         while a < len(hits):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
             n = several[a:b]
             which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[slot[a:b]], n)
-            text = ends[np.searchsorted(ends, hits[a:b], "right") - 1]
-            begin[np.maximum(np.repeat(hits[a:b], n) - self.offset[which], np.repeat(text, n))] = True
+            of, item = np.repeat(text[a:b], n), self.holder[which]
+            start = np.repeat(hits[a:b], n) - self.offset[which]
+            begin[np.maximum(start, ends[of])] = True
+            cell = (of * n_items + item) << 30 | (start - ends[of] + ahead) // self.band[item]
+            order = np.argsort(cell, kind="stable")
+            cell, at, count = np.unique(cell[order], return_index=True, return_counts=True)
+            cells.append(cell)
+            counts.append(count)
+            firsts.append(np.minimum.reduceat(start[order], at))
+            lasts.append(np.maximum.reduceat(start[order], at))
             a = b
+        cell = np.concatenate(cells)
+        if not len(cell):
+            return [], set()
+        order = np.argsort(cell, kind="stable")
+        cell, at = np.unique(cell[order], return_index=True)
+        both = np.add.reduceat(np.concatenate(counts)[order], at)
+        pair, pair_at = np.unique(cell >> 30, return_index=True)
+        likely = set(pair[np.add.reduceat(both, pair_at) >= self.shared[pair % n_items]].tolist())
+        low = np.minimum.reduceat(np.concatenate(firsts)[order], at)
+        high = np.maximum.reduceat(np.concatenate(lasts)[order], at)
+        next_one = np.flatnonzero(cell[1:] == cell[:-1] + 1)
+        both[next_one], high[next_one] = both[next_one] + both[next_one + 1], high[next_one + 1]
+        item = (cell >> 30) % n_items
+        enough = both >= self.shared[item]
+        return list(zip(*(x[enough].tolist() for x in ((cell >> 30) // n_items, item, low, high)))), likely
+
+    def decide(self, raw: np.ndarray, ends: np.ndarray, d: int, i: int, low: int, high: int, found: dict) -> None:
+        """Put the best occurrence of item ``i`` that starts about ``low`` to ``high`` in text ``d`` into ``found``, if
+        it is within ACCEPT and better than what is there."""
+        item, best = self.items[i][1], found.get((d, i))
+        limit = int(ACCEPT * len(item))
+        lo, hi = max(int(ends[d]), low - limit), min(int(ends[d + 1]), high + len(item) + limit)
+        region = raw[lo:hi].tobytes()
+        if (exact := region.find(item)) >= 0:
+            if not best or (0, lo + exact) < (best[2], best[0]):
+                found[d, i] = (lo + exact, lo + exact + len(item), 0)
+            return
+        # as few grams of three or four bytes as these can't be an occurrence
+        for q in (4, 3):
+            mark = np.zeros(1 << 16, bool)
+            mark[_short(raw[lo:hi], q)] = True
+            if mark[_short(np.frombuffer(item, np.uint8), q)].sum() < len(item) - q + 1 - q * limit:
+                return
+        distance, end = edit_distance(item, region, limit)
+        if distance <= limit and (not best or distance < best[2]):
+            back, length = edit_distance(item[::-1], raw[lo:lo + end][::-1].tobytes(), limit)
+            found[d, i] = (lo + end - length, lo + end, distance)
 
     def matches(self, raw: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``(text, item, start, end, distance)``: per text and item the best occurrence found."""
@@ -218,15 +283,18 @@ class Index:
         begin |= first[:-1]
         # only grams that have as many others around them as a window must hold
         reach = max(most + int(ACCEPT * most) for _, _, _, most in self.classes)
-        asked = min(self.need(least) for _, _, least, _ in self.classes)
+        asked = self.shared.min()
         at = np.flatnonzero(hit[1:])
         dense = count[np.minimum(at + reach + 1, len(raw))] - count[np.maximum(at - reach, 0)] >= asked
-        self.starts(g, at[dense], ends, begin)
+        places, likely = self.starts(g, at[dense], ends, begin)
         begin = np.flatnonzero(begin)
         text = np.searchsorted(ends, begin, "right") - 1
         stop = ends[text + 1]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for (a, b, least, most), (keys, lists) in zip(self.classes, self.lookup):
+        # the last start that was looked at, and all stretches of starts
+        done: dict[tuple[int, int], int] = {}
+        looked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for (a, b, least, most), count_tables, (keys, lists) in zip(self.classes, self.tables, self.lookup):
             slack = int(ACCEPT * most)
             room = np.minimum(begin + most + slack - Q + 1, np.maximum(begin, stop - Q + 1))
             need = self.need(least)
@@ -238,14 +306,16 @@ class Index:
                 column = np.arange(most + 1)
                 where = begin[part, None] + column
                 windows = np.where((column < most) & (where < stop[part, None]), raw[np.minimum(where, len(raw) - 1)], 0).astype(np.uint8)
-                sampled = self.keys(windows, least)
+                sampled = self.keys(windows, least, count_tables)
                 slot = np.minimum(np.searchsorted(keys, sampled), len(keys) - 1)
                 t, w = np.nonzero(keys[slot] == sampled)
                 pairs = {(int(part[x]), i) for x, s in zip(w.tolist(), slot[t, w].tolist()) for i in lists[s]}
                 for x, i in sorted(pairs):
                     d, at, item = int(text[x]), int(begin[x]), self.items[i][1]
+                    if d * len(self.items) + i not in likely:
+                        continue  # the test of distinct grams below would fail
                     best = found.get((d, i))
-                    if best and (best[2] == 0 or at < best[1]):
+                    if best and best[2] == 0 or at <= done.get((d, i), -1):
                         continue
                     limit = int(ACCEPT * len(item))
                     # a quarter of the (distinct) grams that EDITS leave: what chance brings up mostly has fewer
@@ -254,15 +324,17 @@ class Index:
                     which = np.minimum(np.searchsorted(near, own), len(near) - 1)
                     if 4 * len(set(which[near[which] == own].tolist())) < max(4, len(item) - Q + 1 - Q * int(EDITS * len(item))):
                         continue
-                    lo, hi = max(int(ends[d]), at - limit), min(int(stop[x]), at + len(item) + limit)
-                    region = raw[lo:hi].tobytes()
-                    if (exact := region.find(item)) >= 0:
-                        found[d, i] = (lo + exact, lo + exact + len(item), 0)
-                        continue
-                    distance, end = edit_distance(item, region, limit)
-                    if distance <= limit and (not best or distance < best[2]):
-                        back, length = edit_distance(item[::-1], raw[lo:lo + end][::-1].tobytes(), limit)
-                        found[d, i] = (lo + end - length, lo + end, distance)
+                    self.decide(raw, ends, d, i, at, at + limit, found)
+                    done[d, i] = at + limit
+                    looked.setdefault((d, i), []).append((at, at + limit))
+        for d, i, low, high in places:
+            seen = looked.setdefault((d, i), [])
+            if any(x <= low and high <= y for x, y in seen):
+                continue
+            seen.append((low, high))
+            best = found.get((d, i))
+            if not best or best[2] or best[0] > low:
+                self.decide(raw, ends, d, i, low, high, found)
         return [(d, self.items[i][0], s - int(ends[d]), e - int(ends[d]), k) for (d, i), (s, e, k) in sorted(found.items())]
 
 

@@ -170,6 +170,29 @@ def test_leaks_without_a_space_before_them_are_found(spark):
     assert {r.doc_id for r in decontaminate.clean(d, b).collect()} >= {6, 7, 8}
 
 
+def test_no_copy_within_the_edits_is_lost():
+    """Before, what the tables and the first window missed was lost; here one table of the least use is given."""
+    from pagefold.llm.shingles import column_bytes
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    letters = "etaoinshrdlu "
+    items = [(i, "".join(rng.choice(letters) for _ in range(n)).encode()) for i, n in enumerate([32] * 5 + [60, 81, 100, 150, 200, 260, 390] * 8)]
+    index = decontaminate.Index(items, 2)
+    lost = []
+    for i, t in items:
+        for evenly in (True, False):
+            x, k = list(t.decode()), int(decontaminate.EDITS * len(t))
+            for j in range(k):
+                x[len(x) * (j + 1) // (k + 1) if evenly else rng.randrange(len(x))] = "#"
+            text = "".join(rng.choice(letters) for _ in range(300))
+            found = {m[1]: m for m in index.matches(*column_bytes(pa.array([text + "".join(x) + text[::-1]])))}
+            if i not in found or found[i][4] != brute_distance(t, found[i][2] and (text + "".join(x) + text[::-1]).encode()[found[i][2]:found[i][3]])[0] or found[i][4] > k:
+                lost.append((i, len(t), evenly))
+    assert not lost
+    assert len(decontaminate.Index(items).tables) == len(index.classes)
+
+
 # ---- embeddings ------------------------------------------------------------------------------------
 
 def test_embedding_links_against_brute_force(spark):
