@@ -23,10 +23,12 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagefold.llm.common import frugal, new_folder, stage, worker_cache
+from pagefold.llm.common import frugal, new_folder, slices, stage, worker_cache
 from pagefold.llm.warc import _dictionary, open_folder, train_dictionary
 
 #: Fixed value of the format.
@@ -44,57 +46,120 @@ MAGIC = b"PFTK1"
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 4_096, 65_536
 #: A file is closed once it holds so many compressed bytes or documents (its index is held in memory).
 FILE_BYTES, FILE_DOCS = 128 << 20, 1 << 20
-#: Encoded words that a worker keeps, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Encoded words that a worker keeps in each of two generations, and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 INDEX = [("id", None), ("offset", pa.int64()), ("size", pa.int64()), ("n_tokens", pa.int64())]
 
 
+#: The front of a tokenizer whose words of lower-case letters go to its model as they are (fixed values).
+PLAIN_FRONT = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+)
+
+
+#: ASCII marks, none of which belongs to a word; a stop or comma that another mark may precede.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+RUN_OF_MARKS = re.compile("[^a-z0-9\xdf-\xf6\xf8-\xff \n][.,][ \n]")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters of a byte-level model: printable bytes stand for themselves, the others for U+0100 onwards."""
+    odd = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    return {b: 256 + i for i, b in enumerate(odd)}
+
+
 class Words(dict):
-    """Word (text between spaces) -> its serialized ids; bounded."""
+    """Word (text between spaces) -> its serialized ids, in two generations so that memory stays bounded."""
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, entries: int = CACHE_ENTRIES) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.entries, self.old = entries, {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        if any(i >= 1 << 8 * self.width for i in vocabulary.values()):
-            self.width = 4
+        self.width = 2 if all(i < 1 << 16 for i in vocabulary.values()) else 4
         # the cut is safe when nothing of a text's spaces and of what stands beside them reaches the ids
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         if ids(" ") or ids("\n") or ids("a b\nc") != ids("a") + ids("b") + ids("c") or any(" " in t or "\n" in t for t in vocabulary):
             raise ValueError("this tokenizer has tokens that cross spaces: its texts can't be cut there")
+        spec = json.loads(tokenizer_json)
+        front = tuple((spec.get(x) or {}).get(y) for x, y in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.plain = front == PLAIN_FRONT and not any(t["content"].isalpha() for t in spec["added_tokens"])
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
 
     def pack(self, ids) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encodes what isn't known of ``words``; those too long to keep are returned."""
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > CACHE_ENTRIES:
-            self.clear()
-            missing = list(words)
-        long: dict[str, bytes] = {}
-        for a in range(0, len(missing), 2048):
-            part = missing[a:a + 2048]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                (self if len(w) <= CACHE_CHARS else long)[w] = self.pack(e.ids)
-        return long
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _simple(self, word: str) -> bytes | None:
+        """Ids of a word of letters below U+0250, which no normalization but lower case changes."""
+        word = word.lower()
+        if not word.isalpha() or max(word) >= "\u0250":
+            return None
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return self.pack([t.id for t in self.model.tokenize(word)])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _make(self, word: str) -> bytes:
+        if self.plain and word:
+            ids = self._simple(word)
+            if ids is not None:
+                return ids
+            stem = word.rstrip(MARKS)  # marks behind letters are a piece of their own
+            if stem and len(stem) < len(word) and (ids := self._simple(stem)) is not None:
+                return ids + self[word[len(stem):]]
+        return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _fold(self, text: str) -> str:
+        """A text of the same ids with fewer different words: Latin-1 letters in lower case, full stops and
+        commas behind letters or digits set off."""
+        if not self.plain or "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        text = text.lower()
+        if not RUN_OF_MARKS.search(text):
+            for mark in (". ", ", ", ".\n", ",\n"):
+                text = text.replace(mark, " " + mark)
+        return text
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The serialized ids of whole texts."""
+        get = self.__getitem__
+        for text in texts:
+            yield b"".join(map(get, self._fold(text).replace("\n", " ").split(" ")))
 
     def encode(self, text: str) -> bytes:
-        """The serialized ids of a whole text."""
-        words = text.replace("\n", " ").split(" ")
-        out = []
-        for a in range(0, len(words), 65_536):
-            part = words[a:a + 65_536]
-            long = self.learn(set(part))
-            out.append(b"".join(map(self.__getitem__, part)) if not long else b"".join(long[w] if w in long else self[w] for w in part))
-        return b"".join(out)
+        """The serialized ids of a whole text, piece by piece."""
+        return b"".join(self.encode_all(pieces(text)))
+
+
+def pieces(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A text cut at single spaces into pieces of about ``most`` characters."""
+    a = 0
+    while len(text) - a > most and (b := text.find(" ", a + most)) >= 0:
+        yield text[a:b]
+        a = b + 1
+    yield text[a:]
 
 
 def _words(shared) -> Words:
@@ -182,14 +247,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
                                                  ["part", "seq", "file", id_col, "offset", "size", "n_tokens"])
 
         for batch in batches:
-            for i, text in enumerate(batch.column(text_col)):
-                if out is None:
-                    out = Writer(folder, known.width, sha, arrow)
-                ids = known.encode(text.as_py() or "") + end
-                out.add(batch.column(id_col).slice(i, 1), pack.compress(ids), len(ids) // known.width)
-                if out.at >= file_bytes or len(out.index[0]) >= FILE_DOCS:
-                    yield from closed()
-                    seq, out = seq + 1, None
+            for rows in slices(batch, text_col, 1 << 20):
+                for i, ids in enumerate(known.encode(t or "") for t in rows.column(text_col).to_pylist()):
+                    if out is None:
+                        out = Writer(folder, known.width, sha, arrow)
+                    out.add(rows.column(id_col).slice(i, 1), pack.compress(ids + end), len(ids) // known.width + 1)
+                    if out.at >= file_bytes or len(out.index[0]) >= FILE_DOCS:
+                        yield from closed()
+                        seq, out = seq + 1, None
         if out is not None:
             yield from closed()
 
