@@ -2,8 +2,8 @@
 
 Merges follow a hierarchical-bitmap rank queue: one bucket per merge rank holds positions of a
 linked list of tokens, a three-level bitmap finds the lowest rank that has a bucket, and entries
-whose pair changed since are skipped when they come up.  A merge costs O(1) queue work whatever
-the length, so a pre-token of a megabyte is no special case.  Many short pre-tokens share one
+whose pair changed since are skipped when they come up.  Finding a rank costs O(1) whatever the
+length, a position in its bucket a heap step, so a pre-token of a megabyte is no special case.  Many short pre-tokens share one
 list (a barrier between neighbours), so that a bucket is found once for all of them.
 
 Rows: null and empty texts give an empty id list; repeated rows are each encoded; other columns
@@ -26,7 +26,7 @@ from pagefold.llm.common import frugal, slices, worker_cache
 
 NO_PAIR = 1 << 30
 #: Encoded pre-tokens that a worker keeps, in each of two generations.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 400_000
 
 
 class RankQueue:
@@ -78,6 +78,24 @@ class Vocabulary:
         self.first_pairs = [self.ranks.get(bytes([a, b]), NO_PAIR) for a in range(256) for b in range(256)]
         self.pairs: dict[int, int] = {}  # left id << 20 | right id -> rank of the joined bytes
         self.split = splitter(pattern)
+        # all tokens' bytes in one array, by id, for decoding with gathers
+        by_id = [self.tokens.get(i, b"") for i in range(max(self.tokens, default=-1) + 1)]
+        self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+        self.sizes = np.fromiter(map(len, by_id), np.int64, len(by_id))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for; an id outside the vocabulary fails."""
+        out = []
+        for a in range(0, len(ids), 1 << 20):
+            part = ids[a:a + (1 << 20)]
+            if len(part) and (part.min() < 0 or part.max() >= len(self.sizes) or not self.sizes[part].all()):
+                raise KeyError("an id outside the vocabulary")
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[part] - ends + sizes, sizes)
+            out.append(self.flat[places].tobytes())
+        return b"".join(out)
 
     def pair_rank(self, left: int, right: int) -> int:
         key = left << 20 | right
@@ -220,32 +238,39 @@ def _vocabulary(rank_file, pattern: str) -> Vocabulary:
     return worker_cache(f"bpe-{hash(rank_file.value)}-{pattern}", lambda: Vocabulary(rank_file.value, pattern))
 
 
+def _encoded(shared, pattern: str, id_col: str, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The vocabulary, an Arrow batch's ids and the token ids of its texts, slice by slice."""
+    vocabulary = _vocabulary(shared, pattern)
+    known = worker_cache(f"bpe-cache-{hash(shared.value)}-{pattern}", lambda: Encoded(vocabulary, CACHE_ENTRIES))
+    split = vocabulary.split
+    for batch in batches:
+        for part in slices(batch, text_col, 1 << 20):
+            words = [split(t or "") for t in part.column(text_col).to_pylist()]
+            known.learn(set().union(*words))
+            yield vocabulary, part.column(id_col), [np.frombuffer(b"".join(map(known.__getitem__, w)), "<i4") for w in words]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, "<i4"), pa.int32()))
+
+
+def _ranks(docs: DataFrame, rank_path: str):
+    with open(rank_path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids array<int>)``: the token ids of every whole text; no shuffle.
 
     ``rank_path`` is a local file of the driver (under 1 MB for 50,000 ranks); its bytes are
     broadcast, so executors need no copy.
     """
-    with open(rank_path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = _ranks(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared, pattern)
-        known = worker_cache(f"bpe-cache-{hash(shared.value)}-{pattern}", lambda: Encoded(vocabulary, CACHE_ENTRIES))
-        split = vocabulary.split
-        for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                words = [split(t or "") for t in part.column(text_col).to_pylist()]
-                new: set[str] = set()
-                for w in words:
-                    new.update(w)
-                known.learn(new)
-                rows = [np.frombuffer(b"".join(map(known.__getitem__, w)), "<i4") for w in words]
-                ends = np.cumsum([0, *map(len, rows)])
-                flat = np.concatenate(rows) if rows else np.zeros(0, "<i4")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))],
-                    [id_col, "ids"])
+        for _, ids, rows in _encoded(shared, pattern, id_col, text_col, batches):
+            yield pa.RecordBatch.from_arrays([ids, _lists(rows)], [id_col, "ids"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(frugal(run), f"`{id_col}` {kind}, ids array<int>")
@@ -253,15 +278,13 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
 def decode(tokens: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id_col, ids_col, decoded binary)``: the bytes that the ids stand for; null ids count as none."""
-    with open(rank_path, "rb") as f:
-        shared = tokens.sparkSession.sparkContext.broadcast(f.read())
+    shared = _ranks(tokens, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _vocabulary(shared, pattern).tokens
+        vocabulary = _vocabulary(shared, pattern)
         for batch in batches:
             column = batch.column(ids_col)
-            out = [b"".join(map(table.__getitem__, x or ())) for x in (column[i].as_py() for i in range(len(column)))] \
-                if column.null_count else _decode_lists(column, table)
+            out = [vocabulary.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), column, pa.array(out, pa.binary())],
                                              [id_col, ids_col, "decoded"])
 
@@ -269,11 +292,16 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_i
     return tokens.select(id_col, ids_col).mapInArrow(frugal(run), f"`{id_col}` {kind[id_col]}, `{ids_col}` {kind[ids_col]}, decoded binary")
 
 
-def _decode_lists(column: pa.ListArray, table: dict[int, bytes]) -> list[bytes]:
-    ends = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
-    get = table.__getitem__
-    return [b"".join(map(get, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, ids, decoded)`` in one pass: ``encode``, and ``decode`` of the ids that it gave."""
+    shared = _ranks(docs, rank_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for vocabulary, ids, rows in _encoded(shared, pattern, id_col, text_col, batches):
+            yield pa.RecordBatch.from_arrays([ids, _lists(rows), pa.array(map(vocabulary.decode, rows), pa.binary())], [id_col, "ids", "decoded"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
 def digested(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -286,4 +314,4 @@ def digested(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
 
 def token_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids, digest of the bytes decoded from them."""
-    return digested(decode(encode(docs, rank_path, pattern), rank_path, pattern))
+    return digested(encode_and_decode(docs, rank_path, pattern))
