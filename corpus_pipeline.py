@@ -41,7 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text and the digests of the ids and of the bytes decoded from them (operator 1)."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digested(bpe.decode(bpe.encode(docs, path, pattern), path, pattern), keep_ids=True)
+    return bpe.digested(bpe.encode_and_decode(docs, path, pattern), keep_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),

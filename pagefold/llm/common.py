@@ -46,8 +46,8 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """A value kept for the life of a Python worker process (functions are shipped by value, so
-    module globals would last for one task only)."""
+    """A value kept in a Python worker process (functions are shipped by value, so module globals would
+    last for one task only) until a step of another operator runs there (see ``frugal``)."""
     kept = sys.__dict__.setdefault("_pagefold_llm", {})
     if name not in kept:
         kept[name] = make()
@@ -56,11 +56,16 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
 
 def frugal(run: Callable) -> Callable:
     """``run`` over Arrow batches, handing freed memory back to the system at the end of each task: workers
-    live on, and several of them share an executor's memory with its JVM."""
+    live on, and several of them share an executor's memory with its JVM.  What steps of another
+    operator (module) keep in the worker is dropped first."""
+    owner = run.__module__
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
 
+        if sys.__dict__.get("_pagefold_llm_owner") != owner:
+            sys.__dict__.get("_pagefold_llm", {}).clear()
+            sys.__dict__["_pagefold_llm_owner"] = owner
         try:
             yield from run(batches)
         finally:

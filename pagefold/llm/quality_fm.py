@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import slices
+from pagefold.llm.common import frugal, slices
 from pagefold.llm.text_features import N_STRUCTURE, hash_cache, held_out, in_batches, labelled_sample, structure, word_hash
 
 #: Labelled rows to fit on, at most; hashed words; factors; bins of each statistic.
@@ -136,7 +136,7 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.5, text_col: str = "
                 z, _, _ = _margin(shared.value, *_assemble(*_words([t or "" for t in part.column(text_col).to_pylist()]), shared.value["edges"]))
                 yield part.filter(pa.array(1 / (1 + np.exp(-z.astype(np.float64))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def predict(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder: int = 1) -> DataFrame:

@@ -229,6 +229,7 @@ def find_classes(packs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if not parts:
             return
         rows = _concat(parts)
+        parts.clear()
         order, smallest = _first_of_class(rows)
         rows = _take(rows, order)
         again = rows["doc"] > smallest
