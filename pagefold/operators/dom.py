@@ -2,7 +2,8 @@
 
 Every window here is partitioned by ``page_id`` first, so one exchange on
 ``page_id`` serves a whole chain of them.  Containment uses the
-``pre``/``last`` interval numbering instead of a range join.
+``pre``/``last`` interval numbering: a running maximum for "inside any", slices
+of a page's ordered items for "all inside each" (``gather``).
 """
 
 from __future__ import annotations
@@ -74,16 +75,51 @@ def first_match(nodes: DataFrame, pred: Column, name: str) -> DataFrame:
     )
 
 
-def ancestors_with(tags: list[str]) -> Column:
-    """Array of the ``pre`` of a node's ancestors whose tag is in ``tags`` (to explode fewer rows)."""
-    wanted = F.array(*[F.lit(t) for t in tags])
-    return F.transform(F.filter(F.arrays_zip("anc", "anc_tags"), lambda x: F.array_contains(wanted, x["anc_tags"])),
-                       lambda x: x["anc"])
-
-
 def ordered_join(items: Column, sep: str) -> Column:
     """``array_join`` of ``collect_list(struct(pre, s))`` sorted by ``pre``."""
-    return F.array_join(F.transform(F.array_sort(items), lambda x: x["s"]), sep)
+    return F.array_join(F.transform(F.sort_array(items), lambda x: x["s"]), sep)
+
+
+def upto(pres: Column, x: Column) -> Column:
+    """How many entries of the ascending array ``pres`` are ``x`` or less (a binary search: each step
+    tries to go on by a power of two; steps beyond the end read NULL and are not taken)."""
+    bits = F.sequence(F.floor(F.log2(F.greatest(F.size(pres), F.lit(1)))).cast("int") + 1, F.lit(0), F.lit(-1))
+
+    def step(n, bit):
+        ahead = n + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when(F.get(pres, ahead - 1) <= x, ahead).otherwise(n)
+
+    return F.aggregate(bits, F.lit(0), step)
+
+
+def gather(targets: DataFrame, items: DataFrame, fold, name: str) -> DataFrame:
+    """The structural join: ``targets(page_id, pre, last, ...)`` with ``name = fold(values, target)``, where
+    ``values`` are the ``v`` of the ``items(page_id, pre, v)`` with ``pre < item.pre <= last``, in document order.
+
+    An element's descendants are neighbours in document order, so the items inside a target are a
+    slice of the page's items.  Each page is one row (items sorted once, targets beside them); a
+    target costs two binary searches and its slice, whatever its depth, and no item is paired with
+    its ancestors.  Both sides are grouped by ``page_id``, as the node table is bucketed: no exchange.
+    """
+    columns = [c for c in targets.columns if c != "page_id"]
+    of_page = items.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pre", "v"))).alias("_i"))
+    of_page = of_page.select("page_id", F.col("_i.pre").alias("_pres"), F.col("_i.v").alias("_vals"))
+    wanted = targets.groupBy("page_id").agg(F.collect_list(F.struct(*columns)).alias("_t"))
+    empty = F.array().cast(f"array<{dict(items.dtypes)['v']}>")
+    both = wanted.join(of_page, "page_id", "left").select(
+        "page_id", "_t", F.coalesce("_pres", F.array().cast("array<int>")).alias("_pres"), F.coalesce("_vals", empty).alias("_vals"))
+    bounds = F.transform("_t", lambda t: F.struct(t.alias("t"), upto(F.col("_pres"), t["pre"]).alias("lo"), upto(F.col("_pres"), t["last"]).alias("hi")))
+    folded = F.transform(bounds, lambda b: F.struct(
+        b["t"].alias("t"), fold(F.slice(F.col("_vals"), b["lo"] + 1, F.greatest(b["hi"] - b["lo"], F.lit(0))), b["t"]).alias("f")))
+    out = both.select("page_id", F.explode(folded).alias("_x"))
+    return out.select("page_id", *(F.col(f"_x.t.{c}").alias(c) for c in columns), F.col("_x.f").alias(name))
+
+
+def with_last(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Distinct ``(page_id, pre, last)`` of ``targets(page_id, pre[, last])``."""
+    if "last" in targets.columns:
+        return targets.select("page_id", "pre", "last").distinct()
+    return targets.select("page_id", "pre").distinct().join(nodes.select("page_id", "pre", "last"), ["page_id", "pre"])
 
 
 def subtree_text(
@@ -92,32 +128,17 @@ def subtree_text(
     strip: bool = True,
     kinds: tuple[str, ...] = ("text",),
     sep: str = "",
-    anc_tags: list[str] | None = None,
 ) -> DataFrame:
-    """``get_text`` of target elements: ``targets(page_id, pre)`` → ``(page_id, pre, text)``.
+    """``get_text`` of target elements: ``targets(page_id, pre[, last])`` → ``(page_id, pre, text)``.
 
-    Each string node is paired with its ancestors via the ``anc`` array and
-    equi-joined to the targets on ``(page_id, pre)``; ``anc_tags`` (when
-    given) prunes the explode to ancestors with those tags.  With
-    ``strip=True`` every string is stripped and empties are skipped, as
+    With ``strip=True`` every string is stripped and empties are skipped, as
     ``get_text(strip=True)``; otherwise strings are concatenated as is.
     Only targets with at least one string come back; callers left-join
     and default to ``''`` (so ``targets`` is read once, keeping plans small).
     """
-    strings = nodes.filter(F.col("kind").isin(*kinds))
-    ancestors = F.col("anc")
-    if anc_tags:
-        wanted = F.array(*[F.lit(t) for t in anc_tags])
-        strings = strings.filter(F.arrays_overlap(F.col("anc_tags"), wanted))
-        ancestors = F.transform(
-            F.filter(F.arrays_zip("anc", "anc_tags"), lambda x: F.array_contains(wanted, x["anc_tags"])),
-            lambda x: x["anc"],
-        )
     s = pystrip("text") if strip else F.col("text")
-    pairs = strings.select("page_id", "pre", s.alias("s"), F.explode(ancestors).alias("tpre"))
+    strings = nodes.filter(F.col("kind").isin(*kinds)).select("page_id", "pre", s.alias("v"))
     if strip:
-        pairs = pairs.filter(F.col("s") != "")
-    tgt = targets.select("page_id", F.col("pre").alias("tpre")).distinct()
-    joined = pairs.join(tgt, ["page_id", "tpre"], "inner")
-    agg = joined.groupBy("page_id", "tpre").agg(ordered_join(F.collect_list(F.struct("pre", "s")), sep).alias("text"))
-    return agg.select("page_id", F.col("tpre").alias("pre"), "text")
+        strings = strings.filter(F.col("v") != "")
+    text = gather(with_last(nodes, targets), strings, lambda x, t: F.when(F.size(x) > 0, F.array_join(x, sep)), "text")
+    return text.filter(F.col("text").isNotNull()).select("page_id", "pre", "text")

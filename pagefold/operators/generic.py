@@ -1,9 +1,8 @@
 """The generic-page parse.
 
-``structured_text`` gives every node its own output line (strings, list
-items, headings, paragraphs, tables) once, then assembles the text of any
-set of root elements by pairing lines with their ancestors (the ``anc``
-array) and joining them in document order per root.
+``node_lines`` gives every node its own output line (strings, list items, headings, paragraphs,
+tables) once; ``structured_text`` assembles the text of any set of root elements from the slices of
+their page's lines (``dom.gather``).
 """
 
 from __future__ import annotations
@@ -12,15 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions.text import pystrip
-from pagefold.operators.dom import ancestors_with, attr, has_attr, has_class, is_elem, is_string, ordered_join, subtree_text
+from pagefold.operators.dom import attr, gather, has_attr, has_class, is_elem, is_string, subtree_text
 from pagefold.session import materialize
 
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
-def _text_of(nodes: DataFrame, targets: DataFrame, anc_tags=None) -> DataFrame:
+def _text_of(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """``get_text(strip=True)`` of targets, '' for targets without strings."""
-    t = subtree_text(nodes, targets, anc_tags=anc_tags)
+    t = subtree_text(nodes, targets)
     return targets.select("page_id", "pre").join(t, ["page_id", "pre"], "left").select(
         "page_id", "pre", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -28,99 +27,86 @@ def _text_of(nodes: DataFrame, targets: DataFrame, anc_tags=None) -> DataFrame:
 def table_text(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     """``(page_id, pre) → text``: cells of each tr (td/th, stripped) joined ' | ',
     rows joined '\\n', wrapped in '\\n' … '\\n'; rows without cells dropped; nested rows included."""
-    tabs = tables.select("page_id", F.col("pre").alias("t_pre"))
-    rows = (
-        nodes.filter(is_elem() & (F.col("tag") == "tr"))
-        .select("page_id", F.col("pre").alias("tr_pre"), F.explode(ancestors_with(["table"])).alias("t_pre"))
-        .join(tabs, ["page_id", "t_pre"])
-    )
-    cells = (
-        nodes.filter(is_elem() & F.col("tag").isin("td", "th"))
-        .select("page_id", "pre", F.explode(ancestors_with(["tr"])).alias("tr_pre"))
-        .join(rows.select("page_id", "tr_pre").distinct(), ["page_id", "tr_pre"])
-    )
-    ctext = _text_of(nodes, cells.select("page_id", "pre").distinct(), anc_tags=["td", "th"])
-    row_txt = cells.join(ctext, ["page_id", "pre"]).groupBy("page_id", "tr_pre").agg(
-        ordered_join(F.collect_list(F.struct("pre", F.col("text").alias("s"))), " | ").alias("row"))
-    tab = rows.join(row_txt, ["page_id", "tr_pre"]).groupBy("page_id", "t_pre").agg(
-        ordered_join(F.collect_list(F.struct(F.col("tr_pre").alias("pre"), F.col("row").alias("s"))), "\n").alias("body"))
-    return tabs.join(tab, ["page_id", "t_pre"], "left").select(
-        "page_id", F.col("t_pre").alias("pre"),
-        F.when(F.col("body").isNull(), F.lit("")).otherwise(F.concat(F.lit("\n"), "body", F.lit("\n"))).alias("text"))
+    span = ["page_id", "pre", "last"]
+    cells = _text_of(nodes, nodes.filter(is_elem() & F.col("tag").isin("td", "th")).select(*span))
+    rows = gather(nodes.filter(is_elem() & (F.col("tag") == "tr")).select(*span), cells.select("page_id", "pre", F.col("text").alias("v")),
+                  lambda x, t: F.when(F.size(x) > 0, F.array_join(x, " | ")), "v").filter("v is not null")
+    body = gather(tables.select(*span), rows.select("page_id", "pre", "v"),
+                  lambda x, t: F.when(F.size(x) > 0, F.concat(F.lit("\n"), F.array_join(x, "\n"), F.lit("\n"))).otherwise(F.lit("")), "text")
+    return body.select("page_id", "pre", "text")
+
+
+def markup(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """A fingerprint of each target's whole subtree ``(page_id, pre, sig)``: tags, attributes (in any order),
+    strings and nesting, its own tag and attributes included.  Equal fingerprints mean equal markup."""
+    attrs = F.to_json(F.sort_array(F.map_entries("attrs")))
+    node = F.when(is_elem(), F.concat(F.lit("<"), "tag", F.lit(" "), F.coalesce(attrs, F.lit("")))).otherwise(F.concat(F.lit("="), "text"))
+    parts = nodes.filter(is_elem() | is_string()).select("page_id", "pre", F.struct("depth", node.alias("m")).alias("v"))
+    own = targets.select("page_id", "pre", "last", "depth").withColumn("pre", F.col("pre") - 1)  # the element itself, too
+    inside = lambda x, t: F.md5(F.to_json(F.transform(x, lambda e: F.struct((e["depth"] - t["depth"]).alias("d"), e["m"].alias("m")))))
+    return gather(own, parts, inside, "sig").select("page_id", (F.col("pre") + 1).alias("pre"), "sig")
 
 
 def node_lines(nodes: DataFrame) -> DataFrame:
-    """Every node's own line for B8: ``(page_id, pre, anc, line)``.
+    """Every node's own line for B8: ``(page_id, pre, line)``.
 
     string → stripped string (if non-empty); li → "- t" or "n. t" (n from
-    the nearest ol ancestor's direct li children, the first equal one
-    winning); h1–h6 → "\\n## t\\n"; p → "\\nt\\n"; table → B9 (always, even
-    when empty).  Elements with empty text give no line (tables excepted).
+    the nearest ol ancestor's direct li children, the first one of equal
+    markup winning); h1–h6 → "\\n## t\\n"; p → "\\nt\\n"; table → B9 (always,
+    even when empty).  Elements with empty text give no line (tables excepted).
     """
-    strings = nodes.filter(is_string()).select("page_id", "pre", "anc", pystrip("text").alias("line")).filter(
-        F.col("line") != "")
-    elems = nodes.filter(is_elem() & F.col("tag").isin("li", "p", *HEADINGS)).select("page_id", "pre", "tag", "anc")
-    # one pass over the strings under li/p/h*: get_text(strip=True) for every target, and the raw
-    # string sequence that (with the attributes) stands for li equality
-    tags = ["li", "p", *HEADINGS]
-    pairs = nodes.filter(is_string() & F.arrays_overlap("anc_tags", F.array(*[F.lit(t) for t in tags]))).select(
-        "page_id", "pre", "kind", "text", F.explode(ancestors_with(tags)).alias("tpre"))
-    stripped = pystrip("text")
-    texts = pairs.groupBy("page_id", "tpre").agg(
-        ordered_join(F.collect_list(F.when((F.col("kind") == "text") & (stripped != ""), F.struct("pre", stripped.alias("s")))), "")
-        .alias("text"),
-        ordered_join(F.collect_list(F.struct("pre", F.col("text").alias("s"))), "\u0001").alias("raw"),
-    ).withColumnRenamed("tpre", "pre")
-    elems = elems.join(texts, ["page_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    strings = nodes.filter(is_string()).select("page_id", "pre", pystrip("text").alias("line")).filter(F.col("line") != "")
+    elems = nodes.filter(is_elem() & F.col("tag").isin("li", "p", *HEADINGS)).select("page_id", "pre", "last", "tag")
+    elems = elems.join(subtree_text(nodes, elems), ["page_id", "pre"])
     # ordered-list index for li
-    ol_of = F.try_element_at(
-        F.filter(F.arrays_zip("anc", "anc_tags"), lambda x: x["anc_tags"] == "ol"), F.lit(-1))["anc"]
-    lis = nodes.filter(is_elem() & (F.col("tag") == "li")).select("page_id", "pre", "parent", "attrs", ol_of.alias("ol"))
-    lis = lis.join(elems.select("page_id", "pre", "raw"), ["page_id", "pre"], "left").withColumn(
-        "sig", F.concat_ws("\u0002", F.to_json(F.col("attrs")), F.coalesce("raw", F.lit(""))))
-    elems = elems.drop("raw").filter(F.col("text") != "")
+    lis = nodes.filter(is_elem() & (F.col("tag") == "li") & F.col("ol").isNotNull()).select("page_id", "pre", "last", "depth", "parent", "ol")
+    lis = lis.join(markup(nodes, lis), ["page_id", "pre"])
     direct = lis.filter(F.col("parent") == F.col("ol")).withColumn(
         "k", F.row_number().over(Window.partitionBy("page_id", "ol").orderBy("pre")))
     first_k = direct.groupBy("page_id", "ol", "sig").agg(F.min("k").alias("idx"))
-    lis = lis.join(first_k, ["page_id", "ol", "sig"], "left").select(
-        "page_id", "pre", F.col("ol").isNotNull().alias("in_ol"), F.coalesce("idx", F.lit(1)).alias("idx"))
+    lis = lis.join(first_k, ["page_id", "ol", "sig"], "left").select("page_id", "pre", F.coalesce("idx", F.lit(1)).alias("idx"))
     elems = elems.join(lis, ["page_id", "pre"], "left")
     tag = F.col("tag")
     level = F.regexp_extract(tag, "h([1-6])", 1)
     line = (
-        F.when((tag == "li") & F.col("in_ol"), F.concat(F.col("idx").cast("string"), F.lit(". "), "text"))
+        F.when((tag == "li") & F.col("idx").isNotNull(), F.concat(F.col("idx").cast("string"), F.lit(". "), "text"))
         .when(tag == "li", F.concat(F.lit("- "), "text"))
         .when(tag == "p", F.concat(F.lit("\n"), "text", F.lit("\n")))
         .otherwise(F.concat(F.lit("\n"), F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), "text", F.lit("\n")))
     )
-    elines = elems.select("page_id", "pre", "anc", line.alias("line"))
-    tables = nodes.filter(is_elem() & (tag == "table")).select("page_id", "pre", "anc")
-    tlines = tables.join(table_text(nodes, tables.select("page_id", "pre")), ["page_id", "pre"]).select(
-        "page_id", "pre", "anc", F.col("text").alias("line"))
+    elines = elems.select("page_id", "pre", line.alias("line"))
+    tables = nodes.filter(is_elem() & (tag == "table")).select("page_id", "pre", "last")
+    tlines = table_text(nodes, tables).select("page_id", "pre", F.col("text").alias("line"))
     return strings.unionByName(elines).unionByName(tlines)
 
 
-def structured_text(lines: DataFrame, roots: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """B8 for root elements ``roots(page_id, pre)`` → ``(page_id, pre, text)``.
+def mark_removed(lines: DataFrame, removed: DataFrame) -> DataFrame:
+    """``lines`` with ``gone_at``: the first ``at`` of the ``removed(page_id, pre, last, at)`` subtrees that hold the
+    line, NULL when none does."""
+    own = removed.select("page_id", (F.col("pre") - 1).alias("pre"), "last", "at")
+    held = gather(own, lines.select("page_id", "pre", F.col("pre").alias("v")), lambda x, t: x, "held")
+    gone = held.select("page_id", F.explode("held").alias("pre"), "at").groupBy("page_id", "pre").agg(F.min("at").alias("gone_at"))
+    return lines.join(gone, ["page_id", "pre"], "left")
+
+
+def structured_text(lines: DataFrame, roots: DataFrame, in_order: bool = False) -> DataFrame:
+    """B8 for root elements ``roots(page_id, pre, last)`` → ``(page_id, pre, text)``.
 
     Lines of all descendants (not the root itself) in document order,
-    joined by '\\n', runs of 3+ newlines squeezed to 2, stripped.
-    ``exclude(page_id, pre, last)`` removes whole subtrees first.
+    joined by '\\n', runs of 3+ newlines squeezed to 2, stripped.  Lines that
+    ``mark_removed`` marked are left out; with ``in_order`` only those that
+    were removed no later than the root's turn.
     """
-    ln = lines
-    # a page's roots (and excluded elements) are one array: a line is paired with those of its ancestors
-    # only, in one join by page, and no other ancestor becomes a row
-    if exclude is not None:
-        ex = exclude.groupBy("page_id").agg(F.collect_set("pre").alias("_ex"))
-        gone = F.array_contains("_ex", F.col("pre")) | F.arrays_overlap("_ex", "anc")
-        ln = ln.join(ex, "page_id", "left").filter(~F.coalesce(gone, F.lit(False))).drop("_ex")
-    r = roots.select("page_id", F.col("pre").alias("r_pre")).distinct()
-    of_page = roots.groupBy("page_id").agg(F.collect_set("pre").alias("_roots"))
-    pairs = ln.join(of_page, "page_id").select("page_id", "pre", "line", F.explode(F.array_intersect("anc", "_roots")).alias("r_pre"))
-    agg = pairs.groupBy("page_id", "r_pre").agg(
-        ordered_join(F.collect_list(F.struct("pre", F.col("line").alias("s"))), "\n").alias("t"))
-    text = pystrip(F.regexp_replace(F.coalesce("t", F.lit("")), "\n{3,}", "\n\n"))
-    return r.join(agg, ["page_id", "r_pre"], "left").select("page_id", F.col("r_pre").alias("pre"), text.alias("text"))
+    r = roots.select("page_id", "pre", "last").distinct()
+    if "gone_at" not in lines.columns:
+        items, kept = lines.select("page_id", "pre", F.col("line").alias("v")), lambda x, t: x
+    elif not in_order:
+        items, kept = lines.filter("gone_at is null").select("page_id", "pre", F.col("line").alias("v")), lambda x, t: x
+    else:
+        items = lines.select("page_id", "pre", F.struct("line", "gone_at").alias("v"))
+        kept = lambda x, t: F.transform(F.filter(x, lambda e: F.coalesce(e["gone_at"] > t["pre"], F.lit(True))), lambda e: e["line"])
+    text = lambda x, t: F.array_join(kept(x, t), "\n")
+    return gather(r, items, text, "t").select("page_id", "pre", pystrip(F.regexp_replace("t", "\n{3,}", "\n\n")).alias("text"))
 
 
 # ------------------------------------------------------------------ selectors
@@ -181,75 +167,116 @@ def raw_text_region(nodes: DataFrame, area: DataFrame) -> DataFrame:
 
 def main_region(nodes: DataFrame, area: DataFrame) -> DataFrame:
     """B10 region: first main; else first article/div with a class token containing 'content'
-    (case-insensitive); else the area itself.  ``(page_id, pre)``."""
+    (case-insensitive); else the area itself.  ``(page_id, pre, last)``."""
     inside = within_area(nodes, area, include_self=False).filter(is_elem())
     prio = F.when(F.col("tag") == "main", 1).when(
         F.col("tag").isin("article", "div")
         & F.coalesce(F.exists("classes", lambda c: F.instr(F.lower(c), "content") > 0), F.lit(False)), 2)
     best = inside.withColumn("_p", prio).filter(F.col("_p").isNotNull()).groupBy("page_id").agg(
-        F.min(F.struct("_p", "pre")).alias("_m"))
-    return area.join(best, "page_id", "left").select("page_id", F.coalesce("_m.pre", "a_pre").alias("pre"))
+        F.min(F.struct("_p", "pre", "last")).alias("_m"))
+    return area.join(best, "page_id", "left").select(
+        "page_id", F.coalesce("_m.pre", "a_pre").alias("pre"), F.coalesce("_m.last", "a_last").alias("last"))
 
 
 # ------------------------------------------------------------- interactive
+def _take_summaries(batches):
+    """Per page, in document order: each ``details`` takes the first ``summary`` inside it that none before
+    took, and that stands in none taken before (its subtree is gone, like the ``details`` in it)."""
+    import pyarrow as pa
+
+    names, kinds = ["page_id", "d_pre", "pre", "last"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    for batch in batches:
+        out = [[], [], [], []]
+        for page, details, summaries in zip(*(batch.column(c).to_pylist() for c in ("page_id", "d", "s"))):
+            free = list(range(len(summaries) + 1))  # the next summary that is not gone
+
+            def first(k):
+                while free[k] != k:
+                    free[k] = free[free[k]]
+                    k = free[k]
+                return k
+
+            k = 0
+            for d in details:
+                while k < len(summaries) and summaries[k]["pre"] <= d["pre"]:
+                    k += 1
+                at = first(k)
+                if at == len(summaries) or summaries[at]["pre"] > d["last"]:
+                    continue
+                s = summaries[at]
+                j = at
+                while j < len(summaries) and summaries[j]["pre"] <= s["last"]:
+                    free[j], j = j + 1, j + 1
+                for column, x in zip(out, (page, d["pre"], s["pre"], s["last"])):
+                    column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+
 def removed_summaries(nodes: DataFrame, area: DataFrame) -> DataFrame:
-    """B19 side effect: the first ``summary`` inside each ``details`` (document order) is removed."""
-    det = within_area(nodes, area).filter(is_elem() & (F.col("tag") == "details")).select("page_id", F.col("pre").alias("d_pre"))
-    summ = nodes.filter(is_elem() & (F.col("tag") == "summary")).select(
-        "page_id", "pre", "last", F.explode("anc").alias("d_pre"))
-    first = summ.join(det, ["page_id", "d_pre"]).groupBy("page_id", "d_pre").agg(F.min(F.struct("pre", "last")).alias("_s"))
-    return first.select("page_id", "d_pre", F.col("_s.pre").alias("pre"), F.col("_s.last").alias("last"))
+    """B19 side effect: ``(page_id, d_pre, pre, last)``, the ``summary`` that each ``details`` removes.
+
+    In document order each ``details`` removes the first ``summary`` that is still inside it, so of nested
+    ones the outer may take the inner's.  One row per page with its few intervals goes through
+    a small helper, since each choice depends on the ones before.
+    """
+    inside = within_area(nodes, area).filter(is_elem() & F.col("tag").isin("details", "summary"))
+    spans = lambda tag: F.sort_array(F.collect_list(F.when(F.col("tag") == tag, F.struct("pre", "last"))))
+    of_page = inside.groupBy("page_id").agg(spans("details").alias("d"), spans("summary").alias("s"))
+    of_page = of_page.filter((F.size("d") > 0) & (F.size("s") > 0))
+    return of_page.mapInArrow(_take_summaries, "page_id long, d_pre int, pre int, last int")
 
 
 def interactive_sections(nodes: DataFrame, lines: DataFrame, area: DataFrame, removed: DataFrame) -> DataFrame:
-    """B18 + B19 + B20 → B21: ``(page_id, kind_order, pre, section_type, section_name, content, selector)``."""
+    """B18 + B19 + B20 → B21: ``(page_id, kind_order, pre, section_type, section_name, content, selector)``.
+
+    Accordions are read before any summary is removed, each ``details`` after its own and all earlier
+    removals, tabs after all of them.
+    """
     inside = within_area(nodes, area).filter(is_elem())
-    # B18 accordions (read before any summary removal)
-    btn = inside.filter(((F.col("tag") == "button") & has_attr("aria-expanded")) | has_class("accordion-button"))
-    btn = btn.select("page_id", "pre", "parent", attr("aria-controls").alias("controls"))
-    bname = _text_of(nodes, btn.select("page_id", "pre"))
-    ids = inside.filter(has_attr("id")).groupBy("page_id", attr("id").alias("controls")).agg(
-        F.min("pre").alias("panel"))
-    with_ctl = btn.filter(F.coalesce(F.col("controls") != "", F.lit(False))).join(ids, ["page_id", "controls"])
-    sib = inside.select("page_id", "parent", F.col("pre").alias("spre"))
-    nxt = (
-        btn.filter(~F.coalesce(F.col("controls") != "", F.lit(False)))
-        .join(sib, ["page_id", "parent"]).filter(F.col("spre") > F.col("pre"))
-        .groupBy("page_id", "pre").agg(F.min("spre").alias("panel"))
-    )
-    acc = with_ctl.select("page_id", "pre", "panel", F.concat(F.lit("#"), "controls").alias("selector")).unionByName(
-        nxt.select("page_id", "pre", "panel", F.lit(None).cast("string").alias("selector")))
-    acc_txt = structured_text(lines, acc.select("page_id", F.col("panel").alias("pre")))
+    # The panel is the element that aria-controls names, else the next element sibling
+    after = Window.partitionBy("page_id", "parent").orderBy("pre")
+    btn = inside.withColumn("next", F.lead(F.struct("pre", "last")).over(after))
+    btn = btn.filter(((F.col("tag") == "button") & has_attr("aria-expanded")) | has_class("accordion-button"))
+    btn = btn.select("page_id", "pre", "last", "next", attr("aria-controls").alias("controls"))
+    bname = _text_of(nodes, btn.select("page_id", "pre", "last"))
+    ids = inside.filter(has_attr("id")).groupBy("page_id", attr("id").alias("controls")).agg(F.min(F.struct("pre", "last")).alias("named"))
+    named = F.coalesce(F.col("controls") != "", F.lit(False))
+    acc = btn.join(ids, ["page_id", "controls"], "left").withColumn("panel", F.when(named, F.col("named")).otherwise(F.col("next")))
+    acc = acc.filter("panel is not null").select(
+        "page_id", "pre", F.col("panel.pre").alias("panel"), F.col("panel.last").alias("panel_last"),
+        F.when(named, F.concat(F.lit("#"), "controls")).alias("selector"))
+    acc_txt = structured_text(lines, acc.select("page_id", F.col("panel").alias("pre"), F.col("panel_last").alias("last")))
     acc = (
         acc.join(bname, ["page_id", "pre"])
         .join(acc_txt.withColumnRenamed("pre", "panel").withColumnRenamed("text", "content"), ["page_id", "panel"])
         .select("page_id", F.lit(1).alias("kind_order"), "pre", F.lit("accordion").alias("section_type"),
                 F.col("text").alias("section_name"), "content", "selector")
     )
-    # B19 details: name = first summary text, content without that summary
-    det = inside.filter(F.col("tag") == "details").select("page_id", "pre")
-    sname = _text_of(nodes, removed.select("page_id", "pre")).select(
+    marked = mark_removed(lines, removed.withColumnRenamed("d_pre", "at"))
+    # B19 details: name = the text of the summary that it removed
+    det = inside.filter(F.col("tag") == "details").select("page_id", "pre", "last")
+    sname = _text_of(nodes, removed.select("page_id", "pre", "last")).select(
         "page_id", F.col("pre").alias("s_pre"), F.col("text").alias("sname"))
-    det = det.join(removed.select("page_id", F.col("d_pre").alias("pre"), F.col("pre").alias("s_pre")), ["page_id", "pre"], "left")
-    det = det.join(sname, ["page_id", "s_pre"], "left")
-    d_txt = structured_text(lines, det.select("page_id", "pre"), exclude=removed.select("page_id", "pre", "last"))
+    named_by = removed.select("page_id", F.col("d_pre").alias("pre"), F.col("pre").alias("s_pre")).join(sname, ["page_id", "s_pre"])
+    det = det.join(named_by, ["page_id", "pre"], "left")
+    d_txt = structured_text(marked, det, in_order=True)
     details = det.join(d_txt, ["page_id", "pre"]).select(
         "page_id", F.lit(2).alias("kind_order"), "pre", F.lit("details").alias("section_type"),
-        F.when(F.col("s_pre").isNull(), F.lit("Details")).otherwise(F.coalesce(F.col("sname"), F.lit(""))).alias("section_name"),
+        F.coalesce("sname", F.lit("Details")).alias("section_name"),
         F.col("text").alias("content"), F.lit(None).cast("string").alias("selector"))
     # B20 tabs: name from the first button (else a) whose aria-controls is the panel id
-    panels = inside.filter(F.coalesce(attr("role") == "tabpanel", F.lit(False))).select("page_id", "pre", attr("id").alias("pid"))
+    panels = inside.filter(F.coalesce(attr("role") == "tabpanel", F.lit(False))).select("page_id", "pre", "last", attr("id").alias("pid"))
     ctl = inside.filter(F.col("tag").isin("button", "a") & has_attr("aria-controls"))
+    span = F.struct("pre", "last")
     ctl = ctl.groupBy("page_id", attr("aria-controls").alias("pid")).agg(
-        F.min(F.when(F.col("tag") == "button", F.col("pre"))).alias("b"), F.min(F.when(F.col("tag") == "a", F.col("pre"))).alias("a"))
-    panels = panels.join(ctl, ["page_id", "pid"], "left").withColumn(
-        "ctl", F.when(F.coalesce(F.col("pid") != "", F.lit(False)), F.coalesce("b", "a")))
-    cname = _text_of(nodes, panels.filter(F.col("ctl").isNotNull()).select("page_id", F.col("ctl").alias("pre"))).withColumnRenamed(
-        "pre", "ctl").withColumnRenamed("text", "cname")
-    p_txt = structured_text(lines, panels.select("page_id", "pre"), exclude=removed.select("page_id", "pre", "last"))
-    tabs = panels.join(cname, ["page_id", "ctl"], "left").join(p_txt, ["page_id", "pre"]).select(
+        F.min(F.when(F.col("tag") == "button", span)).alias("b"), F.min(F.when(F.col("tag") == "a", span)).alias("a"))
+    panels = panels.join(ctl, ["page_id", "pid"], "left").withColumn("ctl", F.when(F.coalesce(F.col("pid") != "", F.lit(False)), F.coalesce("b", "a")))
+    cname = _text_of(nodes, panels.filter("ctl is not null").select("page_id", "ctl.pre", "ctl.last").distinct())
+    cname = cname.select("page_id", F.col("pre").alias("c_pre"), F.col("text").alias("cname"))
+    p_txt = structured_text(marked, panels)
+    tabs = panels.withColumn("c_pre", F.col("ctl.pre")).join(cname, ["page_id", "c_pre"], "left").join(p_txt, ["page_id", "pre"]).select(
         "page_id", F.lit(3).alias("kind_order"), "pre", F.lit("tab").alias("section_type"),
-        F.when(F.col("ctl").isNull(), F.lit("Tab")).otherwise(F.col("cname")).alias("section_name"),
+        F.when(F.col("c_pre").isNull(), F.lit("Tab")).otherwise(F.col("cname")).alias("section_name"),
         F.col("text").alias("content"),
         F.when(F.coalesce(F.col("pid") != "", F.lit(False)), F.concat(F.lit("#"), "pid")).alias("selector"))
     return acc.unionByName(details).unionByName(tabs)
@@ -295,16 +322,16 @@ def generic_page(nodes: DataFrame, pages: DataFrame, link_filter: str = "same_pa
         lines = materialize(node_lines(kept), "generic-lines", sort=["page_id", "pre"])
     removed = removed_summaries(kept, area)
     inter = interactive_sections(kept, lines, area, removed)
-    main = structured_text(lines, main_region(kept, area), exclude=removed.select("page_id", "pre", "last"))
+    main = structured_text(mark_removed(lines, removed.withColumnRenamed("d_pre", "at")), main_region(kept, area))
     inter_arr = inter.groupBy("page_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("kind_order", "pre", "section_type", "section_name", "content", "selector"))),
+        F.sort_array(F.collect_list(F.struct("kind_order", "pre", "section_type", "section_name", "content", "selector"))),
         lambda x: F.struct(x["section_type"].alias("section_type"), x["section_name"].alias("section_name"),
                            x["content"].alias("content"), x["selector"].alias("selector"))).alias("interactive_sections"))
     ref = links.filter(F.col("bucket") == "referenced").groupBy("page_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("stage", "ord", "text", "url", "context"))),
+        F.sort_array(F.collect_list(F.struct("stage", "ord", "text", "url", "context"))),
         lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url"), x["context"].alias("context"))).alias("referenced_links"))
     disc = links.filter(F.col("bucket") == "structural").groupBy("page_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("stage", "ord", "url"))), lambda x: x["url"]).alias("discovered_links"))
+        F.sort_array(F.collect_list(F.struct("stage", "ord", "url"))), lambda x: x["url"]).alias("discovered_links"))
     empty_inter = F.array().cast("array<struct<section_type:string,section_name:string,content:string,selector:string>>")
     return (
         pages.select("page_id", "url")

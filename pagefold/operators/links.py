@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 
 from pagefold.functions.text import cut
 from pagefold.functions.urls import follow_from_parts, normalize_url, with_resolved_url, with_url_parts
-from pagefold.operators.dom import is_elem, attr, first_match, has_attr, has_class, subtree_text
+from pagefold.operators.dom import is_elem, attr, first_match, gather, has_attr, has_class, inside_flag, subtree_text
 from pagefold.session import materialize
 
 # Fixed values for link classification.
 IGNORED_HREF_PREFIXES = ["javascript:", "mailto:", "tel:", "sms:", "ftp:"]
 STRUCTURAL_CLASS_WORDS = ["section", "tab", "accordion", "nav", "tile", "card"]
 STRUCTURAL_HREF_PARTS = ["/section/", "/category/", "/topic/"]
-CONTEXT_TAGS = ["p", "li", "td", "div"]
+# Fixed values: ``X a`` selectors of the structural list (any of the X), and ``X button``.
+STRUCTURAL_HOLDER_CLASSES = ["nav-tabs", "section-menu", "sidebar-nav", "table-of-contents", "next-section", "related-section", "sub-section"]
+BUTTON_HOLDER_CLASS = "accordion-header"
 
 
 def link_scan(nodes: DataFrame) -> DataFrame:
     """Every ``a[href]`` in document order with its ``get_text(strip=True)``.
 
-    Output ``(page_id, pre, href, text, classes, anc, anc_tags)``.
+    Output ``(page_id, pre, last, href, text, classes, ctx)``.
     """
     anchors = nodes.filter(is_elem() & (F.col("tag") == "a") & has_attr("href")).select(
-        "page_id", "pre", attr("href").alias("href"), "classes", "anc", "anc_tags"
+        "page_id", "pre", "last", attr("href").alias("href"), "classes", "ctx"
     )
-    texts = subtree_text(nodes, anchors.select("page_id", "pre"), anc_tags=["a"])
+    texts = subtree_text(nodes, anchors)
     return anchors.join(texts, ["page_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
@@ -49,8 +51,17 @@ def _contains_any(c: Column, words: list[str]) -> Column:
     return out
 
 
-def _structural_descendant_pred() -> Column:
-    """Compound selectors of the structural list that a descendant of a link can match."""
+def _holds_structural_links() -> Column:
+    """Elements X of the ``X a`` selectors."""
+    tag = F.col("tag")
+    out = ((tag == "li") & F.coalesce(attr("role") == "tab", F.lit(False))) | ((tag == "nav") & has_class("section-nav"))
+    for c in STRUCTURAL_HOLDER_CLASSES:
+        out = out | has_class(c)
+    return out
+
+
+def _matches_compound() -> Column:
+    """Elements that match a structural selector of one compound."""
     tag = F.col("tag")
     return (
         ((tag == "button") & has_attr("data-tab"))
@@ -65,46 +76,47 @@ def _structural_descendant_pred() -> Column:
     )
 
 
+def structural_matches(nodes: DataFrame) -> DataFrame:
+    """Elements ``(page_id, pre)`` that match a selector of the structural list, right to left: the element
+    itself, then (for ``X a`` and ``X button``) any ancestor, wherever it stands."""
+    holds_links, holds_buttons, tag = _holds_structural_links(), has_class(BUTTON_HOLDER_CLASS), F.col("tag")
+    some = nodes.filter(is_elem() & (tag.isin("a", "button") | _matches_compound() | holds_links | holds_buttons))
+    some = some.withColumn("_in_x", inside_flag(holds_links, include_self=False)).withColumn("_in_b", inside_flag(holds_buttons, include_self=False))
+    return some.filter(_matches_compound() | ((tag == "a") & F.col("_in_x")) | ((tag == "button") & F.col("_in_b"))).select("page_id", "pre")
+
+
 def structural_flag(nodes: DataFrame, anchors: DataFrame, follow_all: bool = False) -> DataFrame:
     """Per anchor ``(page_id, pre, structural)``.
 
-    Effective rule: a descendant matches a structural selector; or an
-    ancestor is ``summary``; or a class token contains section/tab/accordion/
-    nav/tile/card as a substring ('table' counts); or the href contains
-    /section/, /category/ or /topic/; or (unless following all links) the
-    href is an in-page anchor ``#x``.
+    Effective rule: a descendant matches a structural selector (whose
+    ancestor part may lie outside the link); or an ancestor is ``summary``;
+    or a class token contains section/tab/accordion/nav/tile/card as a
+    substring ('table' counts); or the href contains /section/, /category/
+    or /topic/; or (unless following all links) the href is an in-page
+    anchor ``#x``.  ``anchors`` has ``(page_id, pre, last, href, classes)``.
     """
-    desc = (
-        nodes.filter(is_elem() & F.exists("anc_tags", lambda t: t == "a") & _structural_descendant_pred())
-        .select("page_id", F.explode("anc").alias("pre"))
-        .distinct()
-        .withColumn("_desc", F.lit(True))
-    )
+    matches = structural_matches(nodes).withColumn("v", F.lit(True))
+    flagged = gather(anchors.select("page_id", "pre", "last", "href", "classes"), matches, lambda x, t: F.size(x) > 0, "_desc")
+    summaries = nodes.filter(is_elem() & (F.col("tag") == "summary")).select("page_id", "pre", "last")
+    held = gather(summaries, anchors.select("page_id", "pre", F.col("pre").alias("v")), lambda x, t: x, "held")
+    held = held.select("page_id", F.explode("held").alias("pre")).distinct().withColumn("_in_summary", F.lit(True))
     href = F.col("href")
     flag = (
-        F.coalesce(F.col("_desc"), F.lit(False))
-        | F.coalesce(F.array_contains("anc_tags", "summary"), F.lit(False))
+        F.col("_desc")
+        | F.coalesce(F.col("_in_summary"), F.lit(False))
         | F.coalesce(F.exists("classes", lambda c: _contains_any(c, STRUCTURAL_CLASS_WORDS)), F.lit(False))
         | _contains_any(href, STRUCTURAL_HREF_PARTS)
     )
     if not follow_all:
         flag = flag | (href.startswith("#") & (F.length(href) > 1))
-    return anchors.join(desc, ["page_id", "pre"], "left").select("page_id", "pre", flag.alias("structural"))
+    return flagged.join(held, ["page_id", "pre"], "left").select("page_id", "pre", flag.alias("structural"))
 
 
 def link_context(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """C11: text of the nearest p/li/td/div ancestor, cut at 200 chars + '...'; '' if none."""
-    wanted = F.array(*[F.lit(t) for t in CONTEXT_TAGS])
-    near = anchors.select(
-        "page_id",
-        "pre",
-        F.try_element_at(
-            F.filter(F.arrays_zip("anc", "anc_tags"), lambda x: F.array_contains(wanted, x["anc_tags"])), F.lit(-1)
-        )["anc"].alias("ctx_pre"),
-    )
+    near = anchors.select("page_id", "pre", F.col("ctx").alias("ctx_pre"))
     texts = subtree_text(
         nodes, near.filter(F.col("ctx_pre").isNotNull()).select("page_id", F.col("ctx_pre").alias("pre")),
-        anc_tags=CONTEXT_TAGS,
     ).withColumnRenamed("pre", "ctx_pre")
     return near.join(texts, ["page_id", "ctx_pre"], "left").select(
         "page_id", "pre", F.coalesce(cut("text", 200, "..."), F.lit("")).alias("context")
@@ -112,14 +124,10 @@ def link_context(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _first_desc_link(anchors: DataFrame, holders: DataFrame) -> DataFrame:
-    """For each holder element ``(page_id, h_pre)``: its first descendant anchor (not itself)."""
-    pairs = anchors.select("page_id", "pre", "href", F.explode("anc").alias("h_pre"))
-    return (
-        pairs.join(holders, ["page_id", "h_pre"])
-        .groupBy("page_id", "h_pre")
-        .agg(F.min(F.struct("pre", "href")).alias("_f"))
-        .select("page_id", "h_pre", F.col("_f.pre").alias("a_pre"), F.col("_f.href").alias("href"))
-    )
+    """For each holder element ``(page_id, pre, last)``: its first descendant anchor (not itself)."""
+    links = anchors.select("page_id", "pre", F.struct("pre", "href").alias("v"))
+    first = gather(holders, links, lambda x, t: F.get(x, F.lit(0)), "_f").filter("_f is not null")
+    return first.select("page_id", F.col("pre").alias("h_pre"), F.col("_f.pre").alias("a_pre"), F.col("_f.href").alias("href"))
 
 
 def tile_links(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -135,11 +143,11 @@ def tile_links(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
         nodes.filter(is_elem() & has_class("tile"))
         .join(tc, "page_id")
         .filter((F.col("pre") > F.col("tc_pre")) & (F.col("pre") <= F.col("tc_last")))
-        .select("page_id", F.col("pre").alias("h_pre"))
+        .select("page_id", "pre", "last")
     )
     cls = F.coalesce(attr("class"), F.lit(""))
     cards = nodes.filter(is_elem() & has_attr("class") & ((F.instr(cls, "card") > 0) | (F.instr(cls, "tile") > 0))).select(
-        "page_id", F.col("pre").alias("h_pre")
+        "page_id", "pre", "last"
     )
     s1 = _first_desc_link(anchors, tiles).select("page_id", F.lit(1).alias("stage"), F.col("h_pre").alias("ord"), "a_pre", "href")
     s2 = _first_desc_link(anchors, cards).select("page_id", F.lit(2).alias("stage"), F.col("h_pre").alias("ord"), "a_pre", "href")
@@ -188,12 +196,12 @@ def categorize_links(
     anchors = materialize(link_scan(nodes), "anchors", sort=["page_id", "pre"])
     cands = link_candidates(nodes, pages, [link_filter], anchors)
     kept = cands.filter(F.col(f"follow_{link_filter}") & F.col("_first"))
-    structural = structural_flag(nodes, anchors.select("page_id", "pre", "href", "classes", "anc_tags"), follow_all)
+    structural = structural_flag(nodes, anchors, follow_all)
     kept = kept.join(structural.withColumnRenamed("pre", "a_pre"), ["page_id", "a_pre"], "left")
     is_struct = (F.col("stage") < 3) | F.lit(follow_all) | F.coalesce(F.col("structural"), F.lit(False))
     if follow_all:
         kept = kept.filter(~((F.col("stage") == 3) & (F.col("_lp.fragment") != "") & (F.col("_lp.path") == "")))
-    ctx = link_context(nodes, anchors.select("page_id", "pre", "anc", "anc_tags")).withColumnRenamed("pre", "a_pre")
+    ctx = link_context(nodes, anchors.select("page_id", "pre", "ctx")).withColumnRenamed("pre", "a_pre")
     txt = anchors.select("page_id", F.col("pre").alias("a_pre"), "text")
     out = kept.withColumn("bucket", F.when(is_struct, "structural").otherwise("referenced"))
     ref = out.filter(F.col("bucket") == "referenced").join(txt, ["page_id", "a_pre"], "left").join(ctx, ["page_id", "a_pre"], "left")
@@ -225,8 +233,8 @@ def listing_links(nodes: DataFrame, pages: DataFrame, link_pattern: str | None =
         "page_id", "pre", normalize_url(clean, F.col("page_url")).alias("url"), F.col("text").alias("title")
     ).filter(F.col("title") != "")
 
-    heads = nodes.filter(is_elem() & F.col("tag").isin("h2", "h3", "h4")).select("page_id", "pre")
-    htext = heads.join(subtree_text(nodes, heads, anc_tags=["h2", "h3", "h4"]), ["page_id", "pre"], "left").select(
+    heads = nodes.filter(is_elem() & F.col("tag").isin("h2", "h3", "h4")).select("page_id", "pre", "last")
+    htext = heads.join(subtree_text(nodes, heads), ["page_id", "pre"], "left").select(
         "page_id", "pre", F.coalesce("text", F.lit("")).alias("text"))
     # one ordered stream of headings and links; headings numbered in order
     stream = htext.select("page_id", "pre", F.lit(True).alias("is_h"), F.col("text").alias("htext"),

@@ -18,10 +18,11 @@ tag       string lower-case tag name for elements, NULL otherwise
 attrs     map<string,string>  attributes (first value wins on repeats)
 classes   array<string>       class tokens
 text      string text of text/hidden/comment/doctype nodes
-anc       array<int>          ancestor ``pre`` values, root first
-anc_tags  array<string>       ancestor tag names, aligned with ``anc``
+ctx       int    nearest ancestor that gives a link its context (p, li, td, div), NULL if none
+ol        int    nearest ``ol`` ancestor, NULL if none
 
-``x`` lies inside element ``a`` iff ``a.pre < x.pre <= a.last``.
+``x`` lies inside element ``a`` iff ``a.pre < x.pre <= a.last``.  No node lists its ancestors: the table
+is linear in the page, however deep it is nested (``dom.gather`` joins by intervals).
 
 Two tree-building modes:
 
@@ -66,11 +67,14 @@ NODE_SCHEMA = T.StructType(
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("classes", T.ArrayType(T.StringType())),
         T.StructField("text", T.StringType()),
-        T.StructField("anc", T.ArrayType(T.IntegerType())),
-        T.StructField("anc_tags", T.ArrayType(T.StringType())),
+        T.StructField("ctx", T.IntegerType()),
+        T.StructField("ol", T.IntegerType()),
     ]
 )
 
+# Fixed value: tags whose text is the context of a link in them.
+CONTEXT_TAGS = ("p", "li", "td", "div")
+
 # A page that the tokenizer can't read has one row of this kind, with the error as its text: no
 # root, elements or strings, so no operator takes it for content (see ``parse_errors``).
 ERROR_KIND = "error"
@@ -252,8 +256,8 @@ def tokenize(html: str | None, mode: str = "generic") -> list[list]:
 
 
 _COLS = [f.name for f in NODE_SCHEMA.fields]
-# values (rows and their ancestors) that a worker holds before it hands on a batch, also within a page
-_FLUSH_VALUES = 1_000_000
+# rows that a worker holds before it hands on a batch, also within a page
+_FLUSH_ROWS = 200_000
 
 
 def _arrow_schema():
@@ -263,7 +267,7 @@ def _arrow_schema():
         ("page_id", pa.int64()), ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()),
         ("depth", pa.int32()), ("sib", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())), ("text", pa.string()),
-        ("anc", pa.list_(pa.int32())), ("anc_tags", pa.list_(pa.string())),
+        ("ctx", pa.int32()), ("ol", pa.int32()),
     ])
 
 
@@ -281,15 +285,11 @@ class _Columns:
 
     def add_page(self, page_id, rows):
         c = self.cols
-        anc_of: dict[int, tuple[list[int], list[str]]] = {}
+        inner: dict[int, tuple[int | None, int | None]] = {}  # by element: ctx and ol of its children
         for pre, last, parent, depth, sib, kind, tag, attrs, classes, text in rows:
-            if parent is None:
-                anc, anc_tags = [], []
-            else:
-                pa_, pt = anc_of[parent]
-                anc, anc_tags = pa_ + [parent], pt + [rows[parent][6]]
+            ctx, ol = inner[parent] if parent is not None else (None, None)
             if kind in ("elem", "root"):
-                anc_of[pre] = (anc, anc_tags)
+                inner[pre] = (pre if tag in CONTEXT_TAGS else ctx, pre if tag == "ol" else ol)
             c["page_id"].append(page_id)
             c["pre"].append(pre)
             c["last"].append(last)
@@ -301,10 +301,10 @@ class _Columns:
             c["attrs"].append(list(attrs.items()) if attrs is not None else None)
             c["classes"].append(classes)
             c["text"].append(text)
-            c["anc"].append(anc)
-            c["anc_tags"].append(anc_tags)
-            self.n += 1 + len(anc)
-            if self.n >= _FLUSH_VALUES:
+            c["ctx"].append(ctx)
+            c["ol"].append(ol)
+            self.n += 1
+            if self.n >= _FLUSH_ROWS:
                 yield
 
     def batch(self, schema):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions.text import clean_text
-from pagefold.operators.dom import ancestors_with, attr, first_match, is_elem, ordered_join, subtree_text
+from pagefold.operators.dom import attr, first_match, gather, is_elem, ordered_join, subtree_text
 from pagefold.operators.text import in_region, region, title_detail
 from pagefold.session import materialize
 
@@ -29,9 +29,9 @@ def detail_region(nodes: DataFrame) -> DataFrame:
     return region(nodes, prio)
 
 
-def _texts(nodes: DataFrame, targets: DataFrame, anc_tags=None) -> DataFrame:
-    """Cleaned ``get_text()`` of target elements ``(page_id, pre)`` → ``(page_id, pre, text)``."""
-    t = subtree_text(nodes, targets, strip=False, anc_tags=anc_tags)
+def _texts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Cleaned ``get_text()`` of target elements ``(page_id, pre[, last])`` → ``(page_id, pre, text)``."""
+    t = subtree_text(nodes, targets, strip=False)
     return t.select("page_id", "pre", clean_text("text").alias("text"))
 
 
@@ -42,15 +42,16 @@ def block_text(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     li, empty ones too); table → cells " | "-joined per tr, rows whose cells
     are all empty dropped; anything else → cleaned text.
     """
-    blk = blocks.select("page_id", F.col("pre").alias("b_pre"), F.col("tag").alias("b_tag"))
+    span_of = ["last"] if "last" in blocks.columns else []
+    blk = blocks.select("page_id", F.col("pre").alias("b_pre"), F.col("tag").alias("b_tag"), *span_of)
     lis = (
         nodes.filter(is_elem() & (F.col("tag") == "li"))
-        .select("page_id", "pre", F.col("parent").alias("b_pre"), "sib")
-        .join(blk.filter(F.col("b_tag").isin("ul", "ol")), ["page_id", "b_pre"])
+        .select("page_id", "pre", "last", F.col("parent").alias("b_pre"))
+        .join(blk.filter(F.col("b_tag").isin("ul", "ol")).select("page_id", "b_pre", "b_tag"), ["page_id", "b_pre"])
     )
     # i = position among the direct li children (non-li siblings do not count)
     lis = lis.withColumn("i", F.row_number().over(Window.partitionBy("page_id", "b_pre").orderBy("pre")))
-    li_text = _texts(nodes, lis.select("page_id", "pre"), anc_tags=["li"])
+    li_text = _texts(nodes, lis.select("page_id", "pre", "last"))
     lis = lis.join(li_text, ["page_id", "pre"]).filter(F.col("text") != "")
     li_line = F.when(F.col("b_tag") == "ul", F.concat(F.lit("- "), "text")).otherwise(
         F.concat(F.col("i").cast("string"), F.lit(". "), "text"))
@@ -58,28 +59,18 @@ def block_text(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
         ordered_join(F.collect_list(F.struct("pre", li_line.alias("s"))), "\n").alias("text"))
 
     # tables: every tr inside (nested tables too), cells td/th inside each tr (find_all → descendants)
-    tabs = blk.filter(F.col("b_tag") == "table")
-    rows = (
-        nodes.filter(is_elem() & (F.col("tag") == "tr"))
-        .select("page_id", F.col("pre").alias("tr_pre"), F.explode(ancestors_with(["table"])).alias("b_pre"))
-        .join(tabs, ["page_id", "b_pre"])
-    )
-    cells = (
-        nodes.filter(is_elem() & F.col("tag").isin("td", "th"))
-        .select("page_id", "pre", F.explode(ancestors_with(["tr"])).alias("tr_pre"))
-        .join(rows.select("page_id", "tr_pre").distinct(), ["page_id", "tr_pre"])
-    )
-    cell_txt = _texts(nodes, cells.select("page_id", "pre").distinct(), anc_tags=["td", "th"])
-    cells = cells.join(cell_txt, ["page_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    row_txt = cells.groupBy("page_id", "tr_pre").agg(
-        ordered_join(F.collect_list(F.struct("pre", F.col("text").alias("s"))), " | ").alias("row"),
-        F.max(F.length("text")).alias("_w"),
-    ).filter(F.col("_w") > 0)
-    tab_txt = rows.join(row_txt, ["page_id", "tr_pre"]).groupBy("page_id", "b_pre").agg(
-        ordered_join(F.collect_list(F.struct(F.col("tr_pre").alias("pre"), F.col("row").alias("s"))), "\n").alias("text"))
+    tables = nodes.filter(is_elem() & (F.col("tag") == "table")).select("page_id", "pre", "last").join(
+        blk.filter(F.col("b_tag") == "table").select("page_id", F.col("b_pre").alias("pre")), ["page_id", "pre"])
+    span = ["page_id", "pre", "last"]
+    cells = nodes.filter(is_elem() & F.col("tag").isin("td", "th")).select(*span)
+    cells = cells.join(_texts(nodes, cells), ["page_id", "pre"], "left").select("page_id", "pre", F.coalesce("text", F.lit("")).alias("v"))
+    rows = gather(nodes.filter(is_elem() & (F.col("tag") == "tr")).select(*span), cells,
+                  lambda x, t: F.when(F.exists(x, lambda c: c != ""), F.array_join(x, " | ")), "v").filter("v is not null")
+    tab_txt = gather(tables.select(*span), rows.select("page_id", "pre", "v"), lambda x, t: F.array_join(x, "\n"), "text").select(
+        "page_id", F.col("pre").alias("b_pre"), "text")
 
     other = blk.filter(~F.col("b_tag").isin("ul", "ol", "table"))
-    other_txt = _texts(nodes, other.select("page_id", F.col("b_pre").alias("pre"))).withColumnRenamed("pre", "b_pre")
+    other_txt = _texts(nodes, other.select("page_id", F.col("b_pre").alias("pre"), *span_of)).withColumnRenamed("pre", "b_pre")
 
     structured = list_txt.unionByName(tab_txt).unionByName(other_txt)
     return (
@@ -95,7 +86,7 @@ def join_blocks(texts) -> F.Column:
 
 def _assemble(blocks: DataFrame, key: list[str]) -> DataFrame:
     return blocks.groupBy(*key).agg(
-        join_blocks(F.transform(F.array_sort(F.collect_list(F.struct("pre", F.col("text").alias("s")))), lambda x: x["s"])).alias(
+        join_blocks(F.transform(F.sort_array(F.collect_list(F.struct("pre", F.col("text").alias("s")))), lambda x: x["s"])).alias(
             "content")
     )
 
@@ -112,12 +103,12 @@ def sections(nodes: DataFrame, reg: DataFrame | None = None) -> DataFrame:
     """
     reg = detail_region(nodes) if reg is None else reg
     kids = nodes.join(reg, "page_id").filter(is_elem() & (F.col("parent") == F.col("r_pre")))
-    kids = kids.filter(F.col("tag").isin("h2", "h3", *BLOCK_TAGS)).select("page_id", "pre", "tag")
+    kids = kids.filter(F.col("tag").isin("h2", "h3", *BLOCK_TAGS)).select("page_id", "pre", "last", "tag")
     w = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kids = kids.withColumn("sec", F.sum(F.col("tag").isin("h2", "h3").cast("int")).over(w)).filter(F.col("sec") > 0)
     kids = materialize(kids, "section-blocks", sort=["page_id", "pre"])
     heads = kids.filter(F.col("tag").isin("h2", "h3"))
-    htext = _texts(nodes, heads.select("page_id", "pre"), anc_tags=["h2", "h3"])
+    htext = _texts(nodes, heads.select("page_id", "pre", "last"))
     titles = heads.join(htext, ["page_id", "pre"]).select("page_id", "sec", F.col("pre").alias("ord"), F.col("text").alias("title"))
     blocks = kids.filter(~F.col("tag").isin("h2", "h3"))
     btext = block_text(nodes, blocks)
@@ -132,17 +123,17 @@ def sections(nodes: DataFrame, reg: DataFrame | None = None) -> DataFrame:
     # fallback (B15) for pages without a primary section
     fb_pages = reg.select("page_id").join(primary.select("page_id").distinct(), "page_id", "left_anti")
     inreg = in_region(nodes.join(fb_pages, "page_id", "left_semi"), reg).filter(is_elem())
-    fh = inreg.filter(F.col("tag").isin("h2", "h3", "h4")).select("page_id", "pre", "parent")
-    fh_text = _texts(nodes, fh.select("page_id", "pre"), anc_tags=["h2", "h3", "h4"])
+    fh = inreg.filter(F.col("tag").isin("h2", "h3", "h4")).select("page_id", "pre", "last", "parent")
+    fh_text = _texts(nodes, fh.select("page_id", "pre", "last"))
     fh = fh.join(fh_text, ["page_id", "pre"]).filter(F.col("text") != "")
     # siblings under the same parent, sessionized by the heading before them
     sibs = nodes.join(fh.select("page_id", F.col("parent")).distinct(), ["page_id", "parent"]).filter(
-        is_elem()).select("page_id", "parent", "pre", "tag")
+        is_elem()).select("page_id", "parent", "pre", "last", "tag")
     sw = Window.partitionBy("page_id", "parent").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sibs = sibs.withColumn(
         "h_pre", F.max(F.when(F.col("tag").isin("h2", "h3", "h4"), F.col("pre"))).over(sw)
     ).filter(F.col("h_pre").isNotNull() & F.col("tag").isin(*BLOCK_TAGS))
-    fb_text = block_text(nodes, sibs.select("page_id", "pre", "tag"))
+    fb_text = block_text(nodes, sibs.select("page_id", "pre", "last", "tag"))
     fb_content = _assemble(sibs.join(fb_text, ["page_id", "pre"]), ["page_id", "h_pre"])
     fallback = (
         fh.join(fb_content, (fh.page_id == fb_content.page_id) & (fh.pre == fb_content.h_pre), "left")
@@ -161,14 +152,14 @@ def summary(nodes: DataFrame, reg: DataFrame | None = None) -> DataFrame:
     """
     reg = detail_region(nodes) if reg is None else reg
     h1 = first_match(in_region(nodes, reg), F.col("tag") == "h1", "h1")
-    ps = nodes.filter(is_elem() & (F.col("tag") == "p")).select("page_id", "pre")
+    ps = nodes.filter(is_elem() & (F.col("tag") == "p")).select("page_id", "pre", "last")
     nxt = (
         ps.join(h1, "page_id").filter(F.col("pre") > F.col("h1_pre"))
-        .groupBy("page_id").agg(F.min("pre").alias("pre"))
+        .groupBy("page_id").agg(F.min(F.struct("pre", "last")).alias("_p")).select("page_id", "_p.pre", "_p.last")
     )
     first5 = in_region(ps, reg).withColumn("_k", F.row_number().over(Window.partitionBy("page_id").orderBy("pre")))
-    first5 = first5.filter(F.col("_k") <= 5).select("page_id", "pre")
-    txt = _texts(nodes, nxt.unionByName(first5).distinct(), anc_tags=["p"])
+    first5 = first5.filter(F.col("_k") <= 5).select("page_id", "pre", "last")
+    txt = _texts(nodes, nxt.unionByName(first5).distinct())
     after_h1 = nxt.join(txt, ["page_id", "pre"]).filter(F.length("text") > 20).select("page_id", F.col("text").alias("_a"))
     fallback = (
         first5.join(txt, ["page_id", "pre"]).filter(F.length("text") > 20)
@@ -195,7 +186,7 @@ def detail_page(nodes: DataFrame, pages: DataFrame, category: DataFrame | None =
     reg = detail_region(kept)
     secs = sections(kept, reg)
     sec_arr = secs.groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "content"))),
+        F.transform(F.sort_array(F.collect_list(F.struct("ord", "title", "content"))),
                     lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content"))).alias("sections")
     )
     base = pages.select("page_id", F.col("url").alias("source_url"))

@@ -83,7 +83,7 @@ SELECT doc_id AS page_id, chr(10) || array_to_string(w, ' | ') || chr(10) || chr
 def q_table_text(spark, sf_dir):
     """Table text (rows of cells, a row of one empty cell kept) of every table."""
     nodes = derived_nodes(spark, sf_dir, "documents", synth.blocks_pages_generic, "generic", junk="generic")
-    tables = nodes.filter(is_elem() & (F.col("tag") == "table")).select("page_id", "pre")
+    tables = nodes.filter(is_elem() & (F.col("tag") == "table")).select("page_id", "pre", "last")
     return G.table_text(nodes, tables).select("page_id", "text")
 
 
