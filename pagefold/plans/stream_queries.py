@@ -48,13 +48,21 @@ def q_stream_dedupe_url(spark, sf_dir):
     return spark.read.parquet(out).select("url")
 
 
+@register("stream_dedupe_watermark", "SELECT DISTINCT event_id, ts FROM events")
+def q_stream_dedupe_watermark(spark, sf_dir):
+    """H2 with bounded state: event-time watermark over the events (RocksDB state store), each event once."""
+    out, ckpt = scratch_path(spark, "stream-watermark-out"), scratch_path(spark, "stream-watermark-ckpt")
+    schema = table(spark, sf_dir, "events").schema
+    stream_dedupe_url(spark, sf_dir, out, ckpt, schema, key="event_id", glob="events.parquet", watermark=("ts", "1 hour"))
+    return spark.read.parquet(out).select("event_id", F.col("ts").cast(schema["ts"].dataType).alias("ts"))
+
+
 @register("stream_job_latest", _JOBS_SQL + """
 SELECT job_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM lt""")
 def q_stream_job_latest(spark, sf_dir):
     """H3: the job status table maintained by a stateful streaming aggregation with upserts."""
     out, ckpt = scratch_path(spark, "stream-jobs-out"), scratch_path(spark, "stream-jobs-ckpt")
     schema = table(spark, sf_dir, "events").schema
-    path = stream_job_latest(spark, sf_dir, out, ckpt, schema, J.job_events, glob="events.parquet")
-    lt = spark.read.parquet(path)
+    lt = stream_job_latest(spark, sf_dir, out, ckpt, schema, J.job_events, glob="events.parquet")
     return lt.select("job_id", "status", J.format_date(F.col("created_at")).alias("created_at"),
                      J.format_date(F.col("updated_at")).alias("updated_at"))

@@ -28,7 +28,7 @@ def test_stream_matches_batch_and_survives_restart(spark):
 def test_job_latest_goes_on_after_restarts(spark):
     import datetime as dt
 
-    from pagefold.sources.versions import newest_version
+    from pagefold.sources import changelog
     from pagefold.streaming.stream import stream_job_latest
 
     schema = "job_id long, event_id long, ts timestamp, status string, value double"
@@ -40,19 +40,71 @@ def test_job_latest_goes_on_after_restarts(spark):
         spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{src}/{name}")
 
     def run():
-        path = stream_job_latest(spark, src + "/*", out, ckpt, kind, lambda d: d)
-        return path, sorted((r.job_id, r.status) for r in spark.read.parquet(path).collect()) if path else []
+        latest = stream_job_latest(spark, src + "/*", out, ckpt, kind, lambda d: d)
+        return sorted((r.job_id, r.status) for r in latest.collect()) if latest else []
 
     put("a", [(1, 1, t0, "queued", 0.0), (2, 2, t0, "queued", 0.0)])
-    assert run()[1] == [(1, "queued"), (2, "queued")]
+    assert run() == [(1, "queued"), (2, "queued")]
     put("b", [(3, 3, t0, "queued", 0.0), (1, 4, t0 + dt.timedelta(seconds=1), "failed", 1.0)])
-    path, rows = run()
-    assert rows == [(1, "failed"), (2, "queued"), (3, "queued")]
-    assert run() == (path, rows)  # nothing new: the newest version stays
-    # a replayed batch starts from the version before its own
-    number = int(path.rsplit("=", 1)[1])
-    assert newest_version(spark, out, below=number) != path
-    assert newest_version(spark, scratch_path(spark, "jobs-none")) == ""
+    assert run() == [(1, "failed"), (2, "queued"), (3, "queued")]
+    runs = changelog.finished_runs(spark, out)
+    assert run() == [(1, "failed"), (2, "queued"), (3, "queued")]  # nothing new
+    # the second batch wrote its changed jobs only, and the table as of the first is still there
+    assert spark.read.parquet(changelog.run_folder(out, *runs[-1])).count() == 2
+    assert sorted((r.job_id, r.status) for r in changelog.read(spark, out, "job_id", upto=runs[0][1]).collect()) == [(1, "queued"), (2, "queued")]
+
+
+def test_changelog_merges_and_replays(spark):
+    import random
+
+    from pagefold.sources import changelog
+
+    path, rng, table, sizes = scratch_path(spark, "changelog"), random.Random(4), {}, []
+    assert changelog.read(spark, path, "k") is None
+    batches = []
+    for n in range(20):
+        keys = rng.sample(range(60), 5) + [1000 + n]  # the table grows, a batch doesn't
+        batches.append([(k, f"{n}-{k}", None if k % 7 == 0 else n) for k in keys])
+        changelog.append(spark.createDataFrame(batches[-1], "k long, a string, b int").coalesce(1), path, n, "k", fan=3)
+        table.update({k: (k, a, b) for k, a, b in batches[-1]})
+        sizes.append(spark.read.parquet(changelog.run_folder(path, n, n)).count())
+        if n in (0, 8, 19):
+            assert sorted(map(tuple, changelog.read(spark, path, "k").collect())) == sorted(table.values())
+    assert set(sizes) == {6} and len(table) > 60
+    runs = changelog.finished_runs(spark, path)
+    assert changelog.visible_runs(runs) == [(0, 8), (9, 17), (18, 18), (19, 19)]
+    # a replayed batch, a merge that never finished and a vacuum change nothing
+    changelog.append(spark.createDataFrame(batches[17], "k long, a string, b int"), path, 17, "k", fan=3)
+    spark.createDataFrame([(1, "bad", 1)], "k long, a string, b int").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(changelog.run_folder(path, 18, 20))
+    assert changelog.vacuum(spark, path) > 0
+    assert sorted(map(tuple, changelog.read(spark, path, "k").collect())) == sorted(table.values())
+
+
+def test_watermark_bounds_the_state(spark):
+    import datetime as dt
+
+    src, out, ckpt = (scratch_path(spark, f"water-{x}") for x in ("src", "out", "ckpt"))
+    schema = "url string, ts timestamp"
+    t0 = dt.datetime(2024, 1, 1)
+
+    def put(name, rows):
+        spark.createDataFrame([(u, t0 + dt.timedelta(minutes=m)) for u, m in rows], schema).coalesce(1).write.parquet(f"{src}/{name}")
+
+    def run():
+        kind = spark.createDataFrame([], schema).schema
+        return stream_dedupe_url(spark, src + "/*", out, ckpt, kind, watermark=("ts", "10 minutes"), max_files=1)
+
+    for n in range(6):  # an hour a file, each with a repeat and a row of its own
+        put(f"{n}", [(f"own{n}", 60 * n), (f"own{n}", 60 * n + 1), ("always", 60 * n + 2)])
+    states = run()
+    assert max(states) <= 4  # two keys a file; those of the hour before are forgotten
+    put("late", [("late", 5), ("always", 303), ("new", 304)])  # far behind the watermark; repeated within the delay; new
+    run()
+    rows = [r.url for r in spark.read.parquet(out).collect()]
+    # late rows go; a key is forgotten some time after the delay (the watermark moves between batches), never before
+    assert sorted(r for r in rows if r != "always") == sorted([f"own{n}" for n in range(6)] + ["new"])
+    assert 1 < rows.count("always") <= 6
 
 
 def test_one_malformed_page_fails_alone(spark):
