@@ -61,10 +61,14 @@ def _responses(spark, sf_dir):
     body = F.to_json(F.struct(F.col("event_type").alias("content_type"), F.col("props").alias("summary"),
                               F.struct(F.col("value").alias("k"), F.col("user_id").alias("u")).alias("structured_data")))
     case = F.col("event_id") % 8
+    # half of two cases in JSON that only a lenient reader takes: repeated keys (the last one counts) and NaN
+    odd = F.col("event_id") % 16 < 8
+    twice = F.concat(F.lit('{"content_type": 7, "summary": "old", '), F.substring(body, 2, 1 << 30))
+    nan = F.regexp_replace(body, '"k":[^,}]*', '"k": NaN')
     resp = (
         F.when(case == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")))
-        .when(case == 1, F.concat(F.lit("```\n"), body, F.lit("\n```")))
-        .when(case == 2, body)
+        .when(case == 1, F.concat(F.lit("```\n"), F.when(odd, nan).otherwise(body), F.lit("\n```")))
+        .when(case == 2, F.when(odd, twice).otherwise(body))
         .when(case == 3, F.concat(F.lit("```json\n"), body, F.lit(" .")))
         .when(case == 4, F.concat(F.lit("{not json "), F.col("event_type")))
         .when(case == 5, F.lit("[1, 2, 3]"))
