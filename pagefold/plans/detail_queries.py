@@ -134,6 +134,13 @@ def q_listing_links(spark, sf_dir):
     return _listing(spark, sf_dir)[1]
 
 
+@register("listing_pattern", _LISTING_SQL + " AND regexp_matches('/d/' || doc_id || '/' || i || '?x=1#f', '/[0-9]*[05][?]x')")
+def q_listing_pattern(spark, sf_dir):
+    """C2 with ``link_pattern``: only links whose href a regular expression finds (a search, not a full match)."""
+    pages = synth.listing_pages(table(spark, sf_dir, "documents"))
+    return listing_links(derived_nodes(spark, sf_dir, "documents", synth.listing_pages, "detail"), pages, link_pattern=r"/[0-9]*[05][?]x")
+
+
 @register("listing_limit", "WITH q AS (" + _LISTING_SQL + ") SELECT * FROM q WHERE pos < 3")
 def q_listing_limit(spark, sf_dir):
     """First N=3 listings of every listing page, in document order."""

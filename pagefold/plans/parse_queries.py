@@ -140,3 +140,60 @@ def q_categorize_links(spark, sf_dir):
     pages = scan_pages(spark, sf_dir)
     out = categorize_links(corpus_nodes(spark, sf_dir), pages, "same_path")
     return out.select("page_id", "bucket", "url", "text", "context")
+
+
+_FOLLOWED = _LINK_COUNTS.rsplit("SELECT page_id, count(*)", 1)[0]
+
+
+@register("categorize_follow_all", _FOLLOWED + """SELECT page_id, 'structural' AS bucket, abs_url AS url FROM q WHERE lhost = host""")
+def q_categorize_follow_all(spark, sf_dir):
+    """C10 with ``follow_all`` (same_domain): every followable link is structural, whatever it looks like."""
+    pages = scan_pages(spark, sf_dir)
+    out = categorize_links(corpus_nodes(spark, sf_dir), pages, "same_domain", follow_all=True)
+    return out.select("page_id", "bucket", "url")
+
+
+#: One link for each selector of the structural list (holders may stand outside the link, and a selector with an
+#: ancestor needs a descendant of the link), and links that only look alike: markup around ``{a}``, inside the link, flag.
+STRUCTURAL_LINKS = [
+    ("{a}", "<button data-tab=1>x</button>", True), ("{a}", "<button>x</button>", False),
+    ("{a}", "<a role=tab>x</a>", True), ("{a}", "<i role=tab>x</i>", False),
+    ("<li role=tab>{a}</li>", "<a>x</a>", True), ("<li role=tab>{a}</li>", "x", False), ("<li role=row>{a}</li>", "<a>x</a>", False),
+    ("{a}", "<i class=tab-button>x</i>", True), ("{a}", "<i class=tab-buttons>x</i>", False),
+    ("<ul class=nav-tabs>{a}</ul>", "<a>x</a>", True), ("<ul class=nav-tab>{a}</ul>", "<a>x</a>", False),
+    ("{a}", "<button aria-expanded=true>x</button>", True), ("{a}", "<div aria-expanded=true>x</div>", False),
+    ("{a}", "<summary>x</summary>", True), ("<details><summary>{a}</summary></details>", "x", True), ("<details>{a}</details>", "x", False),
+    ("{a}", "<i class=accordion-button>x</i>", True),
+    ("<div class=accordion-header>{a}</div>", "<button>x</button>", True), ("{a}", "<p class=accordion-header><button>x</button></p>", True),
+    ("<div class=accordion-header>{a}</div>", "<i>x</i>", False), ("<div class=accordion>{a}</div>", "<button>x</button>", False),
+    ("<nav class=section-nav>{a}</nav>", "<a>x</a>", True), ("<div class=section-nav>{a}</div>", "<a>x</a>", False),
+    ("<div class=section-menu>{a}</div>", "<a>x</a>", True), ("<div class=sidebar-nav><p>{a}</p></div>", "<b><a>x</a></b>", True),
+    ("<div class=table-of-contents>{a}</div>", "<a>x</a>", True), ("<div class=table-of-contents></div>{a}", "<a>x</a>", False),
+    ("{a}", "<i class='card clickable'>x</i>", True), ("{a}", "<i class=card>x</i>", False),
+    ("{a}", "<a class=section-card>x</a>", True), ("{a}", "<i class=section-card>x</i>", False),
+    ("{a}", "<a class=tile>x</a>", True), ("{a}", "<i class=tile>x</i>", False),
+    ("<p class=next-section>{a}</p>", "<a>x</a>", True), ("<p class=related-section>{a}</p>", "<a>x</a>", True),
+    ("<p class=sub-section>{a}</p>", "<a>x</a>", True), ("<p class=subsection>{a}</p>", "<a>x</a>", False),
+]
+
+
+def structural_pages(documents):
+    """A page per document that holds each of ``STRUCTURAL_LINKS`` in a div of its own."""
+    did = F.col("doc_id").cast("string")
+    parts = []
+    for k, (around, inside, _) in enumerate(STRUCTURAL_LINKS):
+        before, after = around.split("{a}")
+        parts += [F.lit(f'<div>{before}<a href="/p/{k}/'), did, F.lit(f'">{inside}</a>{after}</div>')]
+    return documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://h.org/p/"), did).alias("url"), F.concat(*parts).alias("html"))
+
+
+@register("structural_flag", "SELECT doc_id AS page_id, '/p/' || k || '/' || doc_id AS href, structural FROM documents, (VALUES "
+          + ", ".join(f"({k}, {flag})" for k, (_, _, flag) in enumerate(STRUCTURAL_LINKS)) + ") v(k, structural)")
+def q_structural_flag(spark, sf_dir):
+    """C8(a): selectors with combinators, each with counter-examples, on a page per document."""
+    from pagefold.operators.links import structural_flag
+    from pagefold.plans.stage import derived_nodes
+
+    nodes = derived_nodes(spark, sf_dir, "documents", structural_pages, "generic")
+    anchors = link_scan(nodes)
+    return structural_flag(nodes, anchors).join(anchors.select("page_id", "pre", "href"), ["page_id", "pre"]).select("page_id", "href", "structural")
