@@ -12,18 +12,17 @@ sits at its first occurrence; children of one parent come in link order).
 Edges.  The reference follows links under a filter; on a corpus whose hrefs
 do not hit other corpus pages, the graph is derived from URLs: page ``a``
 links to every other page ``b`` of the same host whose path (trailing '/'
-removed) starts with ``a``'s parent path (the ``same_path`` rule).  Instead
-of materialising those pairs (quadratic inside a host), each page is
-indexed under every character prefix of its path that is some page's
-parent path; a level then expands with one equi-join on ``(host, prefix)``
-— linear in pages, whatever the host sizes.  Real link tables (C10 output)
-go through :func:`bfs_over_links` with the same level logic.
+removed) starts with ``a``'s parent path (the ``same_path`` rule).  Neither
+these pairs (quadratic inside a host) nor any index of path prefixes is
+built: a level is a range of the start host's paths, the ones under the
+frontier's parent paths (:func:`open_prefixes`).  Real link tables (C10 output) go
+through :func:`bfs_over_links` with the same level logic.
 
 The loop runs at most ``depth + 1`` times (depth ≤ 5).  Each level cuts the
 budget in rank order: it keeps candidates up to the ``remaining``-th
-successful one (top-k with k ≤ max_pages, never a global sort).  Frontier and
-visited set are checkpointed per level (reliable checkpoint in the shared
-checkpoint folder) so lineage stays flat and a lost executor re-reads files.
+successful one (top-k with k ≤ max_pages, never a global sort).  Only what is
+kept of a level is written, once (reliable checkpoint in the shared
+checkpoint folder), so lineage stays flat and a lost executor re-reads files.
 """
 
 from __future__ import annotations
@@ -48,23 +47,19 @@ def page_index(pages: DataFrame) -> DataFrame:
     ).withColumn("parent", parent_dir(F.col("path")))
 
 
-def prefix_index(idx: DataFrame) -> DataFrame:
-    """``(host, prefix, page_id, url)``: each page under every path prefix that is a parent path.
+def open_prefixes(parents: list, expanded: list[str]) -> list:
+    """The ``(parent, rank, url)`` rows, best rank first, whose parent path lies under none of ``expanded``: the pages
+    below an expanded path were all candidates of an earlier level already.
 
-    A page ``b`` is linked from ``a`` iff ``(host(a), parent(a))`` appears
-    here with ``b``.  Rows per page ≤ path length + 1, filtered by a
-    semi-join on the distinct parent paths.
+    A page under the prefix P has a parent path under P, too, unless it has no further '/', and then
+    its parent is P's: so a level leaves one open prefix for each prefix of the level before.
     """
-    parents = idx.select("host", F.col("parent").alias("prefix")).distinct()
-    prefixes = idx.select(
-        "host",
-        "page_id",
-        "url",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring(F.col("path"), 1, k))
-        ).alias("prefix"),
-    ).distinct()
-    return prefixes.join(parents, ["host", "prefix"], "left_semi")
+    rows = sorted((r for r in parents if not any(r["parent"].startswith(p) for p in expanded)), key=lambda r: r["rank"])
+    out: list = []
+    for r in rows:  # a prefix under a better-ranked one adds nothing
+        if not any(r["parent"].startswith(o["parent"]) for o in out):
+            out.append(r)
+    return out
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -86,26 +81,34 @@ def bfs_pages(
     successfully.  Returns the crawl log: one row per dequeued URL in crawl
     order (``seq``), ``status`` ok/failed, ``parent_url`` as the reference
     records it (NULL at depth 0, else the start URL), ``via_url`` the true
-    discovering parent.
+    discovering parent.  Only the start URL's host is kept and looked at.
     """
-    idx = _checkpoint(page_index(link_side))
-    pref = _checkpoint(prefix_index(idx))
-
-    def expand(frontier: DataFrame) -> DataFrame:
-        keys = (
-            frontier.join(idx.select("page_id", "host", "parent"), "page_id")
-            .groupBy("host", F.col("parent").alias("prefix"))
-            .agg(F.min(F.struct("rank", "url")).alias("_p"))
-        )
-        return (
-            keys.join(pref, ["host", "prefix"])
-            .groupBy("page_id", "url")
-            .agg(F.min("_p").alias("_p"))
-            .select("page_id", "url", F.concat(F.col("_p.rank"), F.array(F.col("page_id"))).alias("rank"),
-                    F.col("_p.url").alias("via_url"))
-        )
-
-    return _bfs_loop(idx, corpus, start_url, depth, max_pages, expand)
+    spark = link_side.sparkSession
+    host = spark.range(1).select(url_netloc(F.lit(start_url)).alias("h")).first()["h"]
+    key = "page_id" if "page_id" in corpus.columns else "url"
+    fetched = corpus.select(key).distinct().withColumn("_ok", F.lit(True))
+    here = page_index(link_side).filter(F.col("host") == host)
+    idx = _checkpoint(here.join(fetched, key, "left").select(
+        "page_id", "url", "path", "parent", F.when(F.col("_ok"), "ok").otherwise("failed").alias("status")))
+    expanded: list[str] = []
+
+    def expand(frontier: DataFrame) -> DataFrame | None:
+        # at most max_pages frontier rows, so at most that many parent paths
+        found = (frontier.join(idx.select("page_id", "url", "parent"), ["page_id", "url"])
+                 .groupBy("parent").agg(F.min(F.struct("rank", "url")).alias("p")).select("parent", "p.rank", "p.url").collect())
+        opened = open_prefixes(found, expanded)
+        if not opened:
+            return None
+        expanded.extend(r["parent"] for r in opened)
+        via = F.lit(None)
+        for r in reversed(opened):
+            under = F.col("path").startswith(r["parent"])
+            via = F.when(under, F.struct(F.array(*(F.lit(x).cast("long") for x in r["rank"])).alias("rank"), F.lit(r["url"]).alias("url"))).otherwise(via)
+        hit = idx.withColumn("_p", via).filter("_p is not null")
+        return hit.groupBy("page_id", "url", "status").agg(F.first("_p").alias("_p")).select(
+            "page_id", "url", F.concat("_p.rank", F.array("page_id")).alias("rank"), F.col("_p.url").alias("via_url"), "status")
+
+    return _bfs_loop(idx, start_url, depth, max_pages, expand)
 
 
 def bfs_over_links(
@@ -120,10 +123,12 @@ def bfs_over_links(
     ``corpus(page_id, url)`` are the fetchable pages.  A URL absent from the
     corpus is a failed fetch (D3).  Ranks use the link position ``pos``.
     """
+    links = _checkpoint(links.select("src_url", "dst_url", "pos"))  # read again by every level
     urls = links.select(F.col("dst_url").alias("url")).union(corpus.select("url")).distinct()
     idx = _checkpoint(
         urls.join(corpus.select("url", "page_id"), "url", "left").select(
-            F.coalesce("page_id", F.lit(-1) - F.abs(F.xxhash64("url"))).alias("page_id"), "url")
+            F.coalesce("page_id", F.lit(-1) - F.abs(F.xxhash64("url"))).alias("page_id"), "url",
+            F.when(F.col("page_id").isNotNull(), "ok").otherwise("failed").alias("status"))
     )
 
     def expand(frontier: DataFrame) -> DataFrame:
@@ -133,50 +138,41 @@ def bfs_over_links(
             .agg(F.min(F.struct("rank", "pos", "src_url")).alias("_p"))
             .join(idx, "url")
             .select("page_id", "url", F.concat(F.col("_p.rank"), F.array(F.col("_p.pos").cast("long"))).alias("rank"),
-                    F.col("_p.src_url").alias("via_url"))
+                    F.col("_p.src_url").alias("via_url"), "status")
         )
 
-    return _bfs_loop(idx, corpus, start_url, depth, max_pages, expand)
+    return _bfs_loop(idx, start_url, depth, max_pages, expand)
 
 
-def _bfs_loop(idx, corpus, start_url, depth, max_pages, expand) -> DataFrame:
+def _bfs_loop(idx, start_url, depth, max_pages, expand) -> DataFrame:
+    """``idx(page_id, url, status)``; ``expand`` maps a frontier to its candidates, or None when there are none."""
     spark = idx.sparkSession
-    ok_ids = corpus.select("page_id").distinct().withColumn("_ok", F.lit(True)) if "page_id" in corpus.columns else None
-    ok_urls = corpus.select("url").distinct().withColumn("_ok", F.lit(True)) if ok_ids is None else None
-
-    def with_status(df: DataFrame) -> DataFrame:
-        if ok_ids is not None:
-            df = df.join(ok_ids, "page_id", "left")
-        else:
-            df = df.join(ok_urls, "url", "left")
-        return df.withColumn("status", F.when(F.col("_ok"), "ok").otherwise("failed")).drop("_ok")
-
-    start = idx.filter(F.col("url") == start_url).select("page_id", "url").limit(1)
+    start = idx.filter(F.col("url") == start_url).select("page_id", "url", "status").limit(1)
     if start.isEmpty():
-        start = spark.createDataFrame([(-1, start_url)], "page_id long, url string")
-    level = with_status(
-        start.select("page_id", "url", F.array(F.col("page_id")).alias("rank"), F.lit(None).cast("string").alias("via_url"))
-    ).withColumn("depth", F.lit(0))
-    level = _checkpoint(level)
+        start = spark.createDataFrame([(-1, start_url, "failed")], "page_id long, url string, status string")
+    level = _checkpoint(start.select(
+        "page_id", "url", F.array("page_id").alias("rank"), F.lit(None).cast("string").alias("via_url"), "status", F.lit(0).alias("depth")))
     levels = [level]
-    visited = level.select("url")
     done = level.filter(F.col("status") == "ok").count()
     d = 0
     while d < depth and done < max_pages:
-        frontier = level.filter(F.col("status") == "ok").select("page_id", "url", "rank")
-        cand = expand(frontier).join(visited, "url", "left_anti")
-        cand = _checkpoint(with_status(cand).withColumn("depth", F.lit(d + 1)))
+        cand = expand(level.filter(F.col("status") == "ok").select("page_id", "url", "rank"))
+        if cand is None:
+            break
+        visited = levels[0].select("url")
+        for lv in levels[1:]:
+            visited = visited.union(lv.select("url"))
+        cand = cand.join(visited, "url", "left_anti").withColumn("depth", F.lit(d + 1))
         remaining = max_pages - done
         top = cand.filter(F.col("status") == "ok").orderBy("rank").limit(remaining)
         stats = top.agg(F.count("*").alias("n"), F.max("rank").alias("r")).first()
         if stats["n"] == remaining:
             cand = cand.filter(F.col("rank") <= F.array(*[F.lit(x).cast("long") for x in stats["r"]]))
-        level = _checkpoint(cand)
+        level = _checkpoint(cand.select(level.columns))
         if level.isEmpty():
             break
         levels.append(level)
-        visited = _checkpoint(visited.union(level.select("url")))
-        done += int(stats["n"]) if stats["n"] is not None else 0
+        done += int(stats["n"])
         d += 1
     out = levels[0]
     for lv in levels[1:]:

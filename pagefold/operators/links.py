@@ -24,16 +24,19 @@ STRUCTURAL_HOLDER_CLASSES = ["nav-tabs", "section-menu", "sidebar-nav", "table-o
 BUTTON_HOLDER_CLASS = "accordion-header"
 
 
-def link_scan(nodes: DataFrame) -> DataFrame:
+def link_scan(nodes: DataFrame, texts: bool = True) -> DataFrame:
     """Every ``a[href]`` in document order with its ``get_text(strip=True)``.
 
-    Output ``(page_id, pre, last, href, text, classes, ctx)``.
+    Output ``(page_id, pre, last, href, text, classes, ctx)``; without ``texts`` no ``text``, which costs
+    one filtered scan only.
     """
     anchors = nodes.filter(is_elem() & (F.col("tag") == "a") & has_attr("href")).select(
         "page_id", "pre", "last", attr("href").alias("href"), "classes", "ctx"
     )
-    texts = subtree_text(nodes, anchors)
-    return anchors.join(texts, ["page_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    if not texts:
+        return anchors
+    found = subtree_text(nodes, anchors)
+    return anchors.join(found, ["page_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def ignore_flag(href: Column) -> Column:

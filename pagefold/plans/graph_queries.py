@@ -9,8 +9,8 @@ from pagefold.functions.urls import url_filename, url_netloc, with_resolved_url
 from pagefold.operators.graph import bfs_over_links, bfs_pages, crawl_metadata, failed_urls
 from pagefold.operators.links import link_scan
 from pagefold.plans.registry import register
-from pagefold.plans.stage import corpus_nodes
-from pagefold.sources.tables import scan_pages
+from pagefold.plans.stage import corpus_nodes, derived_nodes
+from pagefold.sources.tables import scan_pages, table
 
 # Crawl job parameters used by the registered queries (limits: depth ≤ 5, max_pages ≤ 500; the default budget is 50).
 CRAWL_DEPTH = 5
@@ -65,7 +65,7 @@ def q_bfs_pages(spark, sf_dir):
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(src_url, dst_url, pos)``: every page's parsed links, resolved, each at its first position."""
     pages = scan_pages(spark, sf_dir)
-    links = link_scan(corpus_nodes(spark, sf_dir)).join(pages.select("page_id", "url"), "page_id")
+    links = link_scan(corpus_nodes(spark, sf_dir), texts=False).join(pages.select("page_id", "url"), "page_id")
     resolved = with_resolved_url(links, "href", "url", "dst_url").filter(F.regexp_like("dst_url", F.lit("^https?://")))
     return resolved.groupBy(F.col("url").alias("src_url"), "dst_url").agg(F.min("pre").alias("pos"))
 
@@ -99,6 +99,47 @@ def q_bfs_links(spark, sf_dir):
     return link_crawl(spark, sf_dir).select("seq", "url", "depth", "status")
 
 
+# A graph that the parsed links do hit: page d links to 2d+1, to a page that isn't there, to 2d+2 and back to d/2.
+_DEEP_HREFS = ["'/n/' || (2 * {d} + 1)", "'/x/' || {d}", "'/n/' || (2 * {d} + 2)", "'/n/' || ({d} // 2)"]
+
+
+def graph_pages(documents: DataFrame) -> DataFrame:
+    """A page ``/n/{doc_id}`` per document with the four links above."""
+    d = F.col("doc_id")
+    hrefs = [F.concat(F.lit("/n/"), 2 * d + 1), F.concat(F.lit("/x/"), d), F.concat(F.lit("/n/"), 2 * d + 2),
+             F.concat(F.lit("/n/"), F.floor(d / 2))]
+    html = F.concat(*(F.concat(F.lit('<p><a href="'), h, F.lit('">x</a></p>')) for h in hrefs))
+    return documents.select(d.alias("page_id"), F.concat(F.lit("https://h.org/n/"), d).alias("url"), html.alias("html"))
+
+
+def _deep_sql(depth: int, max_pages: int) -> str:
+    links = "unnest([" + ", ".join(h.format(d="d") for h in _DEEP_HREFS) + "]) AS href, unnest([0, 1, 2, 3]) AS pos"
+    parts = ["""WITH pg AS (SELECT doc_id, '/n/' || doc_id AS href FROM documents),
+l0 AS (SELECT href, 0 AS depth, [CAST(0 AS BIGINT)] AS rank, 1 AS ok, doc_id AS d FROM pg ORDER BY doc_id LIMIT 1),
+v0 AS (SELECT href, ok FROM l0)"""]
+    for k in range(1, depth + 1):
+        parts.append(f"""e{k} AS (SELECT rank, {links} FROM l{k-1} WHERE ok = 1),
+c{k} AS (SELECT e.href, min(list_append(rank, CAST(pos AS BIGINT))) AS rank, CAST(any_value(pg.href) IS NOT NULL AS INTEGER) AS ok, any_value(doc_id) AS d
+  FROM e{k} e LEFT JOIN pg ON pg.href = e.href WHERE e.href NOT IN (SELECT href FROM v{k-1}) GROUP BY e.href),
+s{k} AS (SELECT *, sum(ok) OVER (ORDER BY rank) AS n, {max_pages} - (SELECT sum(ok) FROM v{k-1}) AS rest FROM c{k}),
+l{k} AS (SELECT href, {k} AS depth, rank, ok, d FROM s{k} WHERE n < rest OR (n = rest AND ok = 1)),
+v{k} AS (SELECT * FROM v{k-1} UNION ALL SELECT href, ok FROM l{k})""")
+    union = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(depth + 1))
+    return ",\n".join(parts) + f""", a AS ({union})
+SELECT CAST(row_number() OVER (ORDER BY depth, rank) - 1 AS INTEGER) AS seq, 'https://h.org' || href AS url, depth,
+  CASE WHEN ok = 1 THEN 'ok' ELSE 'failed' END AS status FROM a"""
+
+
+@register("bfs_links_deep", _deep_sql(CRAWL_DEPTH, CRAWL_MAX_PAGES))
+def q_bfs_links_deep(spark, sf_dir):
+    """D1 + D2 + D3 over parsed links, five levels deep, with failures inside the queue and a budget that cuts a level."""
+    pages = graph_pages(table(spark, sf_dir, "documents")).select("page_id", "url")
+    links = link_scan(derived_nodes(spark, sf_dir, "documents", graph_pages, "generic"), texts=False).join(pages, "page_id")
+    resolved = with_resolved_url(links, "href", "url", "dst_url").groupBy(F.col("url").alias("src_url"), "dst_url").agg(F.min("pre").alias("pos"))
+    start = pages.orderBy("page_id").first()["url"]
+    return bfs_over_links(resolved, pages, start, CRAWL_DEPTH, CRAWL_MAX_PAGES).select("seq", "url", "depth", "status")
+
+
 @register("failed_urls", _LINK_CRAWL_SQL + "SELECT seq, url, depth FROM q WHERE status = 'failed'")
 def q_failed_urls(spark, sf_dir):
     """D3: URLs dequeued in the link crawl but not in the corpus."""

@@ -60,3 +60,26 @@ def test_crawl_over_links_keeps_failures(spark):
     assert [r.url for r in failed_urls(crawl).collect()] == ["x", "y"]
     meta = crawl_metadata(crawl, started_at=10.0, finished_at=12.5).first()
     assert (meta.total_pages, meta.failed_urls, meta.duration_seconds) == (3, ["x", "y"], 2.5)
+
+
+def test_only_open_prefixes_are_expanded():
+    from pagefold.operators.graph import open_prefixes
+
+    rows = [{"parent": p, "rank": r, "url": p} for p, r in (("/a/b", [0, 3]), ("/a/b/c", [0, 1]), ("/a", [0, 2]), ("/a/bb", [0, 0]), ("/z", [0, 9]))]
+    assert [r["parent"] for r in open_prefixes(rows, ["/a/b"])] == ["/a", "/z"]  # all under /a/b were candidates before
+    assert [r["parent"] for r in open_prefixes(rows, [])] == ["/a/bb", "/a/b/c", "/a", "/z"]  # best rank first; /a/b lies under /a
+    assert open_prefixes(rows, [""]) == []
+
+
+def test_crawl_looks_at_the_start_host_only(spark, monkeypatch):
+    from pagefold.operators import graph
+
+    urls = [(i, f"https://h{i % 40}.org/a/{i}") for i in range(400)] + [(1000 + i, f"https://h1.org/b/{i}") for i in range(5)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    written, plain = [], graph._checkpoint
+    monkeypatch.setattr(graph, "_checkpoint", lambda df: written.append(out := plain(df)) or out)
+    got = bfs_pages(pages, pages.select("page_id"), "https://h1.org/a/1", 5, 8).orderBy("seq").collect()
+    table = {u: i for i, u in urls}
+    assert [(r.url, r.depth, r.status) for r in got] == brute_force(table, set(table), "https://h1.org/a/1", 5, 8)
+    assert written[0].count() == 15  # the index: pages of the start host
+    assert sum(w.count() for w in written[1:]) == 8  # a level is written once, after the budget's cut
