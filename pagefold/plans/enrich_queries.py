@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagefold.operators import enrich as EN
 from pagefold.operators import generic as G
 from pagefold.operators.graph import crawl_metadata
+from pagefold.operators.nodes import html_nodes
 from pagefold.operators.sections import sections
 from pagefold.plans import synth
 from pagefold.plans.detail_queries import _LINES
@@ -146,8 +147,9 @@ def q_combine_content(spark, sf_dir):
 def _crawl_job(spark, sf_dir):
     c = crawl(spark, sf_dir).filter(F.col("status") == "ok")
     pages = scan_pages(spark, sf_dir).join(c.select("page_id", "seq", "depth", "parent_url"), "page_id")
-    gp = G.generic_page(corpus_nodes(spark, sf_dir, "generic"), pages.select("page_id", "url"),
-                        kept=corpus_nodes(spark, sf_dir, "generic", junk="generic"), lines=corpus_lines(spark, sf_dir))
+    # only the crawled pages (max_pages at most) are parsed
+    nodes = materialize(html_nodes(pages.select("page_id", "html"), "generic"), "crawl-nodes", sort=["page_id", "pre"])
+    gp = G.generic_page(nodes, pages.select("page_id", "url"))
     gp = gp.drop("depth", "parent_url").join(pages.select("page_id", "seq", "depth", "parent_url"), "page_id")
     enriched = materialize(EN.enrich_pages(gp).withColumn("job", F.lit(1)), "enriched")
     start = c.filter(F.col("depth") == 0).select("url").first()["url"]

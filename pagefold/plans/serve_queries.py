@@ -128,6 +128,26 @@ def q_scan_records(spark, sf_dir):
                    F.count("source_url").alias("n_urls"))
 
 
+@register("scan_record_files", """SELECT 'conv ' || conv_id AS title, CAST(count(*) AS INTEGER) AS n_sections,
+  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS content, NULL AS problem FROM conversations GROUP BY conv_id
+UNION ALL SELECT NULL, NULL, NULL, unnest(['empty', 'malformed'])""")
+def q_scan_record_files(spark, sf_dir):
+    """A2, one document per file: a record per conversation written to a file of its own, then one cut off in the middle
+    and one empty file; fields of the good ones and the list of the bad."""
+    path = scratch_path(spark, "record-files")
+    section = F.struct("turn", F.struct(F.col("role").alias("title"), F.col("text").alias("content")).alias("s"))
+    recs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(section)), lambda x: x["s"]).alias("sections"))
+    recs = recs.select("conv_id", F.to_json(F.struct(F.concat(F.lit("conv "), "conv_id").alias("title"), "sections"), {"pretty": "true"}).alias("value"))
+    recs.write.mode("overwrite").partitionBy("conv_id").text(path + "/good")
+    for name, text in (("cut", recs.limit(1).select(F.substring("value", 1, 20).alias("value"))), ("empty", recs.limit(1).select(F.lit("").alias("value")))):
+        text.write.mode("overwrite").text(f"{path}/{name}")
+    got = R.scan_records(spark, path, glob="*.txt")
+    line = F.transform("sections", lambda s: F.concat(s["title"], F.lit(": "), s["content"]))
+    good = got.filter("_bad is null").select("title", F.size("sections").alias("n_sections"), F.array_join(line, "\n").alias("content"), F.lit(None).cast("string").alias("problem"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("n_sections", "int"), ("content", "string"))]
+    return good.unionByName(R.bad_files(got).select(*none, "problem"))
+
+
 @register("completed_source", _COMPLETED_SQL + """
 SELECT 'missing' AS state, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'written', count(DISTINCT url) FROM done""")
 def q_completed_source(spark, sf_dir):

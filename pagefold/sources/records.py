@@ -26,21 +26,30 @@ def scan_records(spark: SparkSession, path: str, schema: T.StructType = CONTENT_
                  glob: str | None = "*.json") -> DataFrame:
     """A2: every record of a stage folder in the fixed schema.
 
-    ``multi_line=True`` reads the one-document-per-file layout; ``False``
-    reads JSON lines (the layout Spark writes — prefer it at scale, it splits
+    ``multi_line=True`` reads the one-document-per-file layout: files are read whole, many small
+    ones to a task (``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes`` pack them);
+    ``False`` reads JSON lines (the layout Spark writes — prefer it at scale, it splits
     files).  A malformed record does not stop the scan: its raw text lands
-    in ``_bad`` and the fields are NULL.  The file name is kept as ``file``.
+    in ``_bad`` ('' for an empty file) and the fields are NULL; ``bad_files`` lists them.  The file
+    name is kept as ``file``.
     """
-    reader = (
-        spark.read.schema(schema)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .option("recursiveFileLookup", True)
-    )
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.json(path).withColumn("file", F.input_file_name())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    if not multi_line:
+        return reader.schema(schema).options(multiLine=False, **options).json(path).withColumn("file", F.input_file_name())
+    whole = reader.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    read = whole.withColumn("_r", F.from_json("value", schema, options))
+    raw = F.when(F.col("_r").isNull() | F.col("_r._bad").isNotNull() | (F.trim("value") == ""), F.col("value"))
+    fields = [f.name for f in schema.fields if f.name != "_bad"]
+    return read.select(*(F.when(raw.isNull(), F.col(f"_r.{c}")).alias(c) for c in fields), raw.alias("_bad"), "file")
+
+
+def bad_files(records: DataFrame) -> DataFrame:
+    """``(file, problem)`` of the records that could not be read: 'empty' or 'malformed'."""
+    problem = F.when(F.regexp_like(F.col("_bad"), F.lit(r"^\s*$")), "empty").otherwise("malformed")
+    return records.filter(F.col("_bad").isNotNull()).select("file", problem.alias("problem"))
 
 
 def latest_by_slug(records: DataFrame, url_col: str = "source_url", seq_col: str = "seq") -> DataFrame:

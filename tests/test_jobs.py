@@ -43,3 +43,20 @@ def test_jobs_recent_returns_all(spark):
     got = [r.job_id for r in J.jobs_recent(df).collect()]
     assert len(got) == 31 and got[0] == 19 and got[-1] == 99
     assert [r.job_id for r in J.jobs_recent(df, 2).collect()] == got[:2]
+
+
+def test_whole_files_with_bad_ones(spark):
+    from pyspark.sql import functions as F
+
+    from pagefold.session import scratch_path
+    from pagefold.sources.records import bad_files, scan_records
+
+    path = scratch_path(spark, "record-files")
+    texts = {"a": '{\n "title": "A",\n "sections": [{"title": "s",\n "content": "c"}]\n}', "b": "", "c": '{"title": "C", ', "d": "[1, 2", "e": '{"title": "E", "more": 1}'}
+    for name, text in texts.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    got = scan_records(spark, path, glob="*.txt").withColumn("k", F.regexp_extract("file", "/([a-e])/part", 1))
+    rows = {r.k: (r.title, [tuple(s) for s in r.sections or []], r._bad) for r in got.collect()}
+    assert rows["a"] == ("A", [("s", "c")], None) and rows["e"] == ("E", [], None)
+    assert rows["c"][0] is None and rows["c"][2].strip() == '{"title": "C",'
+    assert sorted((r.file.rsplit("/", 2)[1], r.problem) for r in bad_files(got).collect()) == [("b", "empty"), ("c", "malformed"), ("d", "malformed")]
