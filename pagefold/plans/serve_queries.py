@@ -92,6 +92,22 @@ def q_lookup_slug(spark, sf_dir):
     return V.lookup_slug(parsed, enriched).select("slug", "source", "record.title", "record.quality")
 
 
+@register("lookup_either_stage", "WITH p AS (SELECT doc_id FROM documents WHERE lang = 'en' OR doc_id NOT IN (SELECT doc_id FROM labels)) "
+          "SELECT 'primary_' || d.doc_id AS slug, CASE WHEN l.doc_id IS NULL THEN 'parsed' ELSE 'enriched' END AS source, "
+          "p.doc_id IS NULL AS enriched_only, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN p USING (doc_id) "
+          "WHERE p.doc_id IS NOT NULL OR l.doc_id IS NOT NULL")
+def q_lookup_either_stage(spark, sf_dir):
+    """G5 where a stage lacks records of the other: labelled documents of other languages are enriched only."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    slug = F.concat(F.lit("primary_"), "doc_id").alias("slug")
+    both = docs.select("doc_id", "lang").join(labels, "doc_id", "left")
+    parsed = both.filter((F.col("lang") == "en") | F.col("quality").isNull()).select(slug, F.struct(F.lit(None).cast("int").alias("quality")).alias("record"))
+    enriched = labels.select(slug, F.struct(F.col("quality").cast("int").alias("quality")).alias("record"))
+    found = V.lookup_slug(parsed, enriched)
+    stage = parsed.select("slug", F.lit(True).alias("_p"))
+    return found.join(stage, "slug", "left").select("slug", "source", F.col("_p").isNull().alias("enriched_only"), "record.quality")
+
+
 @register("sink_by_slug", r"""SELECT trim(lower(regexp_replace(regexp_replace(trim(regexp_extract(url,'^https?://[^/?#]*([^?#]*)',1),'/'),
   '[^\p{L}\p{N}_\-]','_','g'),'_+','_','g')),'_') AS slug, max(page_id) AS page_id FROM pages GROUP BY 1""")
 def q_sink_by_slug(spark, sf_dir):
