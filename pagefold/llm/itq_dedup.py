@@ -18,6 +18,7 @@ forest: the pairs themselves are never rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -249,34 +250,37 @@ def rerank(members: DataFrame, tables: Tables, least: float) -> DataFrame:
     return tiled.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, n long")
 
 
+def _linked(same: DataFrame, length: int, count: int, least: float, index: Tables) -> DataFrame:
+    """``(vector, n_links, component_id)`` of the ``count`` distinct vectors of one length."""
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    sample = same.filter(part < int((1 << 30) * min(1, SAMPLE / count))).select("id", "vector").toArrow().sort_by("id").combine_chunks()
+    mean, projection = learn_rotation(_matrix(sample["vector"].chunk(0)) if len(sample) else np.zeros((1, length)))
+    coded = stage(with_codes(same, mean, projection), "itq-codes")
+    codes = coded.groupBy("code").agg((F.count("*") > 1).alias("several"))
+    members = stage(shared_buckets(codes, index), "itq-buckets").join(coded, "code")
+    found = stage(rerank(members, index, least), "itq-links")
+    cc = connected_components(same.sparkSession, found.filter("b IS NOT NULL").select("a", "b"), "itq-cc")
+    links = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    return (same.join(links, "id", "left").join(cc, "id", "left")
+            .select("vector", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+
+
 def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row: the links of cosine ``least`` or more found,
     and the smallest id reachable by links.
 
-    Null and zero vectors, and vectors that hold null or non-finite components or have another
-    length than most, link with nothing; equal vectors (after normalising) are linked with each other;
+    Null and zero vectors, and vectors that hold null or non-finite components, link with nothing;
+    vectors of different lengths don't link with each other; equal vectors (after normalising) are linked with each other;
     a repeated id counts as one vector more; a null id has no links and a null component.  Other
     columns are ignored.
     """
-    spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias(id_col), vector_col)
     vectors = stage(unit_vectors(rows, id_col, vector_col), "itq-vectors")
-    sizes = vectors.groupBy(F.length("vector").alias("n")).agg(F.sum("mult").alias("rows"), F.count("*").alias("vectors")).orderBy(F.desc("rows"), "n").first()
-    if sizes is None:
-        return rows.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.col(id_col).isNotNull().alias("kept"))
-    same = vectors.filter(F.length("vector") == sizes.n)
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    sample = same.filter(part < int((1 << 30) * min(1, SAMPLE / sizes.vectors))).select("id", "vector").toArrow().sort_by("id").combine_chunks()
-    mean, projection = learn_rotation(_matrix(sample["vector"].chunk(0)) if len(sample) else np.zeros((1, sizes.n // 8)))
-    index = Tables(tables or TABLES)
-    coded = stage(with_codes(same, mean, projection), "itq-codes")
-    codes = coded.groupBy("code").agg((F.count("*") > 1).alias("several"))
-    members = stage(shared_buckets(codes, index), "itq-buckets").join(coded, "code")
-    found = stage(rerank(members, index, least), "itq-links")
-    cc = connected_components(spark, found.filter("b IS NOT NULL").select("a", "b"), "itq-cc")
-    links = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    known = (same.join(links, "id", "left").join(cc, "id", "left")
-             .select("vector", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    # vectors of different lengths have no cosine: each length is searched by itself (few lengths: one per model)
+    several = vectors.groupBy(F.length("vector").alias("n")).agg(F.count("*").alias("vectors")).filter("vectors > 1").orderBy("n")
+    known = [_linked(vectors.filter(F.length("vector") == r.n), r.n // 8, r.vectors, least, Tables(tables or TABLES)) for r in several.collect()]
+    alone = vectors.join(several.select("n"), F.length("vector") == F.col("n"), "left_anti")
+    known = reduce(DataFrame.unionAll, known, alone.select("vector", (F.col("mult") - 1).alias("n_links"), F.col("id").alias("component_id")))
     # back to the rows: by their normalised vectors
     told = rows_with_vectors(rows, id_col, vector_col).join(known, "vector", "left")
     return told.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

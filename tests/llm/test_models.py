@@ -339,3 +339,16 @@ def test_pipeline_stages(spark):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, f in corpus_pipeline.STAGES:
         assert f(spark, empty, sf).collect() == [], name
+
+
+def test_each_vector_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(8)
+    long = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 16)))]
+    long += [(100, (np.array(long[3][1]) * 2).tolist()), (101, (np.array(long[3][1]) + 1e-3).tolist())]
+    short = [(200, [1.0, 2.0, 3.0, 4.0]), (201, [1.0, 2.0, 3.0, 4.001]), (202, [4.0, -2.0, 0.0, 1.0])]
+    single = [(300, [1.0, 0.0]), (301, [2.0, 0.0])]  # one distinct vector of its length
+    d = spark.createDataFrame(long + short + single, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq_dedup.near_duplicates(d).collect()}
+    assert got[3] == (2, 3, True) and got[100] == (2, 3, False) and got[101] == (2, 3, False)
+    assert got[200] == (1, 200, True) and got[201] == (1, 200, False) and got[202] == (0, 202, True)
+    assert got[300] == (1, 300, True) and got[301] == (1, 300, False)
