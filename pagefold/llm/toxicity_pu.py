@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefold.llm.common import stage
 from pagefold.llm.text_features import hash_cache, held_out, in_batches, labelled_sample, word_hash
 
 #: Toxic texts and unlabelled texts to fit on, at most; hashed features; classifiers.
 MOST_TOXIC, MOST_UNLABELLED, FEATURES, MODELS = 4_000, 8_000, 1 << 20, 3
 #: A feature counts when it is in so many toxic texts and so many times as frequent there as in U.
 LEAST_TEXTS, LEAST_LIFT = 5, 3.0
+#: Bytes of features that the fit takes in all, about: of more, a share of the texts is taken.
+MOST_BYTES = 256 << 20
 STEPS, BATCH, RATE, L2 = 2_500, 256, 0.1, 1e-5
 WORD = re.compile(r"\w+")
 
@@ -54,27 +57,31 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, mod
     number = np.full(FEATURES, -1, np.int64)
     number[kept] = np.arange(len(kept))
 
-    def rows(texts):  # padded with the number behind the last feature, whose weight stays 0
-        own = [number[t][number[t] >= 0] for t in texts]
-        width = max([1, *map(len, own)])
-        out = np.full((len(own), width), len(kept), np.int32)
-        for i, x in enumerate(own):
-            out[i, :len(x)] = x
-        return out
+    def rows(texts):  # one flat array of kept features, where each text's begin, and how many they are
+        own = [number[t][number[t] >= 0].astype(np.int32) for t in texts]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return np.concatenate(own), np.cumsum(sizes) - sizes, sizes
+
+    def take(csr, some):  # the features of some texts, and the text of each
+        flat, begins, sizes = csr
+        n = sizes[some]
+        ends = np.cumsum(n)
+        return flat[np.arange(ends[-1]) + np.repeat(begins[some] - ends + n, n)], np.repeat(np.arange(len(some)), n)
 
     p, u = rows(toxic), rows(unlabelled)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for m in range(models):
         rng = np.random.default_rng(100 + m)
-        w, b = np.zeros(len(kept) + 1), float(np.log(prior / (1 - prior)))
+        w, b = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
         seen_w, seen_b = np.full(w.shape, 1e-3), 1e-3
-        order = rng.permutation(len(u))
+        order = rng.permutation(len(unlabelled))
         for step in range(STEPS):
-            a = step * BATCH % len(u)
+            a = step * BATCH % len(order)
             if step and a < BATCH:
-                order = rng.permutation(len(u))
-            xu, xp = u[order[a:a + BATCH]], p[rng.integers(0, len(p), BATCH)]
-            sp, su = sigmoid(w[xp].sum(1) + b), sigmoid(w[xu].sum(1) + b)
+                order = rng.permutation(len(order))
+            some_u, some_p = order[a:a + BATCH], rng.integers(0, len(toxic), BATCH)
+            (xu, of_u), (xp, of_p) = take(u, some_u), take(p, some_p)
+            sp, su = sigmoid(np.bincount(of_p, w[xp], len(some_p)) + b), sigmoid(np.bincount(of_u, w[xu], len(some_u)) + b)
             # sigmoid loss: bounded, as the estimator asks; d/dz of sigmoid is s (1 - s)
             negative = su.mean() - prior * sp.mean()
             dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
@@ -82,15 +89,13 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, mod
                 gp, gu = -2 * prior * dp, du
             else:
                 gp, gu = prior * dp, -du
-            g = np.bincount(xp.ravel(), np.repeat(gp, xp.shape[1]), len(w)) + np.bincount(xu.ravel(), np.repeat(gu, xu.shape[1]), len(w))
-            g += L2 * w
-            g[-1] = 0
+            g = np.bincount(xp, gp[of_p], len(w)) + np.bincount(xu, gu[of_u], len(w)) + L2 * w
             gb = float(gp.sum() + gu.sum())
             seen_w += g * g
             seen_b += gb * gb
             w -= RATE * g / np.sqrt(seen_w)
             b -= RATE * gb / np.sqrt(seen_b)
-        weights[m, kept], weights[m, -1] = w[:-1], b
+        weights[m, kept], weights[m, -1] = w, b
     return weights
 
 
@@ -110,8 +115,11 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_remainder:
         return pa.RecordBatch.from_arrays([part.column("known"), pa.array([x.tobytes() for x in features(whole)], pa.binary())],
                                       ["known", "idx"])
 
-    found = in_batches(texts, "doc_id", "text", "known boolean, idx binary", ["known"], work).toArrow()
-    found = found.sort_by([("known", "ascending"), ("idx", "ascending")])
+    found = stage(in_batches(texts, "doc_id", "text", "known boolean, idx binary", ["known"], work), "toxicity-sample")
+    size = found.agg(F.sum(F.octet_length("idx"))).first()[0] or 0
+    if size > MOST_BYTES:  # very long texts: a share of the sampled texts, chosen by a hash of their features
+        found = found.filter(F.pmod(F.xxhash64("idx", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * MOST_BYTES / size))
+    found = found.toArrow().sort_by([("known", "ascending"), ("idx", "ascending")])
     known, idx = found["known"].to_pylist(), [np.frombuffer(x, "<i4") for x in found["idx"].to_pylist()]
     return fit([x for x, k in zip(idx, known) if k], [x for x, k in zip(idx, known) if not k], n1 / max(1, n0 + n1))
 

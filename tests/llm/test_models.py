@@ -352,3 +352,18 @@ def test_each_vector_length_is_searched_by_itself(spark):
     assert got[3] == (2, 3, True) and got[100] == (2, 3, False) and got[101] == (2, 3, False)
     assert got[200] == (1, 200, True) and got[201] == (1, 200, False) and got[202] == (0, 202, True)
     assert got[300] == (1, 300, True) and got[301] == (1, 300, False)
+
+
+def test_toxicity_fit_is_linear_in_the_features():
+    """Thousands of short texts beside a few very long ones: memory follows the features, not texts x the longest."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    toxic = [np.unique(rng.integers(0, 40, 10)).astype("<i4") for _ in range(300)]
+    texts = [np.unique(rng.integers(40, 5000, 20)).astype("<i4") for _ in range(8000)] + [np.arange(30_000, dtype="<i4")] * 4
+    tracemalloc.start()
+    weights = toxicity_pu.fit(toxic, texts, 0.03, models=1)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    belief = lambda x: weights[0, x].sum() + weights[0, -1]
+    assert np.quantile([belief(x) for x in toxic], 0.02) > np.quantile([belief(x) for x in texts[:8000]], 0.98)
