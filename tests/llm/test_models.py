@@ -193,6 +193,49 @@ def test_no_copy_within_the_edits_is_lost():
     assert len(decontaminate.Index(items).tables) == len(index.classes)
 
 
+def test_edited_copies_come_through_the_tables():
+    """Recall of the walk and the tables alone at AIM edits; without the tables nothing is left."""
+    from pagefold.llm.shingles import column_bytes
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    letters = "etaoinshrdlu "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, text(n).encode()) for i, n in enumerate([140, 180, 220, 280, 350] * 16)]
+    index = decontaminate.Index(items)
+    assert not any(index.joined)
+    texts, want = [], set()
+    for k, (i, t) in enumerate(items):
+        x = list(t.decode())
+        for _ in range(int(decontaminate.AIM * len(t)) if k % 4 else 0):
+            p = rng.randrange(len(x))
+            x[p:p + 1] = rng.choice((["#"], [], [x[p], "#"]))
+        texts.append(text(300) + "".join(x) + text(200))
+        low = texts[-1].encode()
+        if brute_distance(t, low)[0] <= int(decontaminate.ACCEPT * len(t)):
+            want.add((k, i))
+    texts.append(text(20000))
+    columns = column_bytes(pa.array(texts))
+    got = index.matches(*columns)
+    assert len({m[:2] for m in got} & want) >= 0.95 * len(want) and {m[0] for m in got} <= {d for d, _ in want}
+    for d, i, start, end, k in got:
+        assert brute_distance(items[i][1], texts[d].encode()[start:end])[0] == k == brute_distance(items[i][1], texts[d].encode())[0]
+    for table in index.lookup:
+        table[0][:] = False
+    assert index.matches(*columns) == []
+
+
+def test_short_items_are_matched_exactly_at_word_bounds(spark):
+    items = [(1, "in 1848"), (2, "Ja"), (3, "Ja"), (4, " ?! "), (5, "été"), (6, "x"), (7, "a much longer item that is no short one")]
+    docs = [(1, "It began in 1848."), (2, "in 18481, in x1848"), (3, "JA! ja ninja jab"), (4, "what ?! who"), (5, "l'été"), (6, "étéa"),
+            (7, "a x b"), (8, "x"), (9, ""), (10, None), (11, "it was a much longer item that is no short one too")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.find(d, b).collect()))
+    assert got == [(1, 1, 9, 16, 0), (3, 2, 0, 2, 0), (5, 5, 2, 7, 0), (7, 6, 2, 3, 0), (8, 6, 0, 1, 0), (11, 7, 7, 46, 0)]
+    assert {r.doc_id for r in decontaminate.clean(d, b).collect()} == {r[0] for r in docs} - {11}
+    assert {r.doc_id for r in decontaminate.clean(d, b, least=1).collect()} == {2, 4, 6, 9, 10}
+
+
 # ---- embeddings ------------------------------------------------------------------------------------
 
 def test_embedding_links_against_brute_force(spark):
