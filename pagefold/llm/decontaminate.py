@@ -43,6 +43,7 @@ BLOCK_BYTES = 8 << 20
 _BASE = 0xA24BAED4963EE407
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(31).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(32).integers(1 << 62, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Letters, digits and all bytes beyond ASCII.
 _WORD = np.array([chr(c).isalnum() or c > 127 for c in range(256)])
 
@@ -67,15 +68,15 @@ def walk(strings: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """CGK embedding of the rows (zeros behind their ends) in ``steps`` symbols."""
     moves = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
     n, width = strings.shape
-    at = np.zeros(n, np.int64)
-    base = np.arange(n) * width
+    at = np.arange(n) * width
+    last = at + width - 1
     flat = strings.ravel()
     out = np.empty((steps, n), np.uint8)
     for t in range(steps):
-        c = flat[base + at]
-        out[t] = c
-        at += moves[t][c]
-        np.minimum(at, width - 1, out=at)
+        np.take(flat, at, out=out[t], mode="clip")
+        at += np.take(moves[t], out[t])
+        if t >= width - 2:  # no walk leaves its string before
+            np.minimum(at, last, out=at)
     return out
 
 
@@ -138,6 +139,8 @@ class Index:
         self.first, self.holder, self.offset = np.append(first, len(known)), holder[order], offset[order]
         #: all (item, gram) in one number; per item the grams that a window must share with it
         self.held = np.unique(self.holder * len(self.known) + np.repeat(np.arange(len(self.known)), np.diff(self.first)))
+        self.maybe_held = np.zeros(1 << 22, bool)
+        self.maybe_held[self._cell(self.held)] = True
         several = np.bincount(self.held // max(1, len(self.known)), minlength=len(raws))
         self.enough = np.minimum([self.need(len(r)) for r in raws], several) if raws else several
         #: per item: grams that a place of the join must share with it, and the width of a band of diagonals
@@ -178,6 +181,10 @@ class Index:
             out[i, :min(width, len(r))] = r[:width]
         return out
 
+    @staticmethod
+    def _cell(code: np.ndarray) -> np.ndarray:
+        return (code.astype(np.uint64) * _FACTORS[0] >> np.uint64(42)).astype(np.int64)
+
     @staticmethod
     def need(size: int) -> int:
         """Item grams that a window must hold to be embedded, and share with an item of this size to be compared."""
@@ -186,18 +193,19 @@ class Index:
     def keys(self, strings: np.ndarray, least: int, tables: int) -> np.ndarray:
         """Table keys (tables x rows): samples of places that the walk writes before the shortest item ends."""
         steps = max(STRETCH, int(1.6 * least))
-        out = []
+        out = np.empty((tables, strings.shape[0]), np.uint64)
+        sample = np.empty((strings.shape[0], SAMPLED), np.uint8)
+        row = 0
         for w in range(WALKS):
-            written = walk(strings, steps, 1000 + w).astype(np.uint64)
-            own = range(w, tables, WALKS)
+            written = walk(strings, steps, 1000 + w)
             rng = np.random.default_rng(2000 + w)
-            places = [rng.integers(0, steps - STRETCH + 1) + rng.choice(STRETCH, SAMPLED, replace=False) for _ in range(TABLES)]
-            for t in own:
-                key = np.full(strings.shape[0], t, np.uint64)
-                for p in places[t // WALKS]:
-                    key = key * np.uint64(257) + written[p] + np.uint64(1)
-                out.append(mix(key))
-        return np.stack(out)
+            for t in range(w, tables, WALKS):
+                for k, p in enumerate(rng.integers(0, steps - STRETCH + 1) + rng.choice(STRETCH, SAMPLED, replace=False)):
+                    sample[:, k] = written[p]
+                # the sampled bytes as one number, spread by another odd factor for each table
+                np.multiply(sample.view(np.uint64)[:, 0], _FACTORS[t], out=out[row])
+                row += 1
+        return out
 
     def _first(self) -> list[np.ndarray]:
         """By size class, for each of COPIES mutated copies (AIM edits, spread at random) of its items the first
@@ -239,7 +247,8 @@ class Index:
             pair = np.repeat(part, n)
             gram = slot[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[part], n)]
             code = items[pair] * len(self.known) + gram
-            own = self.held[np.minimum(np.searchsorted(self.held, code), len(self.held) - 1)] == code
+            own = self.maybe_held[self._cell(code)]
+            own[own] = self.held[np.minimum(np.searchsorted(self.held, code[own]), len(self.held) - 1)] == code[own]
             share = np.unique(pair[own] * len(self.known) + gram[own]) // len(self.known)
             out[part] = np.bincount(share, minlength=len(items))[part] >= self.enough[items[part]]
         return out
@@ -366,6 +375,7 @@ class Index:
         begin = np.flatnonzero(begin)
         text = np.searchsorted(ends, begin, "right") - 1
         stop = ends[text + 1]
+        padded = np.concatenate((raw, np.zeros(self.classes[-1][3] + 1, np.uint8)))
         sizes = np.array([len(t) for _, t in self.items], np.int64)
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         # the last start that was looked at, and all stretches of starts
@@ -380,9 +390,11 @@ class Index:
             for part in np.array_split(starts, max(1, len(starts) // 4096)):
                 if not len(part):
                     continue
-                column = np.arange(most + 1)
-                where = begin[part, None] + column
-                windows = np.where((column < most) & (where < stop[part, None]), raw[np.minimum(where, len(raw) - 1)], 0).astype(np.uint8)
+                windows = np.lib.stride_tricks.sliding_window_view(padded, most + 1)[begin[part]]
+                windows[:, most] = 0
+                room_in = stop[part] - begin[part]
+                ended = np.flatnonzero(room_in < most)
+                windows[ended] *= np.arange(most + 1) < room_in[ended, None]
                 sampled = self.keys(windows, least, count_tables)
                 t, w = np.nonzero(mark[(sampled >> np.uint64(65 - len(mark).bit_length())).astype(np.int64)])
                 lists_at = np.minimum(np.searchsorted(keys, sampled[t, w]), len(keys) - 1)
