@@ -96,6 +96,22 @@ def test_licences_native(spark):
     assert license_scan.scan(d.limit(0)).collect() == []
 
 
+def test_licence_wording_that_is_not_in_the_training_texts(spark):
+    rng = random.Random(4)
+    grant = ("// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation "
+             "files, to deal\n// in the Software without restriction, including without limitation the rights")
+    unseen = [(1, grant, "MIT"), (2, "The code of this project is available under the terms of the MIT licence.", "MIT"),
+              (3, "This software is provided \"as is\", without warranty of any kind, express or implied, including the warranties of merchantability "
+                  "and noninfringement; in no event shall the authors or copyright holders be liable for any claim, damages or other liability.", "MIT"),
+              (4, "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this "
+                  "software without prior permission.", "BSD"),
+              (5, "The contents of this work are subject to the Common Development and Distribution License.", "unknown")]
+    docs = [(100 + i, "\n".join(prose(rng, 12) for _ in range(3))) for i in range(200)] + [(i, t) for i, t, _ in unseen]
+    found = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.paragraph): r.family for r in found} == {(i, 0): f for i, _, f in unseen}
+    assert not any(r.confirmed for r in found if r.family == "unknown")
+
+
 # ---- decontamination -------------------------------------------------------------------------------
 
 def brute_distance(item, text):
