@@ -14,7 +14,7 @@ from pagefold.plans.parse_queries import _ORACLE_RAW_TEXT, _ORACLE_TITLE
 from pagefold.plans.registry import register
 from pagefold.plans.serve_queries import _JOBS_SQL
 from pagefold.session import materialize, scratch_path
-from pagefold.sources.tables import PAGES_SCHEMA, table
+from pagefold.sources.tables import PAGES_SCHEMA, stream_path, table
 from pagefold.streaming.stream import stream_dedupe_url, stream_job_latest, stream_pages
 
 
@@ -36,7 +36,7 @@ def page_summary_batch(pages):
 def q_stream_pages(spark, sf_dir):
     """H1: page files parsed incrementally (foreachBatch, checkpointed) — equal to the batch result."""
     out, ckpt = scratch_path(spark, "stream-pages-out"), scratch_path(spark, "stream-pages-ckpt")
-    stream_pages(spark, sf_dir, out, ckpt, page_summary_batch, PAGES_SCHEMA, glob="pages.parquet")
+    stream_pages(spark, stream_path(sf_dir, "pages"), out, ckpt, page_summary_batch, PAGES_SCHEMA)
     return spark.read.parquet(out).select("page_id", "title", "n_chars", "n_links")
 
 
@@ -44,7 +44,7 @@ def q_stream_pages(spark, sf_dir):
 def q_stream_dedupe_url(spark, sf_dir):
     """H2: each URL once across micro-batches (streaming dropDuplicates)."""
     out, ckpt = scratch_path(spark, "stream-dedupe-out"), scratch_path(spark, "stream-dedupe-ckpt")
-    stream_dedupe_url(spark, sf_dir, out, ckpt, PAGES_SCHEMA, glob="pages.parquet")
+    stream_dedupe_url(spark, stream_path(sf_dir, "pages"), out, ckpt, PAGES_SCHEMA)
     return spark.read.parquet(out).select("url")
 
 
@@ -53,7 +53,7 @@ def q_stream_dedupe_watermark(spark, sf_dir):
     """H2 with bounded state: event-time watermark over the events (RocksDB state store), each event once."""
     out, ckpt = scratch_path(spark, "stream-watermark-out"), scratch_path(spark, "stream-watermark-ckpt")
     schema = table(spark, sf_dir, "events").schema
-    stream_dedupe_url(spark, sf_dir, out, ckpt, schema, key="event_id", glob="events.parquet", watermark=("ts", "1 hour"))
+    stream_dedupe_url(spark, stream_path(sf_dir, "events"), out, ckpt, schema, key="event_id", watermark=("ts", "1 hour"))
     return spark.read.parquet(out).select("event_id", F.col("ts").cast(schema["ts"].dataType).alias("ts"))
 
 
@@ -63,6 +63,6 @@ def q_stream_job_latest(spark, sf_dir):
     """H3: the job status table maintained by a stateful streaming aggregation with upserts."""
     out, ckpt = scratch_path(spark, "stream-jobs-out"), scratch_path(spark, "stream-jobs-ckpt")
     schema = table(spark, sf_dir, "events").schema
-    lt = stream_job_latest(spark, sf_dir, out, ckpt, schema, J.job_events, glob="events.parquet")
+    lt = stream_job_latest(spark, stream_path(sf_dir, "events"), out, ckpt, schema, J.job_events)
     return lt.select("job_id", "status", J.format_date(F.col("created_at")).alias("created_at"),
                      J.format_date(F.col("updated_at")).alias("updated_at"))
