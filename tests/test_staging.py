@@ -15,3 +15,16 @@ def test_staged_keys_are_not_broadcast_by_their_file_size(spark):
         assert joined.count() == 200_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_parse_hands_on_small_batches():
+    import pyarrow as pa
+
+    from pagefold.operators.nodes import _nodes_fn
+
+    rows = [(i, "<p>x</p>" * 400) for i in range(100)] + [(100 + i, "<p>" + "y" * 1_000_000 + "</p>") for i in range(20)]
+    source = pa.RecordBatch.from_pydict({"page_id": [i for i, _ in rows], "html": [h for _, h in rows]})
+    batches = list(_nodes_fn("generic")(iter([source])))
+    assert sum(b.num_rows for b in batches) == 100 * 801 + 20 * 3
+    assert max(b.num_rows for b in batches) <= 20_000
+    assert max(sum(len(t or "") for t in b.column("text").to_pylist()) for b in batches) < 10_000_000
