@@ -2,7 +2,7 @@
 
 A paragraph (a line of a text, or wrapped lines joined again) is a set of word bigrams and trigrams.
 A sparse multinomial logistic regression, fitted on notices and paragraphs of the licence families and of
-other licences (family ``unknown``), fragments of these and a bounded sample of the corpus's own
+other licences (family ``unknown``), fragments of these and all the corpus's own
 paragraphs as background, gives each paragraph a probability for each family.  The threshold is
 calibrated on what it is held against, the belief that a paragraph is no background, over
 paragraphs that the fit hasn't seen: at most FALSE_RATE of the background may pass.  What passes is compared with the family's notices; a
@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +82,9 @@ NOTICES = {
                 "This font software is licensed under the SIL Open Font License, Version 1.1."],
 }
 FAMILIES = ["(background)", *sorted(NOTICES)]
-#: Background paragraphs to fit and to calibrate on, at most; share of these that may pass; share of a
-#: paragraph's n-grams that confirm; background share from which on an n-gram is no feature.
-BACKGROUND, FALSE_RATE, CONFIRM, COMMON = 4_000, 0.001, 0.6, 0.005
+#: Share of the background that may pass; share of a paragraph's n-grams that confirm; background share from
+#: which on an n-gram is no feature.
+FALSE_RATE, CONFIRM, COMMON = 0.001, 0.6, 0.005
 WRAPPED = 40
 WRAP = r"\n(?<=[^\n]{%d}[^\n.!?:\s][ \t]{0,8}\r?\n)[ \t]*(?:(?://+|#+|\*+|--+|;+)[ \t]*)?(?=[^\s/#*;-])" % (WRAPPED - 1)
 REGULARISATION, L1_SHARE = 1e-3, 0.5
@@ -116,6 +116,22 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.withColumn("grams", ngrams(F.col("text"))).filter(F.size("grams") > 0)
 
 
+def marked(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(row, doc_id, paragraph, h, short, n, grams)``: the paragraphs that hold n-grams of ``listed(gram)``, with a hash
+    of the paragraph, how many n-grams it has and those that are listed.  Written once: the one pass
+    over the texts that the fit, the threshold and the scan share."""
+    text = F.col("text")
+    rows = paragraphs(docs).select("row", "doc_id", "paragraph", F.xxhash64(text, F.lit(11)).alias("h"), (F.length(text) <= 3).alias("short"),
+                                   F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    rows = rows.join(F.broadcast(listed.select("gram")), "gram")
+    return stage(rows.groupBy("row", "doc_id", "paragraph", "h", "short", "n").agg(F.collect_list("gram").alias("grams")), "licence-marked")
+
+
+def own_grams(told: DataFrame) -> DataFrame:
+    """``(gram, families)`` of the whole notices."""
+    return told.filter("whole").select("family", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_set("family").alias("families"))
+
+
 def notices(spark: SparkSession) -> DataFrame:
     """``(family, text)``: the notices, and the halves and thirds of those of eight words and more."""
     rows = F.array(*(F.struct(F.lit(FAMILIES.index(k)).alias("family"), F.lit(t).alias("text")) for k, v in NOTICES.items() for t in v))
@@ -137,11 +153,11 @@ class Model:
 
 
 def scores(lines: DataFrame, weights: DataFrame, intercepts: list[float], keys: list[str]) -> DataFrame:
-    """``keys`` with ``p`` (probability by family) and ``share`` (of the n-grams, those of the family's notices).
+    """Of ``lines(*keys, n, grams)``: ``keys`` with ``p`` (probability by family) and ``share`` (of the n-grams, those of the family's notices).
 
     Only n-grams of the model leave the scan; a paragraph without any is background and has no row."""
     n = len(intercepts)
-    rows = lines.select(*keys, F.size("grams").alias("_n"), F.explode("grams").alias("gram")).join(weights, "gram")
+    rows = lines.select(*keys, F.col("n").alias("_n"), F.explode("grams").alias("gram")).join(weights, "gram")
     sums = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), *(F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n)),
                                    *(F.sum(F.get("own", F.lit(i))).alias(f"o{i}") for i in range(1, n)))
     e = F.array(*(F.exp(F.least(F.col(f"w{i}") + F.lit(b), F.lit(300.0))) for i, b in enumerate(intercepts)))
@@ -150,35 +166,52 @@ def scores(lines: DataFrame, weights: DataFrame, intercepts: list[float], keys:
                        F.array(F.lit(0.0), *(F.col(f"o{i}") / F.col("_n") for i in range(1, n))).alias("share"))
 
 
-def train(docs: DataFrame) -> Model:
-    """Fit and calibrate.  The background is a bounded sample of paragraphs (by a hash of the paragraph); a
-    paragraph that holds most of a notice is no background."""
+def told_notices(spark: SparkSession) -> DataFrame:
+    """The notices with their n-grams."""
+    return notices(spark).withColumn("grams", ngrams(F.col("text"))).withColumn("id", F.monotonically_increasing_id())
+
+
+def train(docs: DataFrame, seen: DataFrame | None = None) -> Model:
+    """Fit and calibrate on every distinct paragraph of the corpus: one half (by a hash of the paragraph) is
+    fitted, the other gives the threshold.  Paragraphs of one feature set are one weighted row of the fit,
+    those without features one row together.  A paragraph that holds most of a notice is no background.
+    ``seen`` is ``marked(docs, own_grams(...))`` if the caller has it."""
     spark = docs.sparkSession
     n = len(FAMILIES)
-    told = notices(spark).withColumn("grams", ngrams(F.col("text"))).withColumn("id", F.monotonically_increasing_id())
-    own = told.filter("whole").select("family", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_set("family").alias("families"))
-    lines = docs.select(F.explode(split_paragraphs(F.col("text"))).alias("text"))
-    sample = (lines.filter(F.length("text") > 3).select(F.xxhash64("text", F.lit(11)).alias("h"), "text").dropDuplicates(["h"])
-              .orderBy("h").limit(BACKGROUND).withColumn("grams", ngrams(F.col("text"))).withColumn("id", -F.monotonically_increasing_id() - 1))
-    sample = stage(sample, "licence-background")
+    told = told_notices(spark)
+    own = own_grams(told)
+    seen = marked(docs, own) if seen is None else seen
     held = F.col("h") % 2 == 0
-    known = sample.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(own, "gram")
-    like = (known.select("id", "n", F.explode("families").alias("family")).groupBy("id", "n", "family").count()
-            .filter(F.col("count") >= CONFIRM * F.col("n")).select("id").distinct())
-    background = sample.join(like, "id", "left_anti")
-    total = max(1, background.count())
-    common = (background.select(F.explode("grams").alias("gram")).join(own, "gram", "left_semi").groupBy("gram").count()
+    # every distinct paragraph counts, also those without any n-gram of a notice: by their hashes only
+    text = F.explode(split_paragraphs(F.col("text"))).alias("text")
+    hashes = docs.select(text).filter(F.length("text") > 3).select(F.xxhash64("text", F.lit(11)).alias("h")).distinct()
+    every = hashes.agg(F.count("h").alias("all"), F.count_if(held).alias("held")).first()
+    distinct = stage(seen.filter(~F.col("short")).select("h", "n", "grams").dropDuplicates(["h"]), "licence-background")
+    known = distinct.select("h", "n", F.explode("grams").alias("gram")).join(F.broadcast(own), "gram")
+    like = stage(known.select("h", "n", F.explode("families").alias("family")).groupBy("h", "n", "family").count()
+                 .filter(F.col("count") >= CONFIRM * F.col("n")).select("h").distinct(), "licence-like")
+    background = distinct.join(like, "h", "left_anti")
+    less = like.agg(F.count("h").alias("all"), F.count_if(held).alias("held")).first()
+    total, of_threshold = max(1, every["all"] - less["all"]), every["held"] - less["held"]
+    of_fit = every["all"] - less["all"] - of_threshold
+    common = (background.select(F.explode("grams").alias("gram")).groupBy("gram").count()
               .filter(F.col("count") > COMMON * total).select("gram"))
     features = stage(own.join(common, "gram", "left_anti"), "licence-features")
     grams = [r.gram for r in features.select("gram").orderBy("gram").collect()]  # bounded by the notices
     if not grams:
         return Model(features.select("gram", F.array().cast("array<double>").alias("w"), F.array().cast("array<double>").alias("own")), [0.0] * n, 1.0)
-    examples = (told.select("id", "family", "grams").unionAll(
-        background.filter(~held).select("id", F.lit(0).alias("family"), "grams")))
-    listed = F.from_json(F.lit(json.dumps([str(g) for g in grams])), "array<string>").cast("array<bigint>")
-    hot = F.transform(listed, lambda g: F.array_contains("grams", g).cast("double"))
-    rows = examples.select(F.col("family").cast("double").alias("label"), array_to_vector(hot).alias("features"),
-                           F.when(F.col("family") == 0, F.lit(1.0)).otherwise(F.lit(total / 2 / 100)).alias("weight"))
+    # equal feature sets are one row, as often as they occur; the paragraphs without a feature are one row, too
+    chosen = F.broadcast(features.select("gram"))
+    sets = (background.filter(~held).select("h", F.explode("grams").alias("gram")).join(chosen, "gram")
+            .groupBy("h").agg(F.sort_array(F.collect_list("gram")).alias("grams")).groupBy("grams").agg(F.count("*").alias("times")))
+    sets = stage(sets, "licence-sets")
+    without = of_fit - (sets.agg(F.sum("times")).first()[0] or 0)
+    rows = sets.select(F.lit(0.0).alias("label"), "grams", F.col("times").cast("double").alias("weight"))
+    if without > 0:
+        rows = rows.unionAll(spark.range(1).select(F.lit(0.0), F.array().cast("array<bigint>"), F.lit(float(without))))
+    rows = rows.unionAll(told.select(F.col("family").cast("double"), "grams", F.lit(total / 2 / 100)))
+    vectors = CountVectorizerModel.from_vocabulary([str(g) for g in grams], inputCol="words", outputCol="features", binary=True)
+    rows = vectors.transform(rows.withColumn("words", F.col("grams").cast("array<string>"))).select("label", "features", "weight")
     fitted = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=L1_SHARE, weightCol="weight",
                                 standardization=False, maxIter=50).fit(stage_vectors(rows))
     matrix, intercepts = fitted.coefficientMatrix.toArray(), [float(x) for x in fitted.interceptVector]
@@ -193,13 +226,13 @@ def train(docs: DataFrame) -> Model:
         marks.select("gram", zero.alias("w"), "own")
     weights = stage(weights, "licence-weights")
     # the highest belief that a paragraph is no background among background not fitted on, but for FALSE_RATE of it
-    seen = scores(background.filter(held).select("id", "grams"), weights, intercepts, ["id"])
-    most = seen.select((1 - F.get("p", F.lit(0))).alias("p")).orderBy(F.desc("p")).limit(int(FALSE_RATE * total / 2) + 1).agg(F.min("p")).first()[0]
+    unfitted = scores(background.filter(held), weights, intercepts, ["h"])
+    most = unfitted.select((1 - F.get("p", F.lit(0))).alias("p")).orderBy(F.desc("p")).limit(int(FALSE_RATE * of_threshold) + 1).agg(F.min("p")).first()[0]
     return Model(weights, intercepts, min(0.99, max(0.5, most or 0.0)))
 
 
 def stage_vectors(rows: DataFrame) -> DataFrame:
-    """Training rows (bounded) written once: the fit reads them many times."""
+    """Training rows written once: the fit reads them many times."""
     return stage(rows, "licence-rows")
 
 
@@ -212,9 +245,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     ids are reported with a null id; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    model = model or train(docs)
+    seen = marked(docs, model.weights if model else own_grams(told_notices(docs.sparkSession)))
+    model = model or train(docs, seen)
     # the weights (a few rows for each notice) are of a size that the notices bound
-    found = scores(paragraphs(docs), F.broadcast(model.weights), model.intercepts, ["row", "doc_id", "paragraph"])
+    found = scores(seen, F.broadcast(model.weights), model.intercepts, ["row", "doc_id", "paragraph"])
     best = F.array_max(F.slice("p", 2, len(FAMILIES) - 1))
     found = found.withColumn("best", best).filter(1 - F.get("p", F.lit(0)) >= model.threshold)
     found = found.withColumn("at", F.array_position(F.slice("p", 2, len(FAMILIES) - 1), F.col("best")).cast("int"))

@@ -28,3 +28,23 @@ def test_parse_hands_on_small_batches():
     assert sum(b.num_rows for b in batches) == 100 * 801 + 20 * 3
     assert max(b.num_rows for b in batches) <= 20_000
     assert max(sum(len(t or "") for t in b.column("text").to_pylist()) for b in batches) < 10_000_000
+
+
+def test_licence_fit_counts_every_distinct_paragraph(spark, monkeypatch):
+    from pagefold.llm import license_scan
+
+    texts = ["\n".join(f"paragraph {i} of text {k} is plain" for i in range(30)) for k in range(200)]
+    texts.append("Released under the MIT License.\nWe talked about the software as is, without warranty, at length.")
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(999, texts[0])], "doc_id long, text string")
+    distinct = {x for t in texts for x in t.split("\n")} - {"Released under the MIT License."}
+    assert len(distinct) > 6000
+    hashes = spark.createDataFrame([(x,) for x in distinct], "x string").select(F.xxhash64("x", F.lit(11)).alias("h"))
+    fitted, plain = {}, license_scan.stage_vectors
+
+    def spy(rows):
+        fitted.update({r.label: r.w for r in rows.groupBy("label").agg(F.sum("weight").alias("w")).collect()})
+        return plain(rows)
+
+    monkeypatch.setattr(license_scan, "stage_vectors", spy)
+    license_scan.train(docs)
+    assert fitted[0.0] == hashes.filter(F.col("h") % 2 != 0).count()
