@@ -48,3 +48,29 @@ def test_licence_fit_counts_every_distinct_paragraph(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "stage_vectors", spy)
     license_scan.train(docs)
     assert fitted[0.0] == hashes.filter(F.col("h") % 2 != 0).count()
+
+
+def test_a_table_of_one_row_group_is_parsed_by_many_tasks(spark):
+    from pagefold.plans.stage import corpus_nodes
+    from pagefold.session import scratch_path
+
+    folder = scratch_path(spark, "one-group")
+    rows = spark.range(400).select(F.col("id").alias("page_id"), F.lit("https://h.org/a").alias("url"), F.lit("<p>x</p>").alias("html"))
+    rows.coalesce(1).write.parquet(folder + "/pages.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # many splits, one of them with the rows
+    try:
+        from pagefold.operators import nodes as N
+        from pagefold.plans import stage
+
+        seen, plain = [], stage.html_nodes
+        stage.html_nodes = lambda pages, mode: seen.append(pages) or plain(pages, mode)
+        try:
+            assert corpus_nodes(spark, folder).filter("kind = 'root'").count() == 400
+        finally:
+            stage.html_nodes = plain
+        tasks = seen[0].groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism
+        assert max(r["count"] for r in tasks) <= 400 / len(tasks) * N.TASKS_A_SPLIT + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
