@@ -46,6 +46,16 @@ def scan_records(spark: SparkSession, path: str, schema: T.StructType = CONTENT_
     return read.select(*(F.when(raw.isNull(), F.col(f"_r.{c}")).alias(c) for c in fields), raw.alias("_bad"), "file")
 
 
+def write_record_files(records: DataFrame, path: str) -> None:
+    """A2's one-document-per-file layout: the text of every row in a file of its own, the files of a task in one folder.
+
+    A folder for each record would cost a directory to make, to move at the commit and to list, the last one by one or
+    task by task from the driver.  Deal the rows over as many tasks as should write; each may write a million files.
+    """
+    rows = records.select("value", F.spark_partition_id().alias("folder"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+
+
 def bad_files(records: DataFrame) -> DataFrame:
     """``(file, problem)`` of the records that could not be read: 'empty' or 'malformed'."""
     problem = F.when(F.regexp_like(F.col("_bad"), F.lit(r"^\s*$")), "empty").otherwise("malformed")

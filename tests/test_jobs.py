@@ -60,3 +60,26 @@ def test_whole_files_with_bad_ones(spark):
     assert rows["a"] == ("A", [("s", "c")], None) and rows["e"] == ("E", [], None)
     assert rows["c"][0] is None and rows["c"][2].strip() == '{"title": "C",'
     assert sorted((r.file.rsplit("/", 2)[1], r.problem) for r in bad_files(got).collect()) == [("b", "empty"), ("c", "malformed"), ("d", "malformed")]
+
+
+def test_record_files_share_the_folders_of_their_tasks(spark, tmp_path):
+    """A file for each conversation, in one folder for each writing task; rows as before, every file opened once."""
+    import glob
+    import os
+
+    from pagefold.plans.serve_queries import q_scan_record_files
+    from pagefold.session import ensure_checkpoint_dir
+
+    turns = {c: [(t, "user" if t % 2 else "assistant", f'text "{t}"\nof {c}') for t in range(1 + c % 3)] for c in range(200)} | {None: [(0, "user", "no id")]}
+    spark.createDataFrame([(c, *r) for c, rs in turns.items() for r in reversed(rs)], "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    folders = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/pagefold-record-files-*"
+    older = set(glob.glob(folders))
+    got = q_scan_record_files(spark, str(tmp_path))
+    want = [(None if c is None else f"conv {c}", len(rs), "\n".join(f"{role}: {text}" for _, role, text in rs), None) for c, rs in turns.items()]
+    want += [(None, None, None, problem) for problem in ("empty", "malformed")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert all(f.endswith(".parquet") for f in got.inputFiles())
+    (made,) = set(glob.glob(folders)) - older
+    files = [n for _, _, names in os.walk(made) if (n := sum(f.endswith(".txt") for f in names))]
+    assert sum(files) == len(turns) + 2 and len(files) <= 9 and max(files) < len(turns) / 3
